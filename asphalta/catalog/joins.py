@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as dt
 from ..operators import linking, profile, temporal, traffic, weather
-from ..operators.ordered import exact_quantiles, value_bounds
+from ..operators.ordered import grouped_medians
 from ..plans import star as st
 from .registry import query
 
@@ -185,8 +185,7 @@ def j14(c):
 def j15(c):
     keys = ["fichier_source", "iu_ac"]
     readings = c.d.trafic
-    bounds = value_bounds(readings, ["q"])["q"]
-    medians = exact_quantiles(readings, keys, "q", {"q_median": 0.5}, bounds)
+    medians = grouped_medians(readings, keys, {"q": "q_median"})
     return readings.join(medians, keys, "left").select(
         *keys, "t_1h", F.round(F.coalesce("q", "q_median"), 6).alias("q"))
 

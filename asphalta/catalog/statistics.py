@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..operators import association as assoc
+from ..session import materialize
 from .aggregates import rounded
 from .registry import query
 
@@ -114,27 +115,30 @@ def cramer_sql(columns):
 
 @query("a22_cramer_matrix", cramer_sql(CATEGORIES))
 def a22(c):
-    return rounded(assoc.cramer_matrix(c.star.enriched(), CATEGORIES), 6, "v")
+    frame = materialize(c.star.enriched().select(*CATEGORIES), "categories")
+    return rounded(assoc.cramer_matrix(frame, CATEGORIES), 6, "v")
 
 
 MEASURES = ("k_moyen", "lum", "meteo_precipitations", "meteo_temp_moy", "population", "q_moyen", "q_total")
 
 
 def numeric_frame(c):
-    return c.star.enriched().select(*[F.col(m).cast("double").alias(m) for m in MEASURES],
-                                    F.col("grav").cast("double").alias("grav"))
+    """Numeric columns of the enriched fact, written once: several passes follow."""
+    return materialize(c.star.enriched().select(
+        *[F.col(m).cast("double").alias(m) for m in MEASURES],
+        F.col("grav").cast("double").alias("grav")), "numeric")
 
 
 def pearson_sql(columns):
     return " UNION ALL ".join(
-        f"SELECT '{x}' AS var1, '{y}' AS var2, corr({x}, {y}) AS r, count(*) FILTER ({x} IS NOT NULL AND {y} IS NOT NULL) AS n FROM enrichi"
+        f"SELECT '{x}' AS var1, '{y}' AS var2, CASE WHEN isnan(corr({x}, {y})) THEN NULL ELSE corr({x}, {y}) END AS r, count(*) FILTER ({x} IS NOT NULL AND {y} IS NOT NULL) AS n FROM enrichi"
         for x, y in combinations(sorted(columns), 2))
 
 
 def spearman_sql(columns):
     parts = []
     for x, y in combinations(sorted(columns), 2):
-        parts.append(f"""SELECT '{x}' AS var1, '{y}' AS var2, corr(rx, ry) AS rho, count(*) AS n FROM (SELECT
+        parts.append(f"""SELECT '{x}' AS var1, '{y}' AS var2, CASE WHEN isnan(corr(rx, ry)) THEN NULL ELSE corr(rx, ry) END AS rho, count(*) AS n FROM (SELECT
    rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY {y}) + (count(*) OVER (PARTITION BY {y}) - 1) / 2.0::DOUBLE AS ry
    FROM enrichi WHERE {x} IS NOT NULL AND {y} IS NOT NULL)""")
     return " UNION ALL ".join(parts)
@@ -166,7 +170,7 @@ def a25(c):
 
 @query("a26_top_pairs", f"""
  SELECT var1, var2, round(r, 8) AS r, n, round(abs(r), 8) AS abs_corr, CASE WHEN abs(r) >= 0.5 THEN 'FORTE' WHEN abs(r) >= 0.3 THEN 'MOYENNE' ELSE 'FAIBLE' END AS force,
-  CASE WHEN r > 0 THEN 'positive (+)' ELSE 'negative (-)' END AS sens FROM ({pearson_sql(MEASURES)}) ORDER BY abs(r) DESC LIMIT 10""")
+  CASE WHEN r > 0 THEN 'positive (+)' ELSE 'negative (-)' END AS sens FROM ({pearson_sql(MEASURES)}) ORDER BY abs(r) DESC NULLS LAST LIMIT 10""")
 def a26(c):
     return rounded(assoc.top_pairs(assoc.pearson_pairs(numeric_frame(c), MEASURES), 10), 8, "r", "abs_corr")
 
@@ -176,7 +180,7 @@ def a26(c):
  s AS (SELECT var1, var2, rho, {tail_sql('rho', 'n')} AS ps FROM ({spearman_sql(MEASURES)}))
  SELECT var1, var2, round(r, 8) AS pearson_r, round(pp, 7) AS pearson_p, round(rho, 8) AS spearman_r, round(ps, 7) AS spearman_p,
   CASE WHEN pp < 0.05 THEN 'OUI' ELSE 'NON' END AS significatif, CASE WHEN pp < 0.001 THEN '***' WHEN pp < 0.01 THEN '**' WHEN pp < 0.05 THEN '*' ELSE 'ns' END AS etoiles
- FROM p JOIN s USING (var1, var2) ORDER BY abs(r) DESC LIMIT 10""")
+ FROM p JOIN s USING (var1, var2) ORDER BY abs(r) DESC NULLS LAST LIMIT 10""")
 def a27(c):
     t = assoc.significance_table(numeric_frame(c), MEASURES, 10)
     return rounded(rounded(t, 8, "pearson_r", "spearman_r"), 7, "pearson_p", "spearman_p")
@@ -188,7 +192,7 @@ WITH_TARGET = (*MEASURES, "grav")
 @query("a28_target_ranking", f"""
  SELECT CASE WHEN var1 = 'grav' THEN var2 ELSE var1 END AS variable, round(rho, 8) AS correlation, CASE WHEN abs(rho) >= 0.7 THEN 'très forte' WHEN abs(rho) >= 0.5 THEN 'forte'
   WHEN abs(rho) >= 0.3 THEN 'modérée' WHEN abs(rho) >= 0.15 THEN 'faible' ELSE 'très faible' END AS force
- FROM ({spearman_sql(WITH_TARGET)}) WHERE var1 = 'grav' OR var2 = 'grav' ORDER BY abs(rho) DESC LIMIT 5""")
+ FROM ({spearman_sql(WITH_TARGET)}) WHERE var1 = 'grav' OR var2 = 'grav' ORDER BY abs(rho) DESC NULLS LAST LIMIT 5""")
 def a28(c):
     pairs = assoc.spearman_pairs(numeric_frame(c), WITH_TARGET)
     return rounded(assoc.against_target(pairs, "grav", 5), 8, "correlation")
@@ -225,7 +229,8 @@ def vif_sql():
 
 @query("a29_variance_inflation", vif_sql())
 def a29(c):
-    return rounded(assoc.variance_inflation(c.star.enriched(), VIF_COLUMNS), 6, "vif")
+    frame = materialize(c.star.enriched().select(*VIF_COLUMNS), "vif")
+    return rounded(assoc.variance_inflation(frame, VIF_COLUMNS), 6, "vif")
 
 
 MI_COLUMNS = ("lum", "atm", "catu")
@@ -246,7 +251,7 @@ def a30(c):
 @query("a30_mutual_information_measures")
 def a30_measures(c):
     """Continuous columns are cut at approximate quantiles; bins differ by engine, so rows only."""
-    y = c.star.enriched().withColumn("y", lb.is_severe(F.col("grav")).cast("int"))
+    y = numeric_frame(c).withColumn("y", lb.is_severe(F.col("grav")).cast("int"))
     return assoc.mutual_information(y, [m for m in MEASURES if m != "lum"], "y")
 
 

@@ -37,8 +37,8 @@ def w03(c):
 
 @query("w04_day_pivot", """
  WITH j AS (SELECT date_acc, row_number() OVER (ORDER BY date_acc) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT date_acc FROM caract)),
- pv AS (SELECT date_acc AS pivot FROM j WHERE rn = floor(n * 0.80) + 1)
- SELECT date_acc < pivot AS train, min(date_acc) AS debut, max(date_acc) AS fin, count(*) AS n FROM caract, pv GROUP BY 1""")
+ pv AS (SELECT date_acc AS bascule FROM j WHERE rn = floor(n * 0.80) + 1)
+ SELECT date_acc < bascule AS train, min(date_acc) AS debut, max(date_acc) AS fin, count(*) AS n FROM caract, pv GROUP BY 1""")
 def w04(c):
     pivot = prep.pivot_day(c.d.caract, "date_acc")
     return c.d.caract.groupBy((F.col("date_acc") < F.lit(pivot)).alias("train")).agg(

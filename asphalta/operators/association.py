@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..functions.tails import chi2_tail, correlation_tail
-from .ordered import bucket_of, running_totals, value_bounds
+from .ordered import bucket_in, bucket_of, running_totals, value_bounds
 
 
 def cells(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -131,8 +131,9 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     aggs = []
     for i, (x, y) in enumerate(pairs):
         both = F.col(x).isNotNull() & F.col(y).isNotNull()
-        aggs += [F.corr(F.when(both, F.col(x).cast("double")),
-                        F.when(both, F.col(y).cast("double"))).alias(f"r{i}"),
+        vx, vy = (F.when(both, F.col(v).cast("double")) for v in (x, y))
+        spread = F.sqrt(F.var_pop(vx) * F.var_pop(vy))
+        aggs += [F.try_divide(F.covar_pop(vx, vy), spread).alias(f"r{i}"),
                  F.count_if(both).alias(f"n{i}")]
     wide = df.agg(*aggs)
     return wide.select(F.explode(F.array(*[
@@ -153,21 +154,20 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     structs = [
         F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.struct(
             F.lit(x).alias("var1"), F.lit(y).alias("var2"),
-            F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
-            bucket_of(F.col(x), bounds[x]).alias("bx"),
-            bucket_of(F.col(y), bounds[y]).alias("by"))) for x, y in pairs]
+            F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+        for x, y in pairs]
     joint = (df.select(F.explode(F.array(*structs)).alias("p")).where(F.col("p").isNotNull())
-             .select("p.*").groupBy("var1", "var2", "x", "y", "bx", "by")
+             .select("p.*").groupBy("var1", "var2", "x", "y")
              .agg(F.count(F.lit(1)).alias("n")))
     keys = ["var1", "var2"]
 
-    def ranks(v: str, b: str) -> DataFrame:
-        counts = joint.groupBy(*keys, v, b).agg(F.sum("n").alias("m"))
-        ranked = running_totals(counts, keys, v, ["m"], F.col(b))
+    def ranks(v: str, name: str) -> DataFrame:
+        counts = joint.groupBy(*keys, v).agg(F.sum("n").alias("m"))
+        ranked = running_totals(counts, keys, v, ["m"], bucket_in(F.col(name), F.col(v), bounds))
         return ranked.select(*keys, v, (F.col("m_before") + (F.col("m") + 1) / 2.0)
                              .alias(f"r_{v}"))
 
-    scored = joint.join(ranks("x", "bx"), [*keys, "x"]).join(ranks("y", "by"), [*keys, "y"])
+    scored = joint.join(ranks("x", "var1"), [*keys, "x"]).join(ranks("y", "var2"), [*keys, "y"])
     w = F.col("n").cast("double")
     rx, ry = F.col("r_x"), F.col("r_y")
     sums = scored.groupBy(*keys).agg(

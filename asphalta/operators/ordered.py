@@ -105,23 +105,6 @@ def exact_quantiles(
         for n in probs])
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
-    """Whole-table median of several numeric columns, as driver scalars."""
-    long = long_values(df, columns)
-    bounds = value_bounds(df, columns)
-    ranked = running_totals(
-        long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n")),
-        ["variable"], "value", ["n"], bucket_by_variable(columns, bounds))
-    mid = (F.col("n_total") - 1) / F.lit(2.0)
-    inside = [(F.col("n_before") <= i) & (i < F.col("n_before") + F.col("n"))
-              for i in (F.floor(mid), F.ceil(mid))]
-    rows = ranked.groupBy("variable").agg(
-        ((F.max(F.when(inside[0], F.col("value"))) + F.max(F.when(inside[1], F.col("value")))) / 2)
-        .alias("m")).collect()
-    found = {r["variable"]: r["m"] for r in rows}
-    return {c: found.get(c) for c in columns}
-
-
 def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Numeric columns as (variable, value) rows, NULLs left out."""
     pairs = F.explode(F.array(*[
@@ -130,14 +113,55 @@ def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ())
     return df.select(*keep, pairs).select(*keep, "p.*").where(F.col("value").isNotNull())
 
 
-def bucket_by_variable(columns: Sequence[str], bounds: Mapping[str, Sequence]) -> Column:
-    """Bucket of `value` under the bounds of its own `variable`."""
-    expr = None
-    for c in columns:
-        b = bucket_of(F.col("value"), [float(x) for x in bounds[c]])
-        hit = F.col("variable") == c
-        expr = F.when(hit, b) if expr is None else expr.when(hit, b)
-    return expr
+def bucket_in(variable: Column, value: Column, bounds: Mapping[str, Sequence]) -> Column:
+    """Bucket of a value under the bounds of the variable it belongs to.
+
+    The bounds are one constant map, which keeps the generated code small however
+    many variables there are.
+    """
+    table = F.create_map(*[x for c, b in bounds.items() for x in (
+        F.lit(c), F.array(*[F.lit(float(v)) for v in b]).cast("array<double>"))])
+    return F.size(F.filter(F.element_at(table, variable), lambda b: b < value))
+
+
+def ranked_long(df: DataFrame, groups: Sequence[str], columns: Sequence[str],
+                bounds: Mapping[str, Sequence] | None = None) -> DataFrame:
+    """Counts, running counts and totals per (groups, variable, value), one pass for all."""
+    if bounds is None:
+        bounds = value_bounds(df, columns)
+    counts = long_values(df, columns, groups).groupBy(*groups, "variable", "value").agg(
+        F.count(F.lit(1)).alias("n"))
+    return running_totals(counts, [*groups, "variable"], "value", ["n"],
+                          bucket_in(F.col("variable"), F.col("value"), bounds))
+
+
+def median_of_ranked() -> Column:
+    """Median of the ranked values of a group: mean of the two middle positions."""
+    middle = (F.col("n_total") - 1) / F.lit(2.0)
+
+    def at(index: Column) -> Column:
+        hit = (F.col("n_before") <= index) & (index < F.col("n_before") + F.col("n"))
+        return F.max(F.when(hit, F.col("value")))
+
+    return (at(F.floor(middle)) + at(F.ceil(middle))) / 2
+
+
+def grouped_medians(df: DataFrame, groups: Sequence[str], columns: Mapping[str, str],
+                    bounds: Mapping[str, Sequence] | None = None) -> DataFrame:
+    """Exact medians of several columns per group; `columns` maps column to output name."""
+    ranked = ranked_long(df, groups, list(columns), bounds)
+    per = ranked.groupBy(*groups, "variable").agg(median_of_ranked().alias("_m"))
+    return per.groupBy(*groups).agg(*[
+        F.max(F.when(F.col("variable") == c, F.col("_m"))).alias(out)
+        for c, out in columns.items()])
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """Whole-table median of several numeric columns, as driver scalars."""
+    rows = ranked_long(df, [], columns).groupBy("variable").agg(
+        median_of_ranked().alias("m")).collect()
+    found = {r["variable"]: r["m"] for r in rows}
+    return {c: found.get(c) for c in columns}
 
 
 def with_row_ids(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import (bucket_by_variable, long_values, running_totals, top_per_group,
-                      value_bounds)
+from .ordered import median_of_ranked, ranked_long, top_per_group
 from .shape import NUMERIC, quoted
 
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -106,19 +105,8 @@ def column_profile(df: DataFrame) -> DataFrame:
     else:
         out = out.withColumn("top_3_valeurs", F.lit(None).cast("string"))
     if numbers:
-        long = long_values(df, numbers).groupBy("variable", "value").agg(
-            F.count(F.lit(1)).alias("n"))
-        bounds = value_bounds(df, numbers)
-        ranked = running_totals(long, ["variable"], "value", ["n"],
-                                bucket_by_variable(numbers, bounds))
-        mid = (F.col("n_total") - 1) / F.lit(2.0)
-
-        def at(i: Column) -> Column:
-            hit = (F.col("n_before") <= i) & (i < F.col("n_before") + F.col("n"))
-            return F.max(F.when(hit, F.col("value")))
-
-        medians = ranked.groupBy(F.col("variable").alias("colonne")).agg(
-            ((at(F.floor(mid)) + at(F.ceil(mid))) / 2).alias("mediane"))
+        medians = ranked_long(df, [], numbers).groupBy(F.col("variable").alias("colonne")).agg(
+            median_of_ranked().alias("mediane"))
         out = out.join(medians, "colonne", "left")
     else:
         out = out.withColumn("mediane", null_double)

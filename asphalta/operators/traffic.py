@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as dt
 from ..functions.text import leading_integer
-from .ordered import exact_quantiles, value_bounds
+from .ordered import grouped_medians, value_bounds
 
 MAX_MISSING = 0.30
 
 
-def sensor_statistics(readings: DataFrame, source: str = "fichier_source") -> DataFrame:
+def sensor_statistics(readings: DataFrame, source: str = "fichier_source",
+                      bounds: dict | None = None) -> DataFrame:
     """Missing rate and exact medians of q and k per (source file, sensor)."""
     keys = [source, "iu_ac"]
-    rates = readings.where(F.col("iu_ac").isNotNull()).groupBy(*keys).agg(
+    known = readings.where(F.col("iu_ac").isNotNull())
+    rates = known.groupBy(*keys).agg(
         F.avg(F.col("q").isNull().cast("int")).alias("q_missing_rate"))
-    bounds = value_bounds(readings, ["q", "k"])
-    q_med = exact_quantiles(readings, keys, "q", {"q_median": 0.5}, bounds["q"])
-    k_med = exact_quantiles(readings, keys, "k", {"k_median": 0.5}, bounds["k"])
-    return rates.join(q_med, keys, "left").join(k_med, keys, "left")
+    medians = grouped_medians(known, keys, {"q": "q_median", "k": "k_median"}, bounds)
+    return rates.join(medians, keys, "left")
 
 
 def reliable_sensors(readings: DataFrame, source: str = "fichier_source",
@@ -33,16 +33,14 @@ def reliable_sensors(readings: DataFrame, source: str = "fichier_source",
     return readings.join(good, keys, "left_semi")
 
 
-def impute_readings(readings: DataFrame, stats: DataFrame,
-                    source: str = "fichier_source") -> DataFrame:
+def impute_readings(readings: DataFrame, stats: DataFrame, source: str = "fichier_source",
+                    bounds: dict | None = None) -> DataFrame:
     """Fill q and k by the sensor's median, then by the file's median over kept rows."""
     keys = [source, "iu_ac"]
     good = stats.where(F.col("q_missing_rate") <= MAX_MISSING).select(
         *keys, "q_median", "k_median")
     kept = readings.join(good, keys)
-    bounds = value_bounds(readings, ["q", "k"])
-    per_file = exact_quantiles(kept, [source], "q", {"_qf": 0.5}, bounds["q"]).join(
-        exact_quantiles(kept, [source], "k", {"_kf": 0.5}, bounds["k"]), source, "full")
+    per_file = grouped_medians(kept, [source], {"q": "_qf", "k": "_kf"}, bounds)
     return kept.join(per_file, source, "left").select(
         *keys, "t_1h",
         F.coalesce("q", "q_median", "_qf").alias("q"),
@@ -53,7 +51,9 @@ def impute_readings(readings: DataFrame, stats: DataFrame,
 
 def weekly_aggregate(readings: DataFrame, source: str = "fichier_source") -> DataFrame:
     """One row per sensor and weekly file, after filtering and imputation."""
-    filled = impute_readings(readings, sensor_statistics(readings, source), source)
+    bounds = value_bounds(readings, ["q", "k"])
+    stats = sensor_statistics(readings, source, bounds)
+    filled = impute_readings(readings, stats, source, bounds)
     return filled.groupBy(source, "iu_ac").agg(
         F.coalesce(F.sum("q"), F.lit(0.0)).alias("q_total"),
         F.avg("q").alias("q_moyen"), F.avg("k").alias("k_moyen"),

@@ -14,6 +14,7 @@ from ..functions import text as tx
 from ..operators.linking import fill_from, left_lookup, smallest_per_key
 from ..operators.ordered import first_per_key, with_row_ids
 from ..operators.shape import align
+from ..session import materialize
 
 FACT_SCHEMA = T.StructType([T.StructField(n, t) for n, t in (
     ("num_acc", T.StringType()), ("id_usager", T.StringType()), ("aaaammjj", T.StringType()),
@@ -157,7 +158,8 @@ class Star:
     def dim_traffic(self) -> DataFrame:
         if self._weekly is None:
             weekly = self._traffic.weekly_aggregate(self._domain.trafic)
-            self._weekly = self._traffic.traffic_dimension(weekly)
+            # A dimension is a table at rest; writing it also ends a long plan.
+            self._weekly = materialize(self._traffic.traffic_dimension(weekly), "dim-traffic")
         return self._weekly
 
     def enriched(self, rows: DataFrame | None = None) -> DataFrame:
