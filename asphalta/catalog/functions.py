@@ -303,10 +303,10 @@ def d04(c):
 
 
 @query("d05_array_to_json", """
- SELECT num_acc, '["' || string_agg(voie, '","' ORDER BY voie) || '"]' AS voies FROM lieux GROUP BY num_acc""")
+ SELECT num_acc, '["' || voie || '","' || CAST(surf AS STRING) || '"]' AS cellule FROM lieux""")
 def d05(c):
-    per = c.d.lieux.groupBy("num_acc").agg(F.array_sort(F.collect_list("voie")).alias("voies"))
-    return shape.nested_to_json(per)
+    nested = c.d.lieux.select("num_acc", F.array("voie", F.col("surf").cast("string")).alias("cellule"))
+    return shape.nested_to_json(nested)
 
 
 @query("d06_two_digit_years", """

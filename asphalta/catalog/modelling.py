@@ -49,7 +49,7 @@ def m01_suspects(c):
   CASE WHEN q_moyen > (SELECT median(q_moyen) FROM enrichi) + 1e-9 THEN 1 ELSE 0 END AS trafic_eleve
  FROM (SELECT *, CAST(date AS DATE) AS d FROM enrichi)""")
 def m02(c):
-    enriched = c.star.enriched()
+    enriched = c.star.enriched_table(["id_usager", "aaaammjj", "meteo_precipitations", "q_moyen", "k_moyen"])
     # The shared 1e-9 margin keeps last-digit differences of means from flipping the flag.
     median = exact_medians(enriched, ["q_moyen"])["q_moyen"]
     wide = prep.engineer_features(enriched, None if median is None else median + 1e-9)

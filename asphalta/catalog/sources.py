@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import profile, shape
+from ..operators.ordered import with_row_ids
 from ..session import fresh_path
 from ..sources import files, tables
 from .registry import query
@@ -114,11 +115,11 @@ def s05(c):
 
 
 def _write_sensor_arrays(c, path):
-    """One JSON array per file, at most 1000 sensors each."""
-    point = F.struct("lon", "lat").alias("geo_point_2d")
-    docs = c.d.ref_geo.select(
-        F.floor(F.col("iu_ac").cast("bigint") / 1000).alias("lot"),
-        F.struct("iu_ac", "libelle", point).alias("r"))
+    """One JSON array per file, exactly 1000 sensors each but for the last."""
+    numbered = with_row_ids(c.d.ref_geo, ["iu_ac"], "rang")
+    docs = numbered.select(
+        F.floor((F.col("rang") - 1) / 1000).alias("lot"),
+        F.struct("iu_ac", "libelle", F.struct("lon", "lat").alias("geo_point_2d")).alias("r"))
     arrays = docs.groupBy("lot").agg(F.to_json(F.collect_list("r")).alias("value"))
     arrays.repartition("lot").write.partitionBy("lot").text(path)
 
@@ -250,14 +251,13 @@ def _zip_lots(batches):
  SELECT 'lot_' || CAST(lot AS STRING) || '.zip' AS archive,
   CASE WHEN lot % 5 = 0 THEN 'CORROMPU' ELSE 'OK' END AS statut,
   CASE WHEN lot % 5 = 0 THEN 0 ELSE count(*) END AS lignes
- FROM (SELECT o_orderkey // 500 AS lot FROM orders) GROUP BY lot""")
+ FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS lot FROM orders) GROUP BY lot""")
 def s17(c):
     """ZIP archives of 500 orders each, every fifth cut in half."""
-    lots = (c.table("orders").select(F.floor(F.col("o_orderkey") / 500).alias("lot"),
-                                     F.col("o_orderkey").cast("string").alias("v"))
+    numbered = with_row_ids(c.table("orders").select("o_orderkey"), ["o_orderkey"], "rang")
+    lots = (numbered.select(F.floor((F.col("rang") - 1) / 500).alias("lot"),
+                            F.col("o_orderkey").cast("string").alias("v"))
             .groupBy("lot").agg(F.array_join(F.collect_list("v"), "\n").alias("text")))
     archives = lots.mapInPandas(_zip_lots, "path string, content binary")
     return (files.expand_archives(archives).groupBy(F.col("path").alias("archive"), "statut")
             .agg(F.count("value").alias("lignes")))
-
-

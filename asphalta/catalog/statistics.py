@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..operators import association as assoc
-from ..session import materialize
 from .aggregates import rounded
 from .registry import query
 
@@ -115,8 +114,7 @@ def cramer_sql(columns):
 
 @query("a22_cramer_matrix", cramer_sql(CATEGORIES))
 def a22(c):
-    frame = materialize(c.star.enriched().select(*CATEGORIES), "categories")
-    return rounded(assoc.cramer_matrix(frame, CATEGORIES), 6, "v")
+    return rounded(assoc.cramer_matrix(c.star.enriched_table(CATEGORIES), CATEGORIES), 6, "v")
 
 
 MEASURES = ("k_moyen", "lum", "meteo_precipitations", "meteo_temp_moy", "population", "q_moyen", "q_total")
@@ -124,9 +122,7 @@ MEASURES = ("k_moyen", "lum", "meteo_precipitations", "meteo_temp_moy", "populat
 
 def numeric_frame(c):
     """Numeric columns of the enriched fact, written once: several passes follow."""
-    return materialize(c.star.enriched().select(
-        *[F.col(m).cast("double").alias(m) for m in MEASURES],
-        F.col("grav").cast("double").alias("grav")), "numeric")
+    return c.star.enriched_table([F.col(m).cast("double").alias(m) for m in (*MEASURES, "grav")])
 
 
 def pearson_sql(columns):
@@ -229,8 +225,7 @@ def vif_sql():
 
 @query("a29_variance_inflation", vif_sql())
 def a29(c):
-    frame = materialize(c.star.enriched().select(*VIF_COLUMNS), "vif")
-    return rounded(assoc.variance_inflation(frame, VIF_COLUMNS), 6, "vif")
+    return rounded(assoc.variance_inflation(c.star.enriched_table(VIF_COLUMNS), VIF_COLUMNS), 6, "vif")
 
 
 MI_COLUMNS = ("lum", "atm", "catu")

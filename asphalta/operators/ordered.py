@@ -17,27 +17,63 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-BUCKETS = 64
+CHUNK = 32
 
 
-def value_bounds(df: DataFrame, columns: Sequence[str], buckets: int = BUCKETS) -> dict[str, list]:
+def bucket_count(df: DataFrame) -> int:
+    """Buckets follow the cluster: twice the shuffle partitions, within limits."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(16, min(CHUNK * CHUNK, 2 * partitions))
+
+
+def value_bounds(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> dict[str, list]:
     """Approximate quantiles of each column; they steer balance, never results."""
+    buckets = buckets or bucket_count(df)
     fractions = [i / buckets for i in range(1, buckets)]
     row = df.agg(*[
-        F.percentile_approx(c, fractions, 1000).alias(f"b{i}") for i, c in enumerate(columns)
-    ]).head()
+        F.percentile_approx(c, fractions, max(1000, 20 * buckets)).alias(f"b{i}")
+        for i, c in enumerate(columns)]).head()
     return {c: sorted(set(row[i] or [])) for i, c in enumerate(columns)}
 
 
+def _chunks(bounds: Sequence) -> tuple[list, list[list]]:
+    """Bounds as first entries and blocks: a lookup scans two short arrays."""
+    values = [float(b) for b in bounds]
+    blocks = [values[i:i + CHUNK] for i in range(0, len(values), CHUNK)] or [[]]
+    return [b[0] for b in blocks if b], blocks
+
+
+def _array(values: Sequence[float]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<double>")
+
+
+def _below(values: Column, col: Column) -> Column:
+    return F.size(F.filter(values, lambda b: b < col))
+
+
 def bucket_of(col: Column, bounds: Sequence) -> Column:
-    """How many bounds lie below the value: a binary search as nested CASE."""
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col <= F.lit(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+    """How many bounds lie below the value (0 for NULL)."""
+    heads, blocks = _chunks(bounds)
+    if len(blocks) == 1:
+        return _below(_array(blocks[0]), col.cast("double"))
+    block = F.greatest(_below(_array(heads), col.cast("double")), F.lit(1))
+    inside = F.element_at(F.array(*[_array(b) for b in blocks]), block)
+    return (block - 1) * CHUNK + _below(inside, col.cast("double"))
 
-    return search(0, len(bounds))
+
+def bucket_in(variable: Column, value: Column, bounds: Mapping[str, Sequence]) -> Column:
+    """Bucket of a value under the bounds of the variable it belongs to.
+
+    The bounds are constant maps, which keeps the generated code small however
+    many variables there are.
+    """
+    split = {c: _chunks(b) for c, b in bounds.items()}
+    heads = F.create_map(*[x for c, (h, _) in split.items() for x in (F.lit(c), _array(h))])
+    blocks = F.create_map(*[x for c, (_, bs) in split.items()
+                            for x in (F.lit(c), F.array(*[_array(b) for b in bs]))])
+    block = F.greatest(_below(F.element_at(heads, variable), value), F.lit(1))
+    inside = F.element_at(F.element_at(blocks, variable), block)
+    return (block - 1) * CHUNK + _below(inside, value)
 
 
 def running_totals(
@@ -113,17 +149,6 @@ def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ())
     return df.select(*keep, pairs).select(*keep, "p.*").where(F.col("value").isNotNull())
 
 
-def bucket_in(variable: Column, value: Column, bounds: Mapping[str, Sequence]) -> Column:
-    """Bucket of a value under the bounds of the variable it belongs to.
-
-    The bounds are one constant map, which keeps the generated code small however
-    many variables there are.
-    """
-    table = F.create_map(*[x for c, b in bounds.items() for x in (
-        F.lit(c), F.array(*[F.lit(float(v)) for v in b]).cast("array<double>"))])
-    return F.size(F.filter(F.element_at(table, variable), lambda b: b < value))
-
-
 def ranked_long(df: DataFrame, groups: Sequence[str], columns: Sequence[str],
                 bounds: Mapping[str, Sequence] | None = None) -> DataFrame:
     """Counts, running counts and totals per (groups, variable, value), one pass for all."""

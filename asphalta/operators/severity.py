@@ -96,14 +96,14 @@ def accidents_on_map(persons: DataFrame) -> DataFrame:
 
 
 def risk_zones(accidents: DataFrame, killed_weight: int = 3, hosp_weight: int = 1) -> DataFrame:
-    """Counts and risk score per 0.01 degree cell."""
+    """Counts and risk score per 0.01 degree cell, from one row per accident."""
     from ..functions import geo
 
     cells = accidents.select(
         "num_acc", geo.grid_cell(F.col("lat")).alias("lat_e2"),
         geo.grid_cell(F.col("lon")).alias("lon_e2"), "poids_gravite")
     zones = cells.groupBy("lat_e2", "lon_e2").agg(
-        F.count_distinct("num_acc").alias("nb_accidents"),
+        F.count("num_acc").alias("nb_accidents"),
         F.count_if(F.col("poids_gravite") == 4).alias("nb_tues"),
         F.count_if(F.col("poids_gravite") == 2).alias("nb_blesses_hospitalises"),
         F.count_if(F.col("poids_gravite") == 1).alias("nb_blesses_legers"))

@@ -93,16 +93,20 @@ def assign_sensor(accidents: DataFrame, sensors: DataFrame) -> DataFrame:
     return near.drop(*cell)
 
 
-def fact(persons: DataFrame, accidents: DataFrame, vehicles: DataFrame) -> DataFrame:
+def fact(persons: DataFrame, accidents: DataFrame, vehicles: DataFrame,
+         unique_vehicles: bool = False) -> DataFrame:
     """Person-by-accident fact: inner join to accidents, left join to vehicles.
 
-    All three meet on the accident number, so one hash partitioning serves.
+    Vehicles are reduced to one row per (accident, vehicle) unless the caller
+    knows they are.  With `requireAllClusterKeysForCoPartition` off, both joins
+    share the partitioning by accident number.
     """
     clean = {c: tx.without_blanks(F.col(c)) for c in ("num_veh", "place")}
     people = persons.withColumns(clean).withColumn(
         "id_usager", tx.joined_key(F.col("num_acc"), F.col("num_veh"), F.col("place")))
-    one_vehicle = vehicles.groupBy("num_acc", "num_veh").agg(F.min("catv").alias("catv"))
-    joined = people.join(accidents, "num_acc").join(one_vehicle, ["num_acc", "num_veh"], "left")
+    if not unique_vehicles:
+        vehicles = vehicles.groupBy("num_acc", "num_veh").agg(F.min("catv").alias("catv"))
+    joined = people.join(accidents, "num_acc").join(vehicles, ["num_acc", "num_veh"], "left")
     return align(joined, FACT_SCHEMA)
 
 
@@ -151,7 +155,7 @@ class Star:
         self.dim_meteo = dim_meteo(weather.reference_series(d.meteo, order))
         self.dim_sensor = dim_sensor(d.ref_geo)
         self.located = assign_sensor(self.accidents, self.dim_sensor)
-        self.fact = fact(d.usagers, self.located, d.vehicules)
+        self.fact = fact(d.usagers, self.located, d.vehicules, unique_vehicles=True)
         self._weekly, self._domain, self._traffic = None, d, traffic
 
     @property
@@ -166,6 +170,11 @@ class Star:
         return enrich(self.fact if rows is None else rows, self.dim_date, self.dim_traffic,
                       self.dim_meteo, self.dim_population)
 
+    def enriched_table(self, columns: Sequence[str] = ()) -> DataFrame:
+        """Chosen columns of the enriched fact as a written table, for several passes."""
+        wide = self.enriched()
+        return materialize(wide.select(*columns) if columns else wide, "enriched")
+
 
 __all__ = ["Star", "assign_sensor", "dim_date", "dim_geo", "dim_meteo", "dim_population",
            "dim_sensor", "enrich", "fact", "keyed_accidents", "left_lookup", "numbered_fact",
