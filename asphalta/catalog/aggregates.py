@@ -173,7 +173,7 @@ def commune_rates(c):
     worst = severity.worst_severity(c.d.usagers, ["num_acc"], lb.WEIGHTS_YEARLY)
     paris = c.d.caract.where(F.col("dep") == "75").select("num_acc", "com")
     people = c.star.dim_population.select("com", F.col("obs_value").alias("population"))
-    return severity.rates_per_100k(paris.join(worst, "num_acc").join(people, "com", "left"))
+    return severity.rates_per_100k(paris.join(worst, "num_acc"), people)
 
 
 @query("a17_rates_per_100k", RATES_SQL)
@@ -273,7 +273,7 @@ def a36(c):
     from ..plans.star import numbered_fact
 
     numbered = numbered_fact(c.star.fact)
-    return profile.grain_check(numbered, c.star.enriched(numbered), "id_fait")
+    return profile.grain_check(numbered, c.star.with_context(numbered), "id_fait")
 
 
 @query("a36_duplicated_ids", "SELECT num_acc, count(*) AS n FROM lieux GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, num_acc LIMIT 5")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import profile, shape
 from ..operators.ordered import with_row_ids
+from ..plans.star import numbered_fact
 from ..session import fresh_path
 from ..sources import files, tables
 from .registry import query
@@ -209,9 +210,10 @@ def s13(c):
         F.count("meteo_temp_moy").alias("n_meteo"), F.sum("population").alias("population"))
 
 
-@query("s14_export", "SELECT count(*) AS lignes, 31 AS colonnes FROM fait")
+@query("s14_export", "SELECT count(*) AS lignes, 32 AS colonnes FROM fait")
 def s14(c):
-    return tables.export_delimited(c.star.enriched(), fresh_path(c.spark, "s14"))
+    """Enriched fact with its row ids, exported and counted back."""
+    return tables.export_delimited(numbered_fact(c.star.enriched()), fresh_path(c.spark, "s14"))
 
 
 @query("s15_first_rows", "SELECT num_acc, hrmn, com FROM caract ORDER BY num_acc LIMIT 50")

@@ -52,21 +52,24 @@ def yearly_evolution(accidents: DataFrame, year: str = "annee") -> DataFrame:
         F.round((killed + hosp) * 100.0 / n, 2).alias("taux_gravite_pct"))
 
 
-def rates_per_100k(accidents: DataFrame, area: str = "com",
-                   population: str = "population") -> DataFrame:
-    """Counts and rates per 100 000 inhabitants by area, populated areas only."""
+def rates_per_100k(accidents: DataFrame, population: DataFrame, area: str = "com") -> DataFrame:
+    """Counts and rates per 100 000 inhabitants by area, populated areas only.
+
+    Accidents are counted per area first; the population table (area, population)
+    then meets one row per area, so a busy area is never joined row by row.
+    """
     per_area = accidents.where(F.col(area).isNotNull()).groupBy(area).agg(
         F.count(F.lit(1)).alias("nb_accidents"),
         F.count_if(F.col("grav") == 2).alias("nb_tues"),
-        F.count_if(F.col("grav") == 3).alias("nb_blesses_hospitalises"),
-        F.max(population).alias("population"))
+        F.count_if(F.col("grav") == 3).alias("nb_blesses_hospitalises"))
 
     def rate(n: Column) -> Column:
         return F.round(n * 100000.0 / F.col("population"), 2)
 
     killed, hosp = F.col("nb_tues"), F.col("nb_blesses_hospitalises")
-    return per_area.where(F.col("population") > 0).select(
-        "*", rate(F.col("nb_accidents")).alias("taux_accidents_pour_100k"),
+    return per_area.join(population, area).where(F.col("population") > 0).select(
+        area, "nb_accidents", "nb_tues", "nb_blesses_hospitalises", "population",
+        rate(F.col("nb_accidents")).alias("taux_accidents_pour_100k"),
         rate(killed).alias("taux_tues_pour_100k"),
         rate(killed + hosp).alias("taux_graves_pour_100k"))
 

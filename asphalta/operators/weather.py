@@ -37,11 +37,20 @@ def best_station(stats: DataFrame) -> DataFrame:
                          F.col("num_poste").asc()).limit(1)
 
 
+def best_station_rows(obs: DataFrame) -> DataFrame:
+    """Rows of the best-covered station, repeated days included.
+
+    Coverage needs distinct days only, so the ranking pass aggregates (station, day)
+    and the rows are filtered by one broadcast station id.
+    """
+    days = obs.na.drop(subset=["num_poste", "date_obs"]).select("num_poste", "date_obs").distinct()
+    best = best_station(station_completeness(days, ())).select("num_poste")
+    return obs.join(F.broadcast(best), "num_poste", "left_semi")
+
+
 def reference_series(obs: DataFrame, order: Sequence) -> DataFrame:
     """Daily rows of the best-covered station, one per day."""
-    daily = one_row_per_day(obs, order)
-    best = best_station(station_completeness(daily)).select("num_poste")
-    return daily.join(best, "num_poste", "left_semi")
+    return one_row_per_day(best_station_rows(obs), order)
 
 
 def merge_reference(main: DataFrame, other: DataFrame, station: str,

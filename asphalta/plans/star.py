@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from pyspark.sql import types as T
 from ..functions import dates as dt
 from ..functions import geo
 from ..functions import text as tx
-from ..operators.linking import fill_from, left_lookup, smallest_per_key
+from ..operators import traffic, weather
+from ..operators.linking import fill_from
 from ..operators.ordered import first_per_key, with_row_ids
 from ..operators.shape import align
 from ..session import materialize
@@ -58,9 +60,8 @@ def dim_population(pop: DataFrame, measure: str | None = None,
         # Keep the preferred measure when it occurs at all, every measure otherwise.
         has = not pop.where(F.col(measure) == preferred).isEmpty()
         pop = pop.where(F.col(measure) == preferred) if has else pop
-    newest = pop.agg(F.max("time_period").alias("time_period"))
-    latest = pop.join(newest, "time_period", "left_semi")
-    keyed = latest.select(
+    newest = pop.agg(F.max("time_period")).head()[0]
+    keyed = pop.where(F.col("time_period") == F.lit(newest)).select(
         tx.zero_padded(F.col("com").try_cast("int"), 5).alias("com"), "obs_value", "time_period")
     return first_per_key(keyed, ["com"], [F.col("obs_value")])
 
@@ -94,12 +95,12 @@ def assign_sensor(accidents: DataFrame, sensors: DataFrame) -> DataFrame:
 
 
 def fact(persons: DataFrame, accidents: DataFrame, vehicles: DataFrame,
-         unique_vehicles: bool = False) -> DataFrame:
+         unique_vehicles: bool = False, extra: Sequence[str] = ()) -> DataFrame:
     """Person-by-accident fact: inner join to accidents, left join to vehicles.
 
     Vehicles are reduced to one row per (accident, vehicle) unless the caller
     knows they are.  With `requireAllClusterKeysForCoPartition` off, both joins
-    share the partitioning by accident number.
+    share the partitioning by accident number.  `extra` accident columns are kept.
     """
     clean = {c: tx.without_blanks(F.col(c)) for c in ("num_veh", "place")}
     people = persons.withColumns(clean).withColumn(
@@ -107,7 +108,8 @@ def fact(persons: DataFrame, accidents: DataFrame, vehicles: DataFrame,
     if not unique_vehicles:
         vehicles = vehicles.groupBy("num_acc", "num_veh").agg(F.min("catv").alias("catv"))
     joined = people.join(accidents, "num_acc").join(vehicles, ["num_acc", "num_veh"], "left")
-    return align(joined, FACT_SCHEMA)
+    more = [f for f in accidents.schema if f.name in extra]
+    return align(joined, T.StructType([*FACT_SCHEMA.fields, *more]))
 
 
 def numbered_fact(rows: DataFrame) -> DataFrame:
@@ -115,67 +117,87 @@ def numbered_fact(rows: DataFrame) -> DataFrame:
     return with_row_ids(rows, ["num_acc", "id_usager", "grav", "catu"], "id_fait")
 
 
-def enrich(rows: DataFrame, dates: DataFrame, traffic: DataFrame, weather: DataFrame,
+CONTEXT = ("date", "annee", "mois", "jour", "jour_semaine", "is_weekend", "annee_semaine",
+           "q_total", "q_moyen", "k_moyen", "meteo_precipitations", "meteo_temp_min",
+           "meteo_temp_max", "meteo_temp_moy", "population", "population_annee")
+
+
+def enrich(rows: DataFrame, dates: DataFrame, traffic_weeks: DataFrame, weather_days: DataFrame,
            population: DataFrame) -> DataFrame:
     """Four left joins; every right side has one row per key.
 
-    Calendar, weather and communes are small by nature; the sensor-week table is
-    not, and its size decides between broadcast and shuffle at run time.
+    All keys belong to the accident, so the joins run best at accident grain,
+    before persons multiply the rows; any grain gives the same values.  Calendar,
+    weather and communes are small by nature; the sensor-week table is not, and its
+    size decides between broadcast and shuffle at run time.
     """
-    lead = ["id_fait"] if "id_fait" in rows.columns else []
-    weather = weather.select("aaaammjj", F.col("rr").alias("meteo_precipitations"),
-                             F.col("tn").alias("meteo_temp_min"),
-                             F.col("tx").alias("meteo_temp_max"),
-                             F.col("tm").alias("meteo_temp_moy"))
+    days = weather_days.select(
+        "aaaammjj", F.col("rr").alias("meteo_precipitations"), F.col("tn").alias("meteo_temp_min"),
+        F.col("tx").alias("meteo_temp_max"), F.col("tm").alias("meteo_temp_moy"))
     people = population.select("com", F.col("obs_value").alias("population"),
                                F.col("time_period").alias("population_annee"))
+    weeks = traffic_weeks.select("iu_ac", "annee_semaine", "q_total", "q_moyen", "k_moyen")
     joined = (rows.join(dates, "aaaammjj", "left")
-              .join(traffic.drop("grain_trafic"), ["iu_ac", "annee_semaine"], "left")
-              .join(weather, "aaaammjj", "left")
-              .join(people, "com", "left"))
-    return joined.select(
-        *lead, *FACT_SCHEMA.names, "date", "annee", "mois", "jour", "jour_semaine",
-        "is_weekend", "annee_semaine", "q_total", "q_moyen", "k_moyen",
-        "meteo_precipitations", "meteo_temp_min", "meteo_temp_max", "meteo_temp_moy",
-        "population", "population_annee")
+              .join(weeks, ["iu_ac", "annee_semaine"], "left")
+              .join(days, "aaaammjj", "left").join(people, "com", "left"))
+    return joined.select(*rows.columns, *CONTEXT)
 
 
 class Star:
-    """The star schema of one :class:`~asphalta.plans.views.Domain`."""
+    """The star schema of one :class:`~asphalta.plans.views.Domain`, built as needed."""
 
     def __init__(self, domain):
-        from ..operators import traffic, weather
-
-        d = domain
-        order: Sequence = [F.col(c) for c in ("rr", "tn", "tx", "tm")]
-        self.accidents = keyed_accidents(d.caract)
-        self.dim_date = dim_date(d.caract, "date_acc")
-        self.dim_geo = dim_geo(self.accidents)
-        self.dim_population = dim_population(d.population)
-        self.dim_meteo = dim_meteo(weather.reference_series(d.meteo, order))
-        self.dim_sensor = dim_sensor(d.ref_geo)
-        self.located = assign_sensor(self.accidents, self.dim_sensor)
-        self.fact = fact(d.usagers, self.located, d.vehicules, unique_vehicles=True)
-        self._weekly, self._domain, self._traffic = None, d, traffic
-
-    @property
+        self.domain = domain
+
+    @cached_property
+    def accidents(self) -> DataFrame:
+        return keyed_accidents(self.domain.caract)
+
+    @cached_property
+    def dim_date(self) -> DataFrame:
+        return dim_date(self.domain.caract, "date_acc")
+
+    @cached_property
+    def dim_geo(self) -> DataFrame:
+        return dim_geo(self.accidents)
+
+    @cached_property
+    def dim_population(self) -> DataFrame:
+        return dim_population(self.domain.population)
+
+    @cached_property
+    def dim_meteo(self) -> DataFrame:
+        return dim_meteo(weather.best_station_rows(self.domain.meteo))
+
+    @cached_property
+    def dim_sensor(self) -> DataFrame:
+        return dim_sensor(self.domain.ref_geo)
+
+    @cached_property
     def dim_traffic(self) -> DataFrame:
-        if self._weekly is None:
-            weekly = self._traffic.weekly_aggregate(self._domain.trafic)
-            # A dimension is a table at rest; writing it also ends a long plan.
-            self._weekly = materialize(self._traffic.traffic_dimension(weekly), "dim-traffic")
-        return self._weekly
+        """A dimension is a table at rest; writing it also ends a long plan."""
+        weekly = traffic.weekly_aggregate(self.domain.trafic)
+        return materialize(traffic.traffic_dimension(weekly), "dim-traffic")
+
+    @cached_property
+    def located(self) -> DataFrame:
+        return assign_sensor(self.accidents, self.dim_sensor)
 
-    def enriched(self, rows: DataFrame | None = None) -> DataFrame:
-        return enrich(self.fact if rows is None else rows, self.dim_date, self.dim_traffic,
-                      self.dim_meteo, self.dim_population)
+    @cached_property
+    def fact(self) -> DataFrame:
+        return fact(self.domain.usagers, self.located, self.domain.vehicules, unique_vehicles=True)
+
+    def with_context(self, rows: DataFrame) -> DataFrame:
+        """Date, traffic, weather and population of any rows with the four keys."""
+        return enrich(rows, self.dim_date, self.dim_traffic, self.dim_meteo, self.dim_population)
+
+    def enriched(self) -> DataFrame:
+        """Enriched fact: context at accident grain, then one join to persons."""
+        return fact(self.domain.usagers, self.with_context(self.located), self.domain.vehicules,
+                    unique_vehicles=True, extra=CONTEXT)
 
     def enriched_table(self, columns: Sequence[str] = ()) -> DataFrame:
         """Chosen columns of the enriched fact as a written table, for several passes."""
         wide = self.enriched()
         return materialize(wide.select(*columns) if columns else wide, "enriched")
 
-
-__all__ = ["Star", "assign_sensor", "dim_date", "dim_geo", "dim_meteo", "dim_population",
-           "dim_sensor", "enrich", "fact", "keyed_accidents", "left_lookup", "numbered_fact",
-           "smallest_per_key"]
