@@ -23,9 +23,9 @@ MOVABLE_HOLIDAYS = {"Lundi de Pâques": 1, "Ascension": 39, "Lundi de Pentecôte
 
 
 def compact_date(col: Column) -> Column:
-    """Strict yyyyMMdd text to a date, anything else to NULL."""
+    """Strict yyyyMMdd text to a date, anything else (year 0000 too) to NULL."""
     text = F.trim(col.cast("string"))
-    shaped = F.when(text.rlike(r"^\d{8}$"), text)
+    shaped = F.when(text.rlike(r"^(?!0000)\d{8}$"), text)
     return F.try_to_timestamp(shaped, F.lit("yyyyMMdd")).cast("date")
 
 
