@@ -13,6 +13,9 @@ PLAIN = "aaaaaaeeeeiiiiooooouuuuyycn"
 TEXT_SENTINELS = ("", "nan", "None", "NULL", "-1")
 NUMERIC_SENTINEL = -1
 
+# Blanks, the no-break space and the letter a wrong charset leaves.
+STRAY = " \t\n\r\f\v\u00a0Â"
+
 
 def fold(text: str) -> str:
     """Driver-side twin of :func:`normalised`, for column names."""
@@ -46,12 +49,13 @@ def zero_padded(col: Column, width: int) -> Column:
 
 def without_blanks(col: Column) -> Column:
     """Drop blanks, no-break spaces and the stray letter left by a wrong charset."""
-    return F.regexp_replace(col, r"[\s Â]", "")
+    return F.translate(col, STRAY, "")
 
 
 def without_decimal_tail(col: Column) -> Column:
     """'123.0' to '123' after trimming."""
-    return F.regexp_replace(F.trim(col), r"\.0$", "")
+    text = F.trim(col)
+    return F.when(text.endswith(".0"), text.substr(F.lit(1), F.length(text) - 2)).otherwise(text)
 
 
 def decimal_comma(col: Column) -> Column:

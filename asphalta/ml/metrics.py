@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordered import bucket_of, running_totals, value_bounds
+from ..operators.ordered import Balance, running_totals
 
 CATEGORIES = {"TP": "TP (grave détecté)", "TN": "TN (léger détecté)",
               "FN": "FN (grave RATÉ)", "FP": "FP (fausse alerte)"}
@@ -25,21 +25,20 @@ def score_counts(df: DataFrame, score: str, label: str, groups: Sequence[str] =
 
 
 def cumulated(df: DataFrame, score: str, label: str, groups: Sequence[str] = (),
-              bounds: Sequence | None = None) -> DataFrame:
+              balance: Balance | None = None) -> DataFrame:
     """Per distinct score: positives and negatives at or above it."""
-    if bounds is None:
-        bounds = value_bounds(df, [score])[score]
+    balance = balance or Balance.of(df, groups, [score])
     counts = score_counts(df, score, label, groups)
     out = running_totals(counts, groups, "score", ["pos", "neg"],
-                         bucket_of(F.col("score"), bounds), descending=True)
+                         balance.bucket(score, F.col("score")), descending=True)
     return out.withColumns({"tp": F.col("pos_before") + F.col("pos"),
                             "fp": F.col("neg_before") + F.col("neg")})
 
 
 def ranking_metrics(df: DataFrame, score: str, label: str, groups: Sequence[str] = (),
-                    bounds: Sequence | None = None) -> DataFrame:
+                    balance: Balance | None = None) -> DataFrame:
     """Exact ROC-AUC (ties count half) and stepwise average precision."""
-    c = cumulated(df, score, label, groups, bounds)
+    c = cumulated(df, score, label, groups, balance)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     # Negatives below a score are all negatives minus those at or above it.
     below = F.col("neg_total") - F.col("fp")

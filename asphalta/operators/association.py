@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..functions.tails import chi2_tail, correlation_tail
-from .ordered import bucket_in, bucket_of, running_totals, value_bounds
+from .ordered import Balance, bucket_of, running_totals, value_bounds
 
 
 def cells(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -150,7 +150,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     one row before anything is sorted.
     """
     pairs = list(combinations(sorted(columns), 2))
-    bounds = value_bounds(df, list(columns))
+    balance = Balance.of(df, [], list(columns))
     structs = [
         F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.struct(
             F.lit(x).alias("var1"), F.lit(y).alias("var2"),
@@ -163,7 +163,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     def ranks(v: str, name: str) -> DataFrame:
         counts = joint.groupBy(*keys, v).agg(F.sum("n").alias("m"))
-        ranked = running_totals(counts, keys, v, ["m"], bucket_in(F.col(name), F.col(v), bounds))
+        ranked = running_totals(counts, keys, v, ["m"], balance.bucket_in(F.col(name), F.col(v)))
         return ranked.select(*keys, v, (F.col("m_before") + (F.col("m") + 1) / 2.0)
                              .alias(f"r_{v}"))
 

@@ -1,11 +1,11 @@
-"""Order-dependent work that never puts a whole group into one task.
-
-Running totals, ranks, exact quantiles and row numbers are built in two levels:
-values fall into range buckets (bounds are a few dozen numbers from one
-`percentile_approx` pass), each bucket is accumulated on its own, and the bucket
-totals - at most one row per bucket and group - give the offsets.  Counts per
-distinct value are taken first, so a value holding a third of all rows is one row
-by the time it is sorted.
+"""Order-dependent work that never puts an unbounded group into one task.
+
+Running totals, ranks and exact quantiles start from counts per distinct value, so
+a value holding a third of all rows is one row by the time anything is sorted.
+Groups whose size is known to be small are accumulated by a plain window.  Beyond
+that size the work has two levels: values fall into range buckets (bounds are a few
+dozen numbers from one `percentile_approx` pass), each bucket is accumulated on its
+own, and bucket totals - at most one row per bucket and group - give the offsets.
 """
 
 from __future__ import annotations
@@ -76,20 +76,57 @@ def bucket_in(variable: Column, value: Column, bounds: Mapping[str, Sequence]) -
     return (block - 1) * CHUNK + _below(inside, value)
 
 
+# Rows of one group that a single task may sort.
+DIRECT_LIMIT = 1_000_000
+
+
+class Balance:
+    """How to spread ordered work over tasks: plainly, or by value bounds.
+
+    Only balance depends on it; results are the same either way.
+    """
+
+    def __init__(self, bounds: Mapping[str, Sequence] | None):
+        self.bounds = bounds
+
+    @classmethod
+    def of(cls, df: DataFrame, groups: Sequence[str], columns: Sequence[str],
+           limit: int = DIRECT_LIMIT) -> Balance:
+        """Measure the largest group (rows) or, without groups, the distinct values."""
+        if groups:
+            sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+            largest = sizes.agg(F.max("n")).head()[0] or 0
+        else:
+            largest = max(df.agg(*[F.approx_count_distinct(c) for c in columns]).head())
+        return cls(None if largest <= limit else value_bounds(df, columns))
+
+    def bucket(self, name: str, value: Column) -> Column | None:
+        return None if self.bounds is None else bucket_of(value, self.bounds[name])
+
+    def bucket_in(self, variable: Column, value: Column) -> Column | None:
+        return None if self.bounds is None else bucket_in(variable, value, self.bounds)
+
+
 def running_totals(
     counts: DataFrame, groups: Sequence[str], value: str, sums: Sequence[str],
-    bucket: Column, descending: bool = False,
+    bucket: Column | None, descending: bool = False,
 ) -> DataFrame:
     """Add `<s>_before` and `<s>_total` for each column to sum.
 
     `counts` has one row per (groups, value); `<s>_before` is the sum over the
-    rows of the group that come strictly earlier.
+    rows of the group that come strictly earlier.  Without a bucket each group is
+    one window partition, which the caller knows to be small.
     """
     groups = list(groups)
-    rows = counts.withColumn("_bucket", -bucket if descending else bucket)
     order = F.col(value).desc() if descending else F.col(value).asc()
-    per_bucket = rows.groupBy(*groups, "_bucket").agg(*[F.sum(s).alias(s) for s in sums])
     whole = Window.partitionBy(*groups)
+    if bucket is None:
+        earlier = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select(
+            "*", *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"{s}_before") for s in sums],
+            *[F.sum(s).over(whole).alias(f"{s}_total") for s in sums])
+    rows = counts.withColumn("_bucket", -bucket if descending else bucket)
+    per_bucket = rows.groupBy(*groups, "_bucket").agg(*[F.sum(s).alias(s) for s in sums])
     earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
         *groups, "_bucket",
@@ -106,24 +143,19 @@ def running_totals(
         *[f"{s}_total" for s in sums])
 
 
-def ranked_counts(
-    df: DataFrame, groups: Sequence[str], value: str, bounds: Sequence | None = None,
-) -> DataFrame:
-    """Distinct values with count `n`, `n_before`, `n_total` and average rank."""
+def ranked_counts(df: DataFrame, groups: Sequence[str], value: str,
+                  balance: Balance | None = None) -> DataFrame:
+    """Distinct values with count `n`, `n_before` and `n_total`."""
     kept = df.where(F.col(value).isNotNull())
-    if bounds is None:
-        bounds = value_bounds(kept, [value])[value]
+    balance = balance or Balance.of(kept, groups, [value])
     counts = kept.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    totals = running_totals(counts, groups, value, ["n"], bucket_of(F.col(value), bounds))
-    return totals.withColumn("avg_rank", F.col("n_before") + (F.col("n") + 1) / F.lit(2.0))
+    return running_totals(counts, groups, value, ["n"], balance.bucket(value, F.col(value)))
 
 
-def exact_quantiles(
-    df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[str, float],
-    bounds: Sequence | None = None,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str,
+                    probs: Mapping[str, float], balance: Balance | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group."""
-    ranked = ranked_counts(df, groups, value, bounds)
+    ranked = ranked_counts(df, groups, value, balance)
     aggs = []
     for name, p in probs.items():
         position = (F.col("n_total") - 1) * F.lit(float(p))
@@ -150,14 +182,13 @@ def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ())
 
 
 def ranked_long(df: DataFrame, groups: Sequence[str], columns: Sequence[str],
-                bounds: Mapping[str, Sequence] | None = None) -> DataFrame:
+                balance: Balance | None = None) -> DataFrame:
     """Counts, running counts and totals per (groups, variable, value), one pass for all."""
-    if bounds is None:
-        bounds = value_bounds(df, columns)
+    balance = balance or Balance.of(df, groups, columns)
     counts = long_values(df, columns, groups).groupBy(*groups, "variable", "value").agg(
         F.count(F.lit(1)).alias("n"))
     return running_totals(counts, [*groups, "variable"], "value", ["n"],
-                          bucket_in(F.col("variable"), F.col("value"), bounds))
+                          balance.bucket_in(F.col("variable"), F.col("value")))
 
 
 def median_of_ranked() -> Column:
@@ -172,9 +203,9 @@ def median_of_ranked() -> Column:
 
 
 def grouped_medians(df: DataFrame, groups: Sequence[str], columns: Mapping[str, str],
-                    bounds: Mapping[str, Sequence] | None = None) -> DataFrame:
+                    balance: Balance | None = None) -> DataFrame:
     """Exact medians of several columns per group; `columns` maps column to output name."""
-    ranked = ranked_long(df, groups, list(columns), bounds)
+    ranked = ranked_long(df, groups, list(columns), balance)
     per = ranked.groupBy(*groups, "variable").agg(median_of_ranked().alias("_m"))
     return per.groupBy(*groups).agg(*[
         F.max(F.when(F.col("variable") == c, F.col("_m"))).alias(out)
@@ -219,10 +250,9 @@ def distinct_position(df: DataFrame, value: str, share: float):
     the executors, one value comes back.
     """
     days = df.where(F.col(value).isNotNull()).select(value).distinct()
-    numbered = days.select(F.col(value), F.unix_date(F.col(value)).alias("_n"))
-    bounds = value_bounds(numbered, ["_n"])["_n"]
-    counts = numbered.withColumn("n", F.lit(1))
-    ranked = running_totals(counts, [], "_n", ["n"], bucket_of(F.col("_n"), bounds))
+    numbered = days.select(F.col(value), F.unix_date(F.col(value)).alias("_n"), F.lit(1).alias("n"))
+    balance = Balance.of(numbered, [], ["_n"])
+    ranked = running_totals(numbered, [], "_n", ["n"], balance.bucket("_n", F.col("_n")))
     wanted = F.floor(F.col("n_total") * F.lit(share))
     row = ranked.where(F.col("n_before") == wanted).select(value).head()
     return row[0] if row else None

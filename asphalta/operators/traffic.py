@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as dt
 from ..functions.text import leading_integer
-from .ordered import grouped_medians, value_bounds
+from .ordered import Balance, grouped_medians
 
 MAX_MISSING = 0.30
 
 
 def sensor_statistics(readings: DataFrame, source: str = "fichier_source",
-                      bounds: dict | None = None) -> DataFrame:
+                      balance: Balance | None = None) -> DataFrame:
     """Missing rate and exact medians of q and k per (source file, sensor)."""
     keys = [source, "iu_ac"]
     known = readings.where(F.col("iu_ac").isNotNull())
     rates = known.groupBy(*keys).agg(
         F.avg(F.col("q").isNull().cast("int")).alias("q_missing_rate"))
-    medians = grouped_medians(known, keys, {"q": "q_median", "k": "k_median"}, bounds)
+    medians = grouped_medians(known, keys, {"q": "q_median", "k": "k_median"}, balance)
     return rates.join(medians, keys, "left")
 
 
@@ -34,13 +34,13 @@ def reliable_sensors(readings: DataFrame, source: str = "fichier_source",
 
 
 def impute_readings(readings: DataFrame, stats: DataFrame, source: str = "fichier_source",
-                    bounds: dict | None = None) -> DataFrame:
+                    balance: Balance | None = None) -> DataFrame:
     """Fill q and k by the sensor's median, then by the file's median over kept rows."""
     keys = [source, "iu_ac"]
     good = stats.where(F.col("q_missing_rate") <= MAX_MISSING).select(
         *keys, "q_median", "k_median")
     kept = readings.join(good, keys)
-    per_file = grouped_medians(kept, [source], {"q": "_qf", "k": "_kf"}, bounds)
+    per_file = grouped_medians(kept, [source], {"q": "_qf", "k": "_kf"}, balance)
     return kept.join(per_file, source, "left").select(
         *keys, "t_1h",
         F.coalesce("q", "q_median", "_qf").alias("q"),
@@ -51,9 +51,10 @@ def impute_readings(readings: DataFrame, stats: DataFrame, source: str = "fichie
 
 def weekly_aggregate(readings: DataFrame, source: str = "fichier_source") -> DataFrame:
     """One row per sensor and weekly file, after filtering and imputation."""
-    bounds = value_bounds(readings, ["q", "k"])
-    stats = sensor_statistics(readings, source, bounds)
-    filled = impute_readings(readings, stats, source, bounds)
+    # A file bounds the sensors in it, so one measure serves both groupings.
+    balance = Balance.of(readings, [source], ["q", "k"])
+    stats = sensor_statistics(readings, source, balance)
+    filled = impute_readings(readings, stats, source, balance)
     return filled.groupBy(source, "iu_ac").agg(
         F.coalesce(F.sum("q"), F.lit(0.0)).alias("q_total"),
         F.avg("q").alias("q_moyen"), F.avg("k").alias("k_moyen"),

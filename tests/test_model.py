@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from asphalta.ml import explain, metrics, models, prep
+from asphalta.operators.ordered import Balance, value_bounds
 
 
 def scores(spark, pairs):
@@ -37,9 +38,11 @@ CASES = {
 
 @pytest.mark.parametrize("name", CASES)
 def test_ranking_metrics(spark, name):
-    got = metrics.ranking_metrics(scores(spark, CASES[name]), "s", "y").head()
-    assert got["roc_auc"] == pytest.approx(auc_by_pairs(CASES[name]))
-    assert got["pr_auc"] == pytest.approx(ap_by_steps(CASES[name]))
+    df = scores(spark, CASES[name])
+    for balance in (None, Balance(value_bounds(df, ["s"], buckets=50))):
+        got = metrics.ranking_metrics(df, "s", "y", balance=balance).head()
+        assert got["roc_auc"] == pytest.approx(auc_by_pairs(CASES[name]))
+        assert got["pr_auc"] == pytest.approx(ap_by_steps(CASES[name]))
 
 
 def test_one_class_has_no_auc(spark):

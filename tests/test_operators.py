@@ -38,16 +38,25 @@ def test_many_buckets_give_the_same_running_totals(spark):
     draw = random.Random(3)
     data = [(draw.choice("ab"), float(draw.randrange(400))) for _ in range(3000)]
     df = spark.createDataFrame(data, "g string, v double")
-    bounds = ordered.value_bounds(df, ["v"], buckets=200)["v"]
-    assert len(bounds) > ordered.CHUNK
-    got = {(r["g"], r["v"]): (r["n"], r["n_before"], r["n_total"])
-           for r in ordered.ranked_counts(df, ["g"], "v", bounds).collect()}
-    for g, v in set(data):
-        same = [x for k, x in data if k == g]
-        assert got[g, v] == (same.count(v), sum(x < v for x in same), len(same))
-    long = ordered.ranked_long(df, ["g"], ["v"], {"v": bounds})
-    assert {(r["g"], r["value"]): r["n_before"] for r in long.collect()} == {
-        k: n[1] for k, n in got.items()}
+    bounds = ordered.value_bounds(df, ["v"], buckets=200)
+    assert len(bounds["v"]) > ordered.CHUNK
+    spread, plain = ordered.Balance(bounds), ordered.Balance(None)
+    for balance in (spread, plain):
+        got = {(r["g"], r["v"]): (r["n"], r["n_before"], r["n_total"])
+               for r in ordered.ranked_counts(df, ["g"], "v", balance).collect()}
+        for g, v in set(data):
+            same = [x for k, x in data if k == g]
+            assert got[g, v] == (same.count(v), sum(x < v for x in same), len(same))
+        long = ordered.ranked_long(df, ["g"], ["v"], balance)
+        assert {(r["g"], r["value"]): r["n_before"] for r in long.collect()} == {
+            k: n[1] for k, n in got.items()}
+
+
+def test_balance_follows_the_largest_group(spark):
+    df = spark.range(100).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
+    assert ordered.Balance.of(df, ["g"], ["v"], limit=50).bounds is None
+    assert ordered.Balance.of(df, ["g"], ["v"], limit=49).bounds is not None
+    assert ordered.Balance.of(df, [], ["v"], limit=10).bounds is not None
 
 
 def test_hot_value_quantile(spark):
