@@ -265,6 +265,43 @@ def m09(c):
     return metrics.full_metrics(materialize(scored.select("grave", "y_probs"), "scores"), "y_probs", "grave", 0.5, "Regression Logistique")
 
 
+BASELINE_FEATURES = ("tm", "rr", "condition_lum", "saison_Ete", "saison_Hiver", "saison_Printemps")
+
+
+@query("m09_baseline_features", f"""
+ WITH x AS (SELECT f.id_usager, f.aaaammjj, {Y} AS grave, m.tm, m.rr, CASE WHEN f.lum IN (2,3,4,5) THEN 1 ELSE 0 END AS condition_lum,
+  CAST(substr(f.aaaammjj, 5, 2) AS INT) AS mm FROM fait f LEFT JOIN dim_meteo m ON f.aaaammjj = m.aaaammjj),
+ md AS (SELECT median(tm) AS tm, median(rr) AS rr FROM x WHERE aaaammjj < '20241019')
+ SELECT id_usager, grave, round(coalesce(x.tm, md.tm), 6) AS tm, round(coalesce(x.rr, md.rr), 6) AS rr, condition_lum, CASE WHEN mm IN (6,7,8) THEN 1 ELSE 0 END AS saison_Ete,
+  CASE WHEN mm IN (12,1,2) THEN 1 ELSE 0 END AS saison_Hiver, CASE WHEN mm IN (3,4,5) THEN 1 ELSE 0 END AS saison_Printemps FROM x, md""")
+def m09_features(c):
+    """Six baseline features; medians from the training days only."""
+    return rounded(baseline_table(c).drop("jour_date"), 6, "tm", "rr")
+
+
+def baseline_table(c):
+    rows = c.star.fact.select("id_usager", "aaaammjj", "lum", "grav").join(
+        c.star.dim_meteo.select("aaaammjj", "tm", "rr"), "aaaammjj", "left")
+    month = F.substring("aaaammjj", 5, 2).cast("int")
+    named = prep.define_target(rows).select(
+        "id_usager", "grave", dt.compact_date(F.col("aaaammjj")).alias("jour_date"), "tm", "rr",
+        lb.dark(F.col("lum")).alias("condition_lum"),
+        lb.season(month, ("Hiver", "Printemps", "Ete", "Automne")).alias("saison"))
+    table = materialize(prep.one_hot(named, "saison", ["Automne", "Ete", "Hiver", "Printemps"]), "baseline")
+    train, _ = prep.temporal_split(table, "jour_date")
+    return prep.impute(table, prep.fit_imputation(train, ["tm", "rr"]))
+
+
+@query("m09_baseline_model")
+def m09_baseline(c):
+    """Weather, light and season only: the reference point of the other models."""
+    train, test = prep.temporal_split(baseline_table(c), "jour_date")
+    fitted = prep.fit_scaling(train, BASELINE_FEATURES)
+    model = models.fit_logistic(prep.scale(train, fitted), BASELINE_FEATURES)
+    scored = models.scored(model, models.assembled(prep.scale(test, fitted), BASELINE_FEATURES))
+    return metrics.full_metrics(materialize(scored.select("grave", "y_probs"), "scores"), "y_probs", "grave", 0.5, "Baseline")
+
+
 @query("m10_gradient_boosting")
 def m10(c):
     """Boosted trees, plain and weighted, and plain at the F1-best train threshold."""

@@ -48,13 +48,18 @@ def row_shares(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def pair_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Counts for every pair of columns from one grouped pass."""
+    """Counts for every pair of few-valued columns.
+
+    Combinations of all columns are counted first; pairs are formed from those, so
+    no row of the table is repeated per pair.
+    """
+    combos = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
     pairs = F.explode(F.array(*[
         F.struct(F.lit(x).alias("var1"), F.lit(y).alias("var2"),
                  F.col(x).cast("string").alias("a"), F.col(y).cast("string").alias("b"))
         for x, y in combinations(columns, 2)])).alias("p")
-    return (df.select(pairs).select("p.*").na.drop(subset=["a", "b"])
-            .groupBy("var1", "var2", "a", "b").agg(F.count(F.lit(1)).alias("n")))
+    return (combos.select("n", pairs).select("n", "p.*").na.drop(subset=["a", "b"])
+            .groupBy("var1", "var2", "a", "b").agg(F.sum("n").alias("n")))
 
 
 def chi_square(counts: DataFrame, keys: Sequence[str] = (), correction: bool = True) -> DataFrame:
@@ -106,11 +111,14 @@ def independence_test(df: DataFrame, a: str, b: str, correction: bool = True) ->
 def cramer_matrix(df: DataFrame, columns: Sequence[str], max_card: int = 50,
                   bias_corrected: bool = True) -> DataFrame:
     """Cramer's V of every pair of columns with at most `max_card` values."""
-    card = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in columns]).head()
-    # The sketch only spares clearly larger columns; near the limit we count exactly.
-    near = [c for c in columns if card[c] <= max_card * 1.2]
-    exact = df.agg(*[F.count_distinct(c).alias(c) for c in near]).head()
-    kept = [c for c in near if exact[c] <= max_card]
+    card = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in columns]).head().asDict()
+    # The sketch settles clear cases; near the limit we count exactly.
+    near = [c for c in columns if 0.8 * max_card <= card[c] <= 1.2 * max_card]
+    if near:
+        card.update(df.agg(*[F.count_distinct(c).alias(c) for c in near]).head().asDict())
+    kept = [c for c in columns if card[c] <= max_card]
+    if len(kept) < 2:
+        return df.sparkSession.createDataFrame([], "var1 string, var2 string, n bigint, v double")
     stat = chi_square(pair_cells(df, kept), ["var1", "var2"], correction=False)
     n, r, k = (F.col(c).cast("double") for c in ("n", "r", "k"))
     phi2 = F.col("chi2") / n

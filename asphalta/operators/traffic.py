@@ -7,20 +7,54 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as dt
 from ..functions.text import leading_integer
-from .ordered import Balance, grouped_medians
+from .ordered import Balance, grouped_medians, median_of_ranked, running_totals
 
 MAX_MISSING = 0.30
 
 
+def reading_counts(readings: DataFrame, source: str = "fichier_source",
+                   balance: Balance | None = None) -> DataFrame:
+    """Readings counted per (file, sensor, measure, value), with running counts.
+
+    `n` counts known values, `m` all readings including the NULL value.  Missing
+    rates, medians, sums and periods all come out of this one pass.
+    """
+    known = readings.where(F.col("iu_ac").isNotNull())
+    balance = balance or Balance.of(known, [source], ["q", "k"])
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value"))
+        for c in ("q", "k")])).alias("p")
+    counts = (known.select(source, "iu_ac", "t_1h", pairs).select(source, "iu_ac", "t_1h", "p.*")
+              .groupBy(source, "iu_ac", "variable", "value")
+              .agg(F.count("value").alias("n"), F.count(F.lit(1)).alias("m"),
+                   F.min("t_1h").alias("t_min"), F.max("t_1h").alias("t_max")))
+    return running_totals(counts, [source, "iu_ac", "variable"], "value", ["n"],
+                          balance.bucket_in(F.col("variable"), F.col("value")))
+
+
+def per_sensor(counts: DataFrame, source: str = "fichier_source") -> DataFrame:
+    """Counts, sums, period and median of each measure per (file, sensor)."""
+    missing = F.sum(F.when(F.col("value").isNull(), F.col("m")).otherwise(0))
+    measured = counts.groupBy(source, "iu_ac", "variable").agg(
+        median_of_ranked().alias("median"), F.sum("m").alias("rows"), missing.alias("missing"),
+        F.coalesce(F.sum(F.col("value") * F.col("n")), F.lit(0.0)).alias("known_sum"),
+        F.min("t_min").alias("t_debut"), F.max("t_max").alias("t_fin"))
+
+    def of(variable: str, name: str):
+        return F.max(F.when(F.col("variable") == variable, F.col(name)))
+
+    return measured.groupBy(source, "iu_ac").agg(
+        F.max("rows").alias("rows"), F.min("t_debut").alias("t_debut"), F.max("t_fin").alias("t_fin"),
+        *[of(v, n).alias(f"{v}_{n}") for v in ("q", "k") for n in ("median", "missing", "known_sum")]
+    ).withColumns({
+        f"{v}_missing_rate": F.col(f"{v}_missing") / F.col("rows") for v in ("q", "k")})
+
+
 def sensor_statistics(readings: DataFrame, source: str = "fichier_source",
                       balance: Balance | None = None) -> DataFrame:
     """Missing rate and exact medians of q and k per (source file, sensor)."""
-    keys = [source, "iu_ac"]
-    known = readings.where(F.col("iu_ac").isNotNull())
-    rates = known.groupBy(*keys).agg(
-        F.avg(F.col("q").isNull().cast("int")).alias("q_missing_rate"))
-    medians = grouped_medians(known, keys, {"q": "q_median", "k": "k_median"}, balance)
-    return rates.join(medians, keys, "left")
+    return per_sensor(reading_counts(readings, source, balance), source).select(
+        source, "iu_ac", "q_missing_rate", "q_median", "k_median")
 
 
 def reliable_sensors(readings: DataFrame, source: str = "fichier_source",
@@ -50,17 +84,38 @@ def impute_readings(readings: DataFrame, stats: DataFrame, source: str = "fichie
 
 
 def weekly_aggregate(readings: DataFrame, source: str = "fichier_source") -> DataFrame:
-    """One row per sensor and weekly file, after filtering and imputation."""
-    # A file bounds the sensors in it, so one measure serves both groupings.
-    balance = Balance.of(readings, [source], ["q", "k"])
-    stats = sensor_statistics(readings, source, balance)
-    filled = impute_readings(readings, stats, source, balance)
-    return filled.groupBy(source, "iu_ac").agg(
-        F.coalesce(F.sum("q"), F.lit(0.0)).alias("q_total"),
-        F.avg("q").alias("q_moyen"), F.avg("k").alias("k_moyen"),
-        F.count("q").alias("nb_heures"),
-        F.avg("q_missing").alias("q_missing_rate"), F.avg("k_missing").alias("k_missing_rate"),
-        F.min("t_1h").alias("t_debut"), F.max("t_1h").alias("t_fin"))
+    """One row per sensor and weekly file, after filtering and imputation.
+
+    Works on counts of values: a missing reading adds the sensor's median, or the
+    median of the file's kept readings where the sensor has none.
+    """
+    balance = Balance.of(readings.where(F.col("iu_ac").isNotNull()), [source], ["q", "k"])
+    counts = reading_counts(readings, source, balance)
+    kept = per_sensor(counts, source).where(F.col("q_missing_rate") <= MAX_MISSING)
+    pooled = (counts.select(source, "iu_ac", "variable", "value", "n")
+              .where(F.col("value").isNotNull())
+              .join(kept.select(source, "iu_ac"), [source, "iu_ac"])
+              .groupBy(source, "variable", "value").agg(F.sum("n").alias("n")))
+    ranked = running_totals(pooled, [source, "variable"], "value", ["n"],
+                            balance.bucket_in(F.col("variable"), F.col("value")))
+    file_level = ranked.groupBy(source, "variable").agg(median_of_ranked().alias("_m"))
+    file_level = file_level.groupBy(source).agg(*[
+        F.max(F.when(F.col("variable") == v, F.col("_m"))).alias(f"_{v}f") for v in ("q", "k")])
+
+    def filled(v: str):
+        """Sum of a measure and number of readings once gaps are filled."""
+        fill = F.coalesce(F.col(f"{v}_median"), F.col(f"_{v}f"))
+        gaps = F.col(f"{v}_missing")
+        total = F.col(f"{v}_known_sum") + F.when(gaps > 0, F.coalesce(fill, F.lit(0.0)) * gaps).otherwise(0.0)
+        size = F.col("rows") - F.when(fill.isNull(), gaps).otherwise(0)
+        return total, size
+
+    q_sum, q_n = filled("q")
+    k_sum, k_n = filled("k")
+    return kept.join(file_level, source, "left").select(
+        source, "iu_ac", q_sum.alias("q_total"), F.try_divide(q_sum, q_n).alias("q_moyen"),
+        F.try_divide(k_sum, k_n).alias("k_moyen"), q_n.alias("nb_heures"),
+        "q_missing_rate", "k_missing_rate", "t_debut", "t_fin")
 
 
 def traffic_dimension(weekly: DataFrame, when: str = "t_debut") -> DataFrame:
