@@ -411,9 +411,6 @@ def a46(c):
     exact.unionAll(yearly).write.partitionBy("fichier").text(path)
     landed = (c.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
               .select(logical_name(F.col("path")).alias("nom")).distinct())
-    expected = c.spark.createDataFrame(
-        [("baac", "caracteristiques.csv", "caract"), ("baac", "usagers.csv", "usager"), ("baac", "vehicules.csv", "vehicule")],
-        "source string, attendu string, motif string")
-    return profile.landing_gaps(expected, landed)
-
-
+    return profile.landing_gaps(landed, [
+        ("baac", "caracteristiques.csv", "caract"), ("baac", "usagers.csv", "usager"),
+        ("baac", "vehicules.csv", "vehicule")])

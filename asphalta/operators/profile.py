@@ -326,26 +326,32 @@ def anomaly_totals(log: DataFrame) -> DataFrame:
     return log.groupBy("niveau").agg(F.count(F.lit(1)).alias("nb_anomalies"))
 
 
-def landing_gaps(expected: DataFrame, landed: DataFrame) -> DataFrame:
+def landing_gaps(landed: DataFrame, expected: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Expected files that did not land, with similarly named files that did.
 
-    `expected` has (source, attendu, motif); `landed` has (nom).  A variant is a
-    landed name that contains the pattern once both are normalised.
+    `landed` has (nom); `expected` lists (source, file name, pattern).  A variant is
+    a landed name that contains the pattern once normalised.  One aggregate over the
+    names answers for all expected files.
     """
     from ..functions.text import normalised
 
-    absent = expected.join(landed.select(F.col("nom").alias("attendu")), "attendu", "left_anti")
-    # The expected list is a declared configuration table of a few rows.
-    near = landed.join(F.broadcast(absent),
-                       F.contains(normalised(F.col("nom")), F.col("motif")), "inner")
-    found = near.groupBy("attendu").agg(F.count(F.lit(1)).alias("nb_variantes"),
-                                        F.min("nom").alias("exemple_variante"))
-    return absent.join(found, "attendu", "left").select(
+    nom = F.col("nom")
+    aggs = []
+    for i, (_, name, pattern) in enumerate(expected):
+        near = normalised(nom).contains(pattern)
+        aggs += [F.count_if(nom == name).alias(f"e{i}"), F.count_if(near).alias(f"v{i}"),
+                 F.min(F.when(near, nom)).alias(f"x{i}")]
+    rows = landed.agg(*aggs).select(F.explode(F.array(*[
+        F.struct(F.lit(source).alias("source"), F.lit(name).alias("attendu"),
+                 F.col(f"e{i}").alias("presents"), F.col(f"v{i}").alias("nb_variantes"),
+                 F.col(f"x{i}").alias("exemple_variante"))
+        for i, (source, name, _) in enumerate(expected)])).alias("r")).select("r.*")
+    near = F.col("nb_variantes") > 0
+    return rows.where(F.col("presents") == 0).select(
         "source", "attendu",
-        F.when(F.col("nb_variantes").isNotNull(), "NOM_FICHIER").otherwise("FICHIER_MANQUANT")
-        .alias("categorie"),
-        F.when(F.col("nb_variantes").isNotNull(), "WARNING").otherwise("ERROR").alias("niveau"),
-        F.coalesce("nb_variantes", F.lit(0)).alias("nb_variantes"), "exemple_variante")
+        F.when(near, "NOM_FICHIER").otherwise("FICHIER_MANQUANT").alias("categorie"),
+        F.when(near, "WARNING").otherwise("ERROR").alias("niveau"),
+        "nb_variantes", "exemple_variante")
 
 
 def multi_date_accidents(df: DataFrame, key: str, day: str) -> DataFrame:
