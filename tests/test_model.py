@@ -150,3 +150,13 @@ def test_logistic_regression_uses_scaled_balanced_data(fitted):
     scaled = prep.scale(df, prep.fit_scaling(df, ["a", "b"]))
     model = models.fit_logistic(scaled, ["a", "b"])
     assert model.coefficients[0] > 1 > abs(model.coefficients[1])
+
+
+def test_forest_importances_and_method_table(spark, fitted):
+    df, model = fitted
+    forest = models.importances(models.fit_forest(df, ["a", "b"], trees=5, depth=3), ["a", "b"], spark)
+    values = {r["feature"]: r["importance"] for r in forest.collect()}
+    assert sum(values.values()) == pytest.approx(1.0) and values["a"] > values["b"]
+    table = explain.top_by_method({"forest": forest, "boosted": models.importances(model, ["a", "b"], spark)}, k=1)
+    assert sorted((r["methode"], r["feature"], r["rang"]) for r in table.collect()) == [
+        ("boosted", "a", 1), ("forest", "a", 1)]

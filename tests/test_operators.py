@@ -274,3 +274,12 @@ def test_multi_date_guard(spark):
     assert profile.assert_single_date(df, "k", "d") is df
     with pytest.raises(ValueError):
         profile.assert_single_date(df.unionAll(df.selectExpr("k", "d + 1")), "k", "d")
+
+
+def test_mutual_information_extremes(spark):
+    df = spark.range(4000).select(
+        (F.col("id") % 2).cast("int").alias("y"), ((F.col("id") % 2) * 10 + 0.0).alias("same"),
+        F.floor(F.col("id") / 2).cast("double").alias("free"), F.lit(1.0).alias("flat"))
+    got = {r["variable"]: r["mutual_info"] for r in assoc.mutual_information(df, ["same", "free", "flat"], "y").collect()}
+    assert got["same"] == pytest.approx(np.log(2))
+    assert got["flat"] == pytest.approx(0, abs=1e-12) and 0 <= got["free"] < 0.01
