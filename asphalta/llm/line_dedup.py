@@ -101,10 +101,10 @@ class LineRuns:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1,
-                min_docs: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
+                min_docs: int = 10, batches: int = 4, fanout: int = 2, keep_first: bool = False) -> DataFrame:
     """docs without the lines whose key stands in at least min_docs documents.
 
-    Adds n_lines (before) and n_dropped; the text column holds the lines left, joined
+    keep_first leaves each such key its first line, that of the smallest id. Adds n_lines (before) and n_dropped; the text column holds the lines left, joined
     by a line feed.
     """
     spark = docs.sparkSession
@@ -114,9 +114,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         own = hashes.where(F.col("batch") == batch).select(F.explode(F.array_distinct("keys")).alias("key"))
         runs.add(own.where("key IS NOT NULL").select(F.unhex("key").alias("key")))
     placed = hashes.select("doc", "row", F.posexplode("keys").alias("pos", "key")).where("key IS NOT NULL")
+    common = placed.withColumn("key", F.unhex("key")).join(runs.frequent(), "key", "left_semi")
+    if keep_first:
+        common, _ = saved(common, "frequent-lines")
+        firsts = common.groupBy("key").agg(F.min(F.struct("doc", "row", "pos")).alias("at")).select("at.*")
+        common = common.join(
+            firsts.select(F.col("doc").alias("__doc"), F.col("row").alias("__at"), F.col("pos").alias("__pos")),
+            F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("row") == F.col("__at")) & (F.col("pos") == F.col("__pos")),
+            "left_anti")
     dropped = (
-        placed.withColumn("key", F.unhex("key")).join(runs.frequent(), "key", "left_semi")
-        .groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__at")).agg(F.collect_set("pos").alias("__dropped")))
+        common.groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__at")).agg(F.collect_set("pos").alias("__dropped")))
     keyed = docs.withColumn("__row", row_key(id_col, text_col))
     joined = keyed.join(
         dropped, keyed[id_col].eqNullSafe(dropped["__doc"]) & (keyed["__row"] == dropped["__at"]), "left")

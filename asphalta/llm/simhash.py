@@ -23,6 +23,7 @@ extra columns are left out of the result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import batch_of, query, saved, small_batches, table
+from .common import batch_of, query, row_key, saved, small_batches, table
 from .components import components
 
 SEED = 42
@@ -53,6 +54,16 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), "<u8", len(words) - size + 1)
 
 
+def mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """Other 64-bit hashes of the same shingles, for further words of a wide fingerprint."""
+    if not word:
+        return hashes
+    h = hashes ^ np.uint64((0x9E3779B97F4A7C15 * word) % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def majority_bits(hashes: np.ndarray) -> int:
     """The 64-bit fingerprint: bits set in over half the hashes; none: zero."""
     count = np.zeros((8, 8), np.int64)
@@ -86,6 +97,11 @@ def block_masks(blocks: int, radius: int) -> list[int]:
     return [sum(choice) for choice in combinations(masks, blocks - radius)]
 
 
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints given as rows of 64-bit words."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
 def build_trees(values: np.ndarray, heads: np.ndarray) -> dict[str, np.ndarray]:
     """BK-trees of many groups at once: heads[i] is the index of the root of item i's tree.
 
@@ -97,7 +113,7 @@ def build_trees(values: np.ndarray, heads: np.ndarray) -> dict[str, np.ndarray]:
     item = np.flatnonzero(heads != np.arange(n))
     node = heads[item]
     while len(item):
-        gap = np.bitwise_count(values[item] ^ values[node]).astype(np.int64)
+        gap = bits_apart(values[item], values[node])
         order = np.lexsort((item, gap, node))
         item, node, gap = item[order], node[order], gap[order]
         first = np.ones(len(item), bool)
@@ -117,7 +133,7 @@ def search_trees(values: np.ndarray, tree: dict[str, np.ndarray], query: np.ndar
     """(query, item) index pairs at most radius bits apart, in the trees under root."""
     found_q, found_i = [], []
     while len(query):
-        gap = np.bitwise_count(values[query] ^ values[root]).astype(np.int64)
+        gap = bits_apart(values[query], values[root])
         near = gap <= radius
         found_q.append(query[near])
         found_i.append(root[near])
@@ -178,12 +194,12 @@ def link_buckets(values: np.ndarray, bucket: np.ndarray, in_tree: np.ndarray, as
 
 
 def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
-    """(u, v) links of node ids. rows: (place, part, node, fp, in_tree, asks); a bucket is (place, part)."""
+    """(u, v) links of nodes. rows: (place, part, node, in_tree, asks, fp...); a bucket is (place, part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in whole_buckets(batches):
-            place, node, fp, in_tree, asks = columns
-            label = link_buckets(fp.view(np.uint64), place, in_tree, asks, radius)
+            place, node, in_tree, asks, *words = columns
+            label = link_buckets(np.stack(words, axis=1).view(np.uint64), place, in_tree, asks, radius)
             linked = label != np.arange(len(label))
             yield batch_of({"u": (node[linked], pa.int64()), "v": (node[label[linked]], pa.int64())})
 
@@ -194,10 +210,10 @@ def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
 def whole_buckets(batches: Iterator[pa.RecordBatch], least: int = 1 << 17) -> Iterator[tuple]:
     """Runs of whole buckets of about `least` rows, without buckets of one row.
 
-    Gives (bucket number, node, fp, in_tree, asks) of rows sorted by bucket.
+    Gives (bucket number, *other columns) of rows sorted by bucket, that is by the first two columns.
     """
     def arrays(batch):
-        return [batch.column(c).to_numpy(zero_copy_only=False) for c in ("place", "part", "node", "fp", "in_tree", "asks")]
+        return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
     def numbered(held):
         place, part, *rest = (np.concatenate(x) for x in zip(*held))
@@ -233,11 +249,12 @@ def whole_buckets(batches: Iterator[pa.RecordBatch], least: int = 1 << 17) -> It
 
 def near_links(fps: DataFrame, routes: Callable[[DataFrame], DataFrame], radius: int,
                shard: int = SHARD) -> DataFrame:
-    """Links (u, v) between the nodes of fps (node, fp, ...) that meet in a bucket of routes(fps).
+    """Links (u, v) between the nodes of fps (node, fp...) that meet in a bucket.
 
-    routes gives (place, node, fp), one row per bucket of a node.
+    routes(fps) gives one row (place, node, fp...) per bucket of a node.
     """
     routed = routes(fps)
+    words = [c for c in routed.columns if c.startswith("fp")]
     large = routed.groupBy("place").count().where(F.col("count") > shard).select(
         "place", F.ceil(F.col("count") / shard).cast("int").alias("shards"))
     large, _ = saved(large, "large-buckets")
@@ -249,8 +266,8 @@ def near_links(fps: DataFrame, routes: Callable[[DataFrame], DataFrame], radius:
         "other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     rows = met.select(
-        "place", (low * F.col("shards") + high).alias("part"), "node", "fp",
-        (F.col("own") == low).alias("in_tree"), (F.col("own") == high).alias("asks"))
+        "place", (low * F.col("shards") + high).alias("part"), "node",
+        (F.col("own") == low).alias("in_tree"), (F.col("own") == high).alias("asks"), *words)
     return bucket_links(rows, radius)
 
 
@@ -283,6 +300,82 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int, words: int, bands: int,
+                      band_bits: int) -> DataFrame:
+    """(id, row, fp0.., places): a fingerprint of 64 * words bits, and its buckets.
+
+    The fingerprint is that of the shingles; buckets come from bands of bits of another
+    one, over the text's different words, which near copies share far more fully.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    route_words = -(-bands * band_bits // 64)
+    names = [f"fp{i}" for i in range(words)]
+
+    def places(text: str | None) -> list[int]:
+        hashes = np.unique(shingle_hashes(text, 1))
+        bits = sum(majority_bits(mixed(hashes, i + 1)) << 64 * i for i in range(route_words))
+        mask = (1 << band_bits) - 1
+        return [b << band_bits | (bits >> b * band_bits & mask) for b in range(bands)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            texts = batch.column(2).to_pylist()
+            hashes = [np.unique(shingle_hashes(t, size)) for t in texts]
+            fps = np.array([[majority_bits(mixed(h, i)) for i in range(words)] for h in hashes], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(fps[:, i]) for i in range(words)),
+                 pa.array([places(t) for t in texts], pa.list_(pa.int64()))], names=["id", "row", *names, "places"])
+
+    schema = f"id {kind}, row bigint, {', '.join(f'{n} bigint' for n in names)}, places array<bigint>"
+    return docs.select(id_col, row_key(id_col, text_col), text_col).mapInArrow(run, schema)
+
+
+def radius_of(jaccard: float, bits: int) -> int:
+    """Bits that differ, on average, between fingerprints of shingle sets of that similarity."""
+    return round(bits * math.acos(2 * jaccard / (1 + jaccard)) / math.pi)
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
+                     similarity: float = 0.8, slack: int = 4, words: int = 4, bands: int = 24,
+                     band_bits: int = 18) -> DataFrame:
+    """docs without all but one document, that of the smallest id, of every group of near copies.
+
+    Near copies are linked if their fingerprints of 64 * words bits differ in no more bits
+    than shingle sets of the given similarity do on average, plus slack. Candidates agree
+    on one of `bands` bands of `band_bits` bits. Of repeated rows one stays; rows with a
+    null id stay only if their whole group has none.
+    """
+    rows, _ = saved(wide_fingerprints(docs, id_col, text_col, size, words, bands, band_bits), "fingerprints")
+    fps = [c for c in rows.columns if c.startswith("fp")]
+    whole = F.xxhash64(*fps, "places")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    nodes, _ = saved(rows.groupBy(whole.alias("node"), *fps, "places").agg(
+        first.alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
+    links = near_links(
+        nodes, lambda f: f.select(F.explode("places").alias("place"), "node", *fps),
+        radius_of(similarity, 64 * words) + slack)
+    joined = components(links)
+    linked = nodes.select("node", "first").join(joined, "node")
+    best = linked.groupBy("component").agg(F.min("first").alias("best"))
+    replaced = linked.join(best, "component").where("first <> best").select("node", F.lit(True).alias("gone"))
+    # Every row that is not the first of its node, and all rows of nodes that lost to another.
+    placed = rows.select("id", "row", whole.alias("node")).join(
+        nodes.select("node", "first", "n"), "node").join(replaced, "node", "left")
+    stays = F.col("gone").isNull() & (F.col("row") == F.col("first.row")) & F.col("id").eqNullSafe(F.col("first.id"))
+    gone, _ = saved(placed.where(~stays).select(F.col("id").alias("__id"), F.col("row").alias("__at")).distinct(), "copies")
+    keyed = docs.withColumn("__row", row_key(id_col, text_col))
+    kept = keyed.join(gone, keyed[id_col].eqNullSafe(gone["__id"]) & (keyed["__row"] == gone["__at"]), "left_anti")
+    # Rows repeated in id and text: all of them are the first of their node, one stays.
+    again, _ = saved(
+        placed.where(stays & (F.col("n") > 1)).groupBy(F.col("id").alias("__id"), F.col("row").alias("__at")).count()
+        .where("count > 1").select("__id", "__at"), "repeated-rows")
+    same = kept[id_col].eqNullSafe(again["__id"]) & (kept["__row"] == again["__at"])
+    once = kept.join(again, same, "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return once
+    return once.union(kept.join(again, same, "left_semi").dropDuplicates([id_col, "__row"]).select(*docs.columns))
+
+
 @query("op1_simhash_near_dedup")
 def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(table(spark, folder, "documents").select("doc_id", "text"))

@@ -42,5 +42,12 @@ def test_batches_and_levels_give_the_same(spark):
         assert sorted(mine) == sorted(plain(rows, 10))
 
 
+def test_first_line_can_stay(spark):
+    rows = [(i, f"own {i}\nshared\n shared") for i in range(5, 30)] + [(40, "SHARED")] * 2
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), keep_first=True).collect()
+    texts = {r.doc_id: r.text for r in got}
+    assert texts[5] == "own 5\nshared" and texts[6] == "own 6" and texts[40] == "" and len(got) == len(rows)
+
+
 def test_empty_table(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []

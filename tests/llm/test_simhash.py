@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from asphalta.llm import simhash
 from asphalta.llm.components import components
-from asphalta.llm.simhash import agreeing_blocks, link_buckets, near_links, simhash_groups
+from asphalta.llm.simhash import agreeing_blocks, drop_near_copies, link_buckets, near_links, simhash_groups
 
 
 def plain_fingerprint(text, size=4):
@@ -96,11 +96,11 @@ def test_trees_follow_only_edges_within_the_radius():
     values = np.array(near_values(rng, 600), np.uint64)
     bucket = np.sort(np.array([rng.randrange(5) for _ in values]))
     on = np.ones(len(values), bool)
-    label = link_buckets(values, bucket, on, on, 4, chunk=64)
+    label = link_buckets(values[:, None], bucket, on, on, 4, chunk=64)
     expect = np.concatenate([np.array(groups_of([int(v) for v in values[bucket == b]], 4)) + np.flatnonzero(bucket == b)[0]
                              for b in np.unique(bucket)])
     assert (label == expect).all()
-    tree = simhash.build_trees(values, np.zeros(len(values), np.int64))
+    tree = simhash.build_trees(values[:, None], np.zeros(len(values), np.int64))
     for node in range(len(values)):
         kids = tree["kids"][tree["low"][node]:tree["high"][node]]
         assert len(set(tree["key"][kids])) == len(kids)
@@ -113,3 +113,26 @@ def test_components_of_chain_star_and_loops(spark):
     edges = spark.createDataFrame(chain + star + star + [(7, 7), (None, 3), (-5, 100)], "u long, v long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {**{i: 10 for i in range(10, 41)}, **{100 + i: -5 for i in range(50)}, -5: -5}
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = random.Random(11)
+    vocabulary = ["w%d" % i for i in range(4000)]
+    rows, groups = [], {}
+    for g in range(40):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(120, 400))]
+        for c in range(rng.randrange(1, 5)):
+            copy = list(words)
+            for _ in range(c):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            groups.setdefault(g, []).append(len(rows))
+            rows.append((len(rows), " ".join(copy)))
+    half = [rng.choice(vocabulary) for _ in range(200)]
+    rows += [(900, " ".join(half)), (901, " ".join(half[:100] + [rng.choice(vocabulary) for _ in range(100)]))]
+    rows += [rows[0], rows[0], (None, rows[5][1]), (None, "alone with no id"), (950, None), (951, ""), (952, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1)).repartition(4)
+    kept = drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    expect = sorted([min(g) for g in groups.values()] + [900, 901, 950, -1])
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == expect
+    assert drop_near_copies(docs.where("doc_id < 0")).collect() == []
