@@ -44,6 +44,11 @@ def discard(spark: SparkSession, paths: Iterable[str]) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+
+
 def row_key(id_col: str, text_col: str):
     """Hash that tells rows with the same id apart; rows equal in id and text share it."""
     return F.xxhash64(F.col(id_col), F.col(text_col))
