@@ -1,10 +1,12 @@
-"""Token ids of whole texts by the tokenizers library, one library call per new word.
+"""Token ids of whole texts by the tokenizers library, asked once for each new word.
 
 The tokenizer drops white space and never joins across it, so a text's ids are the ids
-of its white-space separated words in order. A task keeps the ids of words it has seen;
-new ones are encoded by the library in one batch. Texts that hold a special token's
-string or one of the four control characters that Python, but not the tokenizer, takes
-for white space go to the library whole.
+of its white-space separated chunks in order. A task keeps the ids of chunks it has
+seen. Of new ones, those of Latin letters only, or with one mark after them, are reduced
+to the word in lower case and encoded many to a call; each is one word to the tokenizer,
+so its ids reach to the next that ends a word. All others are encoded one by one. Texts
+that hold a special token's string or one of the four control characters that Python,
+but not the tokenizer, takes for white space go to the library whole.
 """
 
 from __future__ import annotations
@@ -14,8 +16,12 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Words kept by a task; beyond that it starts anew.
+#: Chunks kept by a task, in each of two generations; a full one takes the older's place.
 WORDS_KEPT = 400_000
+#: Words encoded in one call.
+AT_ONCE = 2000
+#: Letters with one code point each that are their own composed form and whose lower case is one letter.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]?)")
 
 
 def default_tokenizer() -> str:
@@ -36,20 +42,74 @@ class WordEncoder:
         self.tokenizer.no_padding()
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([*special, "[\x1c-\x1f]"]))
+        vocabulary = self.tokenizer.get_vocab()
+        ends = {i for t, i in vocabulary.items() if t.endswith("</w>")}
+        self.ends = bytes(i in ends for i in range(max(vocabulary.values()) + 1))
+        self.marks = {m: self._library([m])[0] for m in ".,;:!?"} | {"": b""}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _plain_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters in lower case."""
+        out = []
+        for at in range(0, len(words), AT_ONCE):
+            [found] = self.tokenizer.encode_batch_fast([" ".join(words[at:at + AT_ONCE])], add_special_tokens=False)
+            ids, ends, start = array("I", found.ids), self.ends, 0
+            raw = ids.tobytes()
+            for end, i in enumerate(ids, 1):
+                if ends[i]:
+                    out.append(raw[4 * start:4 * end])
+                    start = end
+        if len(out) != len(words):
+            raise ValueError("the tokenizer cuts words of letters")
+        return out
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Add new chunks to the words kept."""
+        if len(self.words) > WORDS_KEPT:
+            self.older, self.words = self.words, {}
+        words, older = self.words, self.older
+        forms: list[tuple[str, str, str]] = []
+        plain: set[str] = set()
+        others: list[str] = []
+        for chunk in chunks:
+            if (known := older.get(chunk)) is not None:
+                words[chunk] = known
+            elif m := PLAIN.fullmatch(chunk):
+                word = m[1].lower()
+                forms.append((chunk, word, m[2]))
+                if word not in words:
+                    plain.add(word)
+            else:
+                others.append(chunk)
+        new = list(plain)
+        words.update(zip(new, self._plain_words(new)))
+        words.update(zip(others, self._library(others)))
+        for chunk, word, mark in forms:
+            words[chunk] = words[word] + self.marks[mark]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [None if self.whole.search(t) else t.split() for t in (t or "" for t in texts)]
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        new = list(set().union(*(s for s in split if s is not None)) - self.words.keys())
-        self.words.update(zip(new, self._library(new)))
-        ids = self.words.__getitem__
-        return [b"".join(map(ids, s)) if s is not None else self._library([t])[0] for s, t in zip(split, texts)]
+        get, new = self.words.get, set()
+        found = [list(map(get, s)) if s is not None else [] for s in split]
+        for s, ids in zip(split, found):
+            if None in ids:
+                new.update([w for w, i in zip(s, ids) if i is None])
+        if new:
+            self._learn(new)
+        get = self.words.get
+        out = []
+        for t, s, ids in zip(texts, split, found):
+            if s is None:
+                ids = self._library([t])
+            elif None in ids:
+                ids = [get(w) if i is None else i for w, i in zip(s, ids)]
+            out.append(b"".join(ids))
+        return out
 
 
 @lru_cache(2)

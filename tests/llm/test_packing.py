@@ -10,7 +10,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from asphalta.llm import packing
+from asphalta.llm import packing, tokens
 from asphalta.llm.packing import cut_documents, dominating_set, pack, pack_sizes, sequences
 from asphalta.llm.tokens import WordEncoder, default_tokenizer
 
@@ -101,9 +101,19 @@ def test_words_encode_like_whole_texts():
     plain = Tokenizer.from_file(default_tokenizer())
     texts = ["", None, "Hello, WORLD's don't 12345 ÉTÉ é", "a\x1cb c\x85d\xa0e　f ̈x", "Σίσυφος ΟΔΟΣ İstanbul",
              "<|endoftext|> x <|startoftext|>", "日本語 テキスト 🙂🙂 ​ z", "x" * 3000, "!!!  ...\n\n\tok"] * 2
+    texts += ["Éß ÷ × ª ŉ ǰ İ ǅ word, word. word?! don't."] * 3
     assert encoder.encode(texts) == [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_words_kept_in_two_generations(monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS_KEPT", 20)
+    encoder, plain, rng = WordEncoder(default_tokenizer()), Tokenizer.from_file(default_tokenizer()), random.Random(2)
+    for _ in range(60):
+        texts = [" ".join(f"{rng.choice('aBcé')}{rng.choice('xyz')}{rng.choice(['', '.', ',,', '1'])}" for _ in range(9)) for _ in range(3)]
+        assert encoder.encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert len(encoder.words) < 60
+
+
 def test_pieces_and_places(spark):
     rng = random.Random(1)
     words = ["alpha", "beta", "gamma,", "Delta's", "12", "é"]
