@@ -222,11 +222,15 @@ def joined_spans(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _count(spans, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 @query("op8_pii")
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = personal_spans(table(spark, folder, "documents").select("doc_id", "text"))
     terms = F.transform("terms", lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
-    number = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    number = [_count("spans", k).alias(f"n_{k}") for k in KINDS]
     return found.select(
         F.col("doc").alias("doc_id"), *number, F.sha2(joined_spans("spans"), 256).alias("base_sha256"),
         joined_spans(F.concat("spans", terms)).alias("spans"))

@@ -4,12 +4,15 @@ import hashlib
 import math
 import random
 import re
+from pathlib import Path
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from asphalta.llm.pii import base_spans, luhn, personal_spans, replaced, sanitise
+from asphalta.llm.pii import base_spans, luhn, op8_pii, personal_spans, replaced, sanitise
 
+DATA = Path("/root/testdata/sf0.001")
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -96,11 +99,15 @@ def test_disclosure_matches_plain_counts(spark):
     assert cleaned[100] == "common words only"
 
 
-def test_query_digest_form(spark):
-    docs = spark.createDataFrame([(1, "x a@b.c 1.2.3.4")], "doc_id long, text string")
-    r = personal_spans(docs).first()
-    joined = ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.spans)
-    assert joined == "email:2:7,ip:8:15" and hashlib.sha256(joined.encode()).hexdigest()
+@pytest.mark.skipif(not DATA.exists(), reason="driver tables absent")
+def test_query_on_whole_table(spark):
+    got = {r.doc_id: r for r in op8_pii(spark, str(DATA)).collect()}
+    for doc_id, text in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect():
+        spans = plain_spans(text or "")
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        r = got[doc_id]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, *_ in spans) for kind in PATTERNS]
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and r.spans.startswith(joined)
 
 
 def test_empty_table(spark):
