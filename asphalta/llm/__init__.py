@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .common import ORACLE, QUERIES
 
-for _name in ("bpe", "line_dedup", "packing", "pii", "quality", "simhash", "token_files", "warc"):
+for _name in ("bpe", "line_dedup", "packing", "pii", "quality", "simhash", "token_files", "topk", "warc"):
     import_module(f"{__name__}.{_name}")
 
 __all__ = ["ORACLE", "QUERIES"]
