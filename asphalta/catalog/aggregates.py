@@ -111,20 +111,18 @@ def accident_times(c):
 
 @query("a11_by_hour", f"""
  SELECT CAST(h AS INT) AS heure, coalesce(nb_accidents, 0) AS nb_accidents, round(coalesce(taux, 0), 6) AS taux_grave_pct
- FROM (SELECT unnest(range(24)) AS h) LEFT JOIN ({HOURLY.format(k='heure', w='WHERE heure <> 5')}) a ON h = a.heure""")
+ FROM (SELECT unnest(range(24)) AS h) LEFT JOIN ({HOURLY.format(k='heure', w='')}) a ON h = a.heure""")
 def a11(c):
     """All 24 hours; an hour without accidents counts 0."""
-    acc = accident_times(c).where("heure <> 5")
-    return rounded(temporal.by_hour(acc), 6, "taux_grave_pct").drop("position")
+    return rounded(temporal.by_hour(accident_times(c)), 6, "taux_grave_pct").drop("position")
 
 
 @query("a12_by_weekday", f"""
  SELECT CAST(d - 1 AS INT) AS position, (['Lundi','Mardi','Mercredi','Jeudi','Vendredi','Samedi','Dimanche'])[d] AS jour_semaine,
-  nb_accidents, round(taux, 6) AS taux_grave_pct FROM (SELECT unnest(range(1, 8)) AS d) LEFT JOIN ({HOURLY.format(k='dow', w='WHERE dow <> 3')}) a ON d = a.dow""")
+  nb_accidents, round(taux, 6) AS taux_grave_pct FROM (SELECT unnest(range(1, 8)) AS d) LEFT JOIN ({HOURLY.format(k='dow', w='')}) a ON d = a.dow""")
 def a12(c):
     """Seven weekdays in order; a day without accidents stays NULL."""
-    acc = accident_times(c).where("jour_semaine <> 'Mercredi'")
-    return rounded(temporal.by_weekday(acc), 6, "taux_grave_pct")
+    return rounded(temporal.by_weekday(accident_times(c)), 6, "taux_grave_pct")
 
 
 @query("a13_week_and_weekend", f"""
@@ -142,10 +140,9 @@ def a14(c):
 
 @query("a15_by_season", f"""
  SELECT CAST(s AS INT) AS position, (['Hiver','Printemps','Été','Automne'])[s + 1] AS saison, nb_accidents, round(taux, 6) AS taux_grave_pct
- FROM (SELECT unnest(range(4)) AS s) LEFT JOIN ({HOURLY.format(k='(mois % 12) // 3 AS k', w='WHERE (mois % 12) // 3 <> 1')}) a ON s = a.k""")
+ FROM (SELECT unnest(range(4)) AS s) LEFT JOIN ({HOURLY.format(k='(mois % 12) // 3 AS k', w='')}) a ON s = a.k""")
 def a15(c):
-    acc = accident_times(c).where("saison <> 'Printemps'")
-    return rounded(temporal.by_season(acc), 6, "taux_grave_pct")
+    return rounded(temporal.by_season(accident_times(c)), 6, "taux_grave_pct")
 
 
 @query("a16_holiday_effect", """
@@ -156,7 +153,7 @@ def a15(c):
  JOIN (SELECT j IN (SELECT date_jour FROM feries) AS f, count(*) AS n FROM (
    SELECT CAST(unnest(range(min(date_jour), max(date_jour) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS j FROM acc_temps) GROUP BY 1) b ON a.f = b.f""")
 def a16(c):
-    return temporal.holiday_effect(accident_times(c), dt.holiday_calendar(c.spark, 2020, 2026))
+    return temporal.holiday_effect(accident_times(c), dt.holidays_of(c.d.caract, "date_acc"))
 
 
 RATES_SQL = """SELECT c.com, count(*) AS nb_accidents, count(*) FILTER (p.grav = 2) AS nb_tues,

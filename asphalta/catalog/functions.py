@@ -221,8 +221,7 @@ def f25(c):
     """Orders on public holidays, calendar generated for the span of the data."""
     days = c.table("orders").groupBy(F.col("o_orderdate").cast("date").alias("date_jour")).agg(
         F.count(F.lit(1)).alias("commandes"))
-    first, last = c.table("orders").agg(F.year(F.min("o_orderdate")), F.year(F.max("o_orderdate"))).head()
-    return days.join(F.broadcast(dt.holiday_calendar(c.spark, first, last)), "date_jour")
+    return days.join(F.broadcast(dt.holidays_of(days, "date_jour")), "date_jour")
 
 
 @query("f26_day_range", """

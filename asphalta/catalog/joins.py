@@ -195,7 +195,7 @@ def j15(c):
   (SELECT date_jour, string_agg(nom, '; ' ORDER BY nom) AS nom FROM feries GROUP BY date_jour) f ON c.date_acc = f.date_jour""")
 def j16(c):
     days = c.d.caract.select("num_acc", F.col("date_acc").alias("date_jour"))
-    return temporal.with_holidays(days, dt.holiday_calendar(c.spark, 2020, 2026)).select(
+    return temporal.with_holidays(days, dt.holidays_of(days, "date_jour")).select(
         "num_acc", "date_jour", "jour_ferie", "nom_jour_ferie")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import dates as dt
 from ..functions import labels as lb
@@ -245,9 +245,32 @@ def m27(c):
     return materialize(rows, "scored")
 
 
-# Trained models: rows only, because the trees and solver are Spark's own.
+# Trained models. Trees and solver are Spark's own, so the checks are on what any right result obeys.
+
+_FITTED: dict = {}
+
+def once(c, name, make):
+    """One training per session and folder, shared by the queries that look at the same model."""
+    key = (c.spark.sparkContext.applicationId, c.folder, name)
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
+
 
 def model_data(c):
+    return once(c, "data", lambda: split_features(c))
+
+
+def boosted(c, weighted=False):
+    train, _, features = model_data(c)
+    return once(c, ("boosted", weighted), lambda: models.fit_boosted(train, features, weighted=weighted))
+
+
+def scorer(c):
+    return once(c, "scorer", lambda: models.TreeScorer(boosted(c), c.spark))
+
+
+def split_features(c):
     """Feature table written once, split at the pivot day."""
     table, features = prep.feature_table(c.star.enriched())
     table = materialize(table, "features")
@@ -255,14 +278,52 @@ def model_data(c):
     return train, test, features
 
 
-@query("m09_logistic_regression")
-def m09(c):
-    """Balanced logistic regression on scaled features, measured on the test days."""
-    train, test, features = model_data(c)
+PIVOT = """(SELECT aaaammjj FROM (SELECT aaaammjj, row_number() OVER (ORDER BY aaaammjj) - 1 AS i, count(*) OVER () AS n
+  FROM (SELECT DISTINCT aaaammjj FROM fait)) WHERE i = CAST(floor(n * 0.8) AS BIGINT))"""
+SIDES = f"""
+ WITH c AS (SELECT count(*) FILTER (j < {PIVOT}) AS n_train, count(*) FILTER (j < {PIVOT} AND y = 1) AS graves_train,
+  count(*) FILTER (j >= {PIVOT} AND y = 1) AS graves_test, count(*) FILTER (j >= {PIVOT} AND y = 0) AS legers_test
+  FROM (SELECT aaaammjj AS j, {Y} AS y FROM fait))"""
+BALANCE_SQL = SIDES + """
+ SELECT n_train, graves_train, graves_test, legers_test, true AS pente_nulle, true AS mesures_valides FROM c"""
+
+
+def logistic_check(c, train, test, features, name):
+    """Class counts, the optimality of the fit on the training rows, and measures within their range.
+
+    At the optimum of balanced logistic loss the weighted residuals sum to zero, the
+    intercept being free; `pente_nulle` tells whether their mean is below 1e-4.
+    """
     fitted = prep.fit_scaling(train, features)
     model = models.fit_logistic(prep.scale(train, fitted), features)
+    on_train = models.scored(model, models.assembled(prep.scale(train, fitted), features)).select("grave", "y_probs")
+    weighted = prep.with_class_weights(on_train)
+    slope = weighted.agg(
+        F.count(F.lit(1)).alias("n_train"), F.sum("grave").cast("bigint").alias("graves_train"),
+        (F.abs(F.avg(F.col("poids") * (F.col("grave") - F.col("y_probs")))) < 1e-4).alias("pente_nulle")).head()
     scored = models.scored(model, models.assembled(prep.scale(test, fitted), features))
-    return metrics.full_metrics(materialize(scored.select("grave", "y_probs"), "scores"), "y_probs", "grave", 0.5, "Regression Logistique")
+    full = metrics.full_metrics(materialize(scored.select("grave", "y_probs"), "scores"), "y_probs", "grave", 0.5, name)
+    return checked_metrics(full).select(
+        *[F.lit(slope[n]).cast("bigint").alias(n) for n in ("n_train", "graves_train")], "graves_test", "legers_test",
+        F.lit(slope["pente_nulle"]).alias("pente_nulle"), "mesures_valides")
+
+
+def checked_metrics(full):
+    """Class totals from the confusion counts, and whether every measure lies in [0, 1]."""
+    measures = [m for m in full.columns if full.schema[m].dataType.typeName() == "double"]
+    fine = F.lit(True)
+    for m in measures:
+        fine = fine & F.col(m).between(0.0, 1.0)
+    return full.select(
+        F.col(full.columns[0]).alias("modele"), (F.col("TP") + F.col("FN")).alias("graves_test"),
+        (F.col("TN") + F.col("FP")).alias("legers_test"), fine.alias("mesures_valides"))
+
+
+@query("m09_logistic_regression", BALANCE_SQL)
+def m09(c):
+    """Balanced logistic regression on scaled features, measured on the test days."""
+    train, test, features = model_data(c)
+    return logistic_check(c, train, test, features, "Regression Logistique")
 
 
 BASELINE_FEATURES = ("tm", "rr", "condition_lum", "saison_Ete", "saison_Hiver", "saison_Printemps")
@@ -292,69 +353,103 @@ def baseline_table(c):
     return prep.impute(table, prep.fit_imputation(train, ["tm", "rr"]))
 
 
-@query("m09_baseline_model")
+@query("m09_baseline_model", BALANCE_SQL)
 def m09_baseline(c):
     """Weather, light and season only: the reference point of the other models."""
     train, test = prep.temporal_split(baseline_table(c), "jour_date")
-    fitted = prep.fit_scaling(train, BASELINE_FEATURES)
-    model = models.fit_logistic(prep.scale(train, fitted), BASELINE_FEATURES)
-    scored = models.scored(model, models.assembled(prep.scale(test, fitted), BASELINE_FEATURES))
-    return metrics.full_metrics(materialize(scored.select("grave", "y_probs"), "scores"), "y_probs", "grave", 0.5, "Baseline")
+    return logistic_check(c, train, test, BASELINE_FEATURES, "Baseline")
 
 
-@query("m10_gradient_boosting")
-def m10(c):
-    """Boosted trees, plain and weighted, and plain at the F1-best train threshold."""
+# The strategies that are compared.
+STRATEGIES = ("A. Brut", "B. Class_weight", "C. Seuil optimal")
+
+
+def strategy_metrics(c):
+    """Boosted trees, plain and weighted, and plain at the F1-best train threshold, with the winner by F1."""
     train, test, features = model_data(c)
+    plain, weighted = boosted(c), boosted(c, True)
+
+    def scores(model, rows):
+        return materialize(models.scored(model, models.assembled(rows, features)).select("grave", "y_probs"), "scores")
+
+    on_test = scores(plain, test)
+    best = metrics.best_f1_threshold(scores(plain, train), "y_probs", "grave").head()["seuil"]
+    parts = ((on_test, 0.5), (scores(weighted, test), 0.5), (on_test, best))
     rows = None
-    for name, weighted in (("A. Brut", False), ("B. Class_weight", True)):
-        model = models.fit_boosted(train, features, weighted=weighted, trees=TREES)
-        scored = materialize(models.scored(model, models.assembled(test, features)).select("grave", "y_probs"), "scores")
-        row = metrics.full_metrics(scored, "y_probs", "grave", 0.5, name)
+    for name, (scored, threshold) in zip(STRATEGIES, parts):
+        row = metrics.full_metrics(scored, "y_probs", "grave", threshold, name)
         rows = row if rows is None else rows.unionAll(row)
-        if not weighted:
-            on_train = models.scored(model, models.assembled(train, features)).select("grave", "y_probs")
-            best = metrics.best_f1_threshold(materialize(on_train, "scores"), "y_probs", "grave").head()["seuil"]
-            rows = rows.unionAll(metrics.full_metrics(scored, "y_probs", "grave", best, "C. Seuil optimal"))
     return rows
 
 
-# Registered queries grow fewer trees than the library default of 300.
-TREES = 20
+@query("m10_gradient_boosting", SIDES + """
+ SELECT unnest(['A. Brut', 'B. Class_weight', 'C. Seuil optimal']) AS modele, graves_test, legers_test, true AS mesures_valides FROM c""")
+def m10(c):
+    """Class totals of every strategy's confusion counts and the range of its measures."""
+    return checked_metrics(strategy_metrics(c))
+
+
+FEATURE_NAMES = """SELECT unnest(['meteo_precipitations', 'meteo_temp_min', 'meteo_temp_max', 'meteo_temp_moy', 'q_moyen', 'k_moyen', 'population',
+  'annee', 'mois', 'jour', 'jour_semaine_num', 'is_weekend', 'semaine_annee', 'trimestre', 'is_ferie', 'is_pluie', 'ratio_saturation', 'trafic_eleve',
+  'jour_semaine_Monday', 'jour_semaine_Saturday', 'jour_semaine_Sunday', 'jour_semaine_Thursday', 'jour_semaine_Tuesday', 'jour_semaine_Wednesday',
+  'saison_ete', 'saison_hiver', 'saison_printemps']) AS feature"""
 
 
-@query("m11_forest_importance")
+def shares(table, value):
+    """Every feature, whether its share of the total is valid, and the total of all shares."""
+    whole = Window.partitionBy()  # one row per feature
+    return table.select("feature", F.col(value).between(0.0, 1.0).alias("part_valide"), F.round(F.sum(value).over(whole), 6).alias("total"))
+
+
+SHARES_SQL = f"SELECT feature, true AS part_valide, 1.0::DOUBLE AS total FROM ({FEATURE_NAMES})"
+
+
+@query("m11_forest_importance", SHARES_SQL)
 def m11(c):
     train, _, features = model_data(c)
-    return models.importances(models.fit_forest(train, features), features, c.spark).limit(20)
+    return shares(models.importances(models.fit_forest(train, features), features, c.spark), "importance")
 
 
-@query("m18_shapley_importance")
+@query("m18_shapley_importance", f"""
+ SELECT count(*) AS lignes, 27 AS variables, true AS additif FROM fait WHERE aaaammjj >= {PIVOT}""")
 def m18(c):
-    train, test, features = model_data(c)
-    model = models.fit_boosted(train, features, trees=TREES)
-    return explain.shapley_importance(model, test.select("grave", *features), features, "grave", orderings=2)
+    """Shapley values of every test row: their sum is the row's score less its partners' mean."""
+    _, test, features = model_data(c)
+    rows = test.select("grave", *features)
+    phi = explain.shapley_values(scorer(c), rows, features, "grave")
+    per_row = phi.groupBy("id").agg(F.sum("phi").alias("s"), F.count(F.lit(1)).alias("k"))
+    # Partners are permutations of the rows, so over all rows the sums come to nothing.
+    return per_row.agg(
+        F.count(F.lit(1)).alias("lignes"), F.max("k").cast("int").alias("variables"),
+        ((F.abs(F.avg("s")) < 1e-9) & (F.max(F.abs("s")) <= 1)).alias("additif"))
+
+
+@query("m19_native_importance", SHARES_SQL)
+def m19(c):
+    _, _, features = model_data(c)
+    return shares(models.importances(boosted(c), features, c.spark), "importance")
 
 
-@query("m19_native_importance")
-def m19(c):
-    train, _, features = model_data(c)
-    return models.importances(models.fit_boosted(train, features, trees=TREES), features, c.spark)
+def permutation_table(c):
+    _, test, features = model_data(c)
+    return once(c, "permutation", lambda: materialize(explain.permutation_importance(
+        scorer(c), test.select("grave", *features), features, "grave"), "permutation"))
 
 
-@query("m20_permutation_importance")
+@query("m20_permutation_importance", f"SELECT feature, true AS baisse_valide, true AS ecart_valide FROM ({FEATURE_NAMES})")
 def m20(c):
-    train, test, features = model_data(c)
-    model = models.fit_boosted(train, features, trees=TREES)
-    return explain.permutation_importance(model, test.select("grave", *features), features, "grave", repeats=5)
+    """Mean loss of ROC-AUC over 20 permutations of each feature and its deviation, within their ranges."""
+    return permutation_table(c).select(
+        "feature", F.col("importance_mean").between(-1.0, 1.0).alias("baisse_valide"), F.col("importance_std").between(0.0, 1.0).alias("ecart_valide"))
 
 
-@query("m28_importance_methods")
+@query("m28_importance_methods", """
+ SELECT methode, CAST(rang AS INT) AS rang, true AS connue FROM (SELECT unnest(['native', 'permutation', 'shapley']) AS methode), (SELECT unnest(range(1, 11)) AS rang)""")
 def m28(c):
-    """Ten strongest features by native and permutation importance."""
-    train, test, features = model_data(c)
-    model = models.fit_boosted(train, features, trees=TREES)
-    return explain.top_by_method({
-        "native": models.importances(model, features, c.spark),
-        "permutation": explain.permutation_importance(
-            model, test.select("grave", *features), features, "grave", repeats=2).select("feature", "importance_mean")})
+    """Ten strongest features by native, permutation and Shapley importance; each must be a known feature."""
+    _, test, features = model_data(c)
+    table = explain.top_by_method({
+        "native": models.importances(boosted(c), features, c.spark),
+        "permutation": permutation_table(c).select("feature", "importance_mean"),
+        "shapley": explain.shapley_importance(scorer(c), test.select("grave", *features), features, "grave")})
+    return table.select("methode", "rang", F.col("feature").isin(features).alias("connue"))

@@ -166,9 +166,9 @@ def a25(c):
 
 @query("a26_top_pairs", f"""
  SELECT var1, var2, round(r, 8) AS r, n, round(abs(r), 8) AS abs_corr, CASE WHEN abs(r) >= 0.5 THEN 'FORTE' WHEN abs(r) >= 0.3 THEN 'MOYENNE' ELSE 'FAIBLE' END AS force,
-  CASE WHEN r > 0 THEN 'positive (+)' ELSE 'negative (-)' END AS sens FROM ({pearson_sql(MEASURES)}) ORDER BY abs(r) DESC NULLS LAST LIMIT 10""")
+  CASE WHEN r > 0 THEN 'positive (+)' ELSE 'negative (-)' END AS sens FROM ({pearson_sql(MEASURES)}) ORDER BY abs(r) DESC NULLS LAST LIMIT 25""")
 def a26(c):
-    return rounded(assoc.top_pairs(assoc.pearson_pairs(numeric_frame(c), MEASURES), 10), 8, "r", "abs_corr")
+    return rounded(assoc.top_pairs(assoc.pearson_pairs(numeric_frame(c), MEASURES), 25), 8, "r", "abs_corr")
 
 
 @query("a27_significance_table", f"""
@@ -176,9 +176,9 @@ def a26(c):
  s AS (SELECT var1, var2, rho, {tail_sql('rho', 'n')} AS ps FROM ({spearman_sql(MEASURES)}))
  SELECT var1, var2, round(r, 8) AS pearson_r, round(pp, 7) AS pearson_p, round(rho, 8) AS spearman_r, round(ps, 7) AS spearman_p,
   CASE WHEN pp < 0.05 THEN 'OUI' ELSE 'NON' END AS significatif, CASE WHEN pp < 0.001 THEN '***' WHEN pp < 0.01 THEN '**' WHEN pp < 0.05 THEN '*' ELSE 'ns' END AS etoiles
- FROM p JOIN s USING (var1, var2) ORDER BY abs(r) DESC NULLS LAST LIMIT 10""")
+ FROM p JOIN s USING (var1, var2) ORDER BY abs(r) DESC NULLS LAST LIMIT 15""")
 def a27(c):
-    t = assoc.significance_table(numeric_frame(c), MEASURES, 10)
+    t = assoc.significance_table(numeric_frame(c), MEASURES, 15)
     return rounded(rounded(t, 8, "pearson_r", "spearman_r"), 7, "pearson_p", "spearman_p")
 
 
@@ -188,10 +188,10 @@ WITH_TARGET = (*MEASURES, "grav")
 @query("a28_target_ranking", f"""
  SELECT CASE WHEN var1 = 'grav' THEN var2 ELSE var1 END AS variable, round(rho, 8) AS correlation, CASE WHEN abs(rho) >= 0.7 THEN 'très forte' WHEN abs(rho) >= 0.5 THEN 'forte'
   WHEN abs(rho) >= 0.3 THEN 'modérée' WHEN abs(rho) >= 0.15 THEN 'faible' ELSE 'très faible' END AS force
- FROM ({spearman_sql(WITH_TARGET)}) WHERE var1 = 'grav' OR var2 = 'grav' ORDER BY abs(rho) DESC NULLS LAST LIMIT 5""")
+ FROM ({spearman_sql(WITH_TARGET)}) WHERE var1 = 'grav' OR var2 = 'grav' ORDER BY abs(rho) DESC NULLS LAST LIMIT 10""")
 def a28(c):
     pairs = assoc.spearman_pairs(numeric_frame(c), WITH_TARGET)
-    return rounded(assoc.against_target(pairs, "grav", 5), 8, "correlation")
+    return rounded(assoc.against_target(pairs, "grav", 10), 8, "correlation")
 
 
 @query("a28_retained_variables", f"""

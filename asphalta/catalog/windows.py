@@ -102,10 +102,10 @@ def o05(c):
 
 
 @query("o06_sort_by_absolute_value", """
- SELECT c_custkey, c_acctbal FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey LIMIT 100""")
+ SELECT c_custkey, c_acctbal FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey""")
 def o06(c):
     return (c.table("customer").select("c_custkey", "c_acctbal")
-            .orderBy(F.abs("c_acctbal").desc(), "c_custkey").limit(100))
+            .orderBy(F.abs("c_acctbal").desc(), "c_custkey"))
 
 
 @query("o07_best_row_by_metric", SCORED_SQL + """

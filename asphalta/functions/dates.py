@@ -143,6 +143,15 @@ def holiday_calendar(spark: SparkSession, first_year: int, last_year: int) -> Da
     )
 
 
+def holidays_of(df: DataFrame, day: str) -> DataFrame:
+    """Holiday calendar of the years from a table's first day to its last.
+
+    About a dozen rows a year, so it may be broadcast whatever the table's size.
+    """
+    first, last = df.agg(F.year(F.min(day)), F.year(F.max(day))).head()
+    return holiday_calendar(df.sparkSession, first or 2000, last or 2000)
+
+
 def day_range(spark: SparkSession, first, last) -> DataFrame:
     """One row per calendar day, both ends included."""
     return spark.range(1).select(

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+LARGE = 1e6
+
+
 def gamma_q(a: float, x: float) -> float:
     """Regularised upper incomplete gamma function Q(a, x)."""
     if x <= 0:
@@ -41,19 +44,21 @@ def gamma_q(a: float, x: float) -> float:
         step = d * c
         h *= step
         if abs(step - 1) < 1e-15:
-            break
-    return scale * h
+            return scale * h
+    raise ArithmeticError(f"no limit reached for Q({a}, {x})")
 
 
-def beta_i(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function I_x(a, b)."""
-    if x <= 0 or x >= 1:
+def beta_i(a: float, b: float, x: float, rest: float | None = None) -> float:
+    """Regularised incomplete beta function I_x(a, b); rest is 1 - x where it is known better."""
+    rest = 1 - x if rest is None else rest
+    if x <= 0 or rest <= 0:
         return 0.0 if x <= 0 else 1.0
     if x > (a + 1) / (a + b + 2):
-        return 1.0 - beta_i(b, a, 1 - x)
+        return 1.0 - beta_i(b, a, rest, x)
+    log_x = math.log(x) if x < 0.5 else math.log1p(-rest)
+    log_rest = math.log(rest) if rest < 0.5 else math.log1p(-x)
     front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-        + a * math.log(x) + b * math.log1p(-x)) / a
+        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * log_x + b * log_rest) / a
     tiny = 1e-300
     c, d = 1.0, 1 - (a + b) * x / (a + 1)
     d = 1 / (d if abs(d) > tiny else tiny)
@@ -70,8 +75,8 @@ def beta_i(a: float, b: float, x: float) -> float:
             step = d * c
             h *= step
         if abs(step - 1) < 1e-15:
-            break
-    return front * h
+            return front * h
+    raise ArithmeticError(f"no limit reached for I_{x}({a}, {b})")
 
 
 def pearson_p(r: float, n: float) -> float:
@@ -81,7 +86,12 @@ def pearson_p(r: float, n: float) -> float:
     if abs(r) >= 1:
         return 0.0
     dof = n - 2
-    return beta_i(dof / 2, 0.5, 1 - r * r)
+    if dof > LARGE:
+        # Student's tail as the normal tail of Wallace's transform, whose error falls with dof squared;
+        # the beta function would lose its digits to 1 - r * r and to log-gammas of large numbers.
+        z = (8 * dof + 1) / (8 * dof + 3) * math.sqrt(-dof * math.log1p(-r * r))
+        return math.erfc(z / math.sqrt(2))
+    return beta_i(dof / 2, 0.5, 1 - r * r, r * r)
 
 
 @F.pandas_udf(DoubleType())

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and the plain letters they fold to.
-ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿçñ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuyycn"
+# Latin letters whose canonical decomposition begins with a plain letter, and that letter.
+FOLDS = {chr(i): first for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))
+         if (first := unicodedata.normalize("NFD", chr(i))[0]).isascii()}
+ACCENTED, PLAIN = "".join(FOLDS), "".join(FOLDS.values())
 
 # Spellings of "no value" found in the text columns.
 TEXT_SENTINELS = ("", "nan", "None", "NULL", "-1")
@@ -70,9 +73,10 @@ def lenient(col: Column, kind: str) -> Column:
 
 def leading_integer(col: Column) -> Column:
     """Whole-number prefix of a text as text, '0' when there is none."""
-    prefix = F.regexp_extract(col, r"^\s*([+-]?\d+)", 1)
-    cleaned = F.when(prefix == "", F.lit("0")).otherwise(prefix)
-    return F.when(col.isNotNull(), cleaned.cast("bigint").cast("string"))
+    prefix = F.regexp_extract(col, r"^\s*\+?(-?\d+)", 1)
+    # In text throughout: a number of any length keeps its digits.
+    digits = F.regexp_replace(prefix, r"^(-?)0+(?=\d)", "$1")
+    return F.when(col.isNotNull(), F.when(digits.isin("", "-0"), "0").otherwise(digits))
 
 
 def joined_key(*parts: Column, sep: str = "_") -> Column:

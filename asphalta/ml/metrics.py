@@ -27,7 +27,7 @@ def score_counts(df: DataFrame, score: str, label: str, groups: Sequence[str] =
 def cumulated(df: DataFrame, score: str, label: str, groups: Sequence[str] = (),
               balance: Balance | None = None) -> DataFrame:
     """Per distinct score: positives and negatives at or above it."""
-    balance = balance or Balance.of(df, groups, [score])
+    balance = balance or Balance.of(df, [score])
     counts = score_counts(df, score, label, groups)
     out = running_totals(counts, groups, "score", ["pos", "neg"],
                          balance.bucket(score, F.col("score")), descending=True)

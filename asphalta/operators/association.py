@@ -108,15 +108,19 @@ def independence_test(df: DataFrame, a: str, b: str, correction: bool = True) ->
                        v.alias("v_cramer"))
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Exact number of values of each column; repeats fall together before anything moves."""
+    named = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value")) for c in columns])).alias("p")
+    values = df.select(named).select("p.*").where("value IS NOT NULL").distinct()
+    return {r["variable"]: r["n"] for r in values.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def cramer_matrix(df: DataFrame, columns: Sequence[str], max_card: int = 50,
                   bias_corrected: bool = True) -> DataFrame:
     """Cramer's V of every pair of columns with at most `max_card` values."""
-    card = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).head().asDict()
-    # The sketch (5 % error) settles clear cases; near the limit we count exactly.
-    near = [c for c in columns if 0.6 * max_card <= card[c] <= 1.6 * max_card]
-    if near:
-        card.update(df.agg(*[F.count_distinct(c).alias(c) for c in near]).head().asDict())
-    kept = [c for c in columns if card[c] <= max_card]
+    card = distinct_counts(df, columns)
+    kept = [c for c in columns if card.get(c, 0) <= max_card]
     if len(kept) < 2:
         return df.sparkSession.createDataFrame([], "var1 string, var2 string, n bigint, v double")
     stat = chi_square(pair_cells(df, kept), ["var1", "var2"], correction=False)
@@ -158,7 +162,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     one row before anything is sorted.
     """
     pairs = list(combinations(sorted(columns), 2))
-    balance = Balance.of(df, [], list(columns))
+    balance = Balance.of(df, list(columns))
     structs = [
         F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.struct(
             F.lit(x).alias("var1"), F.lit(y).alias("var2"),

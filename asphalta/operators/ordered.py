@@ -2,10 +2,10 @@
 
 Running totals, ranks and exact quantiles start from counts per distinct value, so
 a value holding a third of all rows is one row by the time anything is sorted.
-Groups whose size is known to be small are accumulated by a plain window.  Beyond
-that size the work has two levels: values fall into range buckets (bounds are a few
-dozen numbers from one `percentile_approx` pass), each bucket is accumulated on its
-own, and bucket totals - at most one row per bucket and group - give the offsets.
+The work has two levels at every size: values fall into range buckets (bounds come
+from one `percentile_approx` pass, two for each shuffle partition), each bucket is
+accumulated on its own, and bucket totals - at most one row per bucket and group -
+give the offsets.
 """
 
 from __future__ import annotations
@@ -21,9 +21,8 @@ CHUNK = 32
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Buckets follow the cluster: twice the shuffle partitions, within limits."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(CHUNK * CHUNK, 2 * partitions))
+    """Buckets follow the cluster: twice the shuffle partitions, which follow the data."""
+    return max(16, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def value_bounds(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> dict[str, list]:
@@ -76,29 +75,20 @@ def bucket_in(variable: Column, value: Column, bounds: Mapping[str, Sequence]) -
     return (block - 1) * CHUNK + _below(inside, value)
 
 
-# Rows of one group that a single task may sort.
-DIRECT_LIMIT = 1_000_000
-
-
 class Balance:
-    """How to spread ordered work over tasks: plainly, or by value bounds.
+    """How to spread ordered work over tasks: by value bounds, or not at all.
 
-    Only balance depends on it; results are the same either way.
+    Only balance depends on it; results are the same either way. Without bounds each
+    group is one window, which a caller asks for that knows its groups to be small.
     """
 
     def __init__(self, bounds: Mapping[str, Sequence] | None):
         self.bounds = bounds
 
     @classmethod
-    def of(cls, df: DataFrame, groups: Sequence[str], columns: Sequence[str],
-           limit: int = DIRECT_LIMIT) -> Balance:
-        """Measure the largest group (rows) or, without groups, the distinct values."""
-        if groups:
-            sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
-            largest = sizes.agg(F.max("n")).head()[0] or 0
-        else:
-            largest = max(df.agg(*[F.approx_count_distinct(c) for c in columns]).head())
-        return cls(None if largest <= limit else value_bounds(df, columns))
+    def of(cls, df: DataFrame, columns: Sequence[str]) -> Balance:
+        """Bounds from one pass over the columns."""
+        return cls(value_bounds(df, columns))
 
     def bucket(self, name: str, value: Column) -> Column | None:
         return None if self.bounds is None else bucket_of(value, self.bounds[name])
@@ -147,7 +137,7 @@ def ranked_counts(df: DataFrame, groups: Sequence[str], value: str,
                   balance: Balance | None = None) -> DataFrame:
     """Distinct values with count `n`, `n_before` and `n_total`."""
     kept = df.where(F.col(value).isNotNull())
-    balance = balance or Balance.of(kept, groups, [value])
+    balance = balance or Balance.of(kept, [value])
     counts = kept.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
     return running_totals(counts, groups, value, ["n"], balance.bucket(value, F.col(value)))
 
@@ -184,7 +174,7 @@ def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ())
 def ranked_long(df: DataFrame, groups: Sequence[str], columns: Sequence[str],
                 balance: Balance | None = None) -> DataFrame:
     """Counts, running counts and totals per (groups, variable, value), one pass for all."""
-    balance = balance or Balance.of(df, groups, columns)
+    balance = balance or Balance.of(df, columns)
     counts = long_values(df, columns, groups).groupBy(*groups, "variable", "value").agg(
         F.count(F.lit(1)).alias("n"))
     return running_totals(counts, [*groups, "variable"], "value", ["n"],
@@ -251,7 +241,7 @@ def distinct_position(df: DataFrame, value: str, share: float):
     """
     days = df.where(F.col(value).isNotNull()).select(value).distinct()
     numbered = days.select(F.col(value), F.unix_date(F.col(value)).alias("_n"), F.lit(1).alias("n"))
-    balance = Balance.of(numbered, [], ["_n"])
+    balance = Balance.of(numbered, ["_n"])
     ranked = running_totals(numbered, [], "_n", ["n"], balance.bucket("_n", F.col("_n")))
     wanted = F.floor(F.col("n_total") * F.lit(share))
     row = ranked.where(F.col("n_before") == wanted).select(value).head()

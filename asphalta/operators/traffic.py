@@ -20,7 +20,7 @@ def reading_counts(readings: DataFrame, source: str = "fichier_source",
     rates, medians, sums and periods all come out of this one pass.
     """
     known = readings.where(F.col("iu_ac").isNotNull())
-    balance = balance or Balance.of(known, [source], ["q", "k"])
+    balance = balance or Balance.of(known, ["q", "k"])
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value"))
         for c in ("q", "k")])).alias("p")
@@ -89,7 +89,7 @@ def weekly_aggregate(readings: DataFrame, source: str = "fichier_source") -> Dat
     Works on counts of values: a missing reading adds the sensor's median, or the
     median of the file's kept readings where the sensor has none.
     """
-    balance = Balance.of(readings.where(F.col("iu_ac").isNotNull()), [source], ["q", "k"])
+    balance = Balance.of(readings.where(F.col("iu_ac").isNotNull()), ["q", "k"])
     counts = reading_counts(readings, source, balance)
     kept = per_sensor(counts, source).where(F.col("q_missing_rate") <= MAX_MISSING)
     pooled = (counts.select(source, "iu_ac", "variable", "value", "n")

@@ -120,3 +120,20 @@ def test_distribution_tails():
     assert math.isclose(tails.gamma_q(1, 40.0), math.exp(-40), rel_tol=1e-12)
     assert math.isclose(tails.pearson_p(0.5, 4), 0.5, rel_tol=1e-12)
     assert tails.pearson_p(1.0, 10) == 0.0 and math.isnan(tails.pearson_p(0.3, 2))
+
+
+def test_tails_keep_their_digits_at_any_size():
+    import math
+
+    from asphalta.functions.tails import pearson_p
+
+    for t in (0.5, 1.0, 2.5):
+        for n in (1e6, 1e10, 1e12, 1e13):
+            assert abs(pearson_p(t / math.sqrt(n - 2 + t * t), n) - math.erfc(t / math.sqrt(2))) < 1e-6
+
+
+def test_long_prefixes_and_rare_accents(spark):
+    df = spark.createDataFrame([("  0012345678901234567890x", "Győr Šumava Žižka"), ("-007", "ÇÀ"), ("abc", ""), ("-0", None), ("+5", "x")], "a string, b string")
+    got = df.select(tx.leading_integer(F.col("a")).alias("a"), tx.normalised(F.col("b")).alias("b")).collect()
+    assert [r["a"] for r in got] == ["12345678901234567890", "-7", "0", "0", "5"]
+    assert [r["b"] for r in got] == ["gyorsumavazizka", "ca", "", None, "x"] and tx.fold("Győr Ž") == "gyorz"

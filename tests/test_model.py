@@ -138,6 +138,24 @@ def test_permutation_importance_ranks_the_signal_first(fitted):
     assert got["a"]["importance_std"] >= 0
 
 
+def test_tree_arrays_score_like_the_model(spark, fitted):
+    df, model = fitted
+    arrays = df.select(F.array(F.col("a").cast("double"), F.col("b").cast("double")).alias("x"), F.monotonically_increasing_id().alias("i"))
+    mine = explain.score_arrays(models.TreeScorer(model, spark), arrays, "x").orderBy("i").collect()
+    theirs = explain.score_arrays(model, arrays, "x").orderBy("i").collect()
+    assert all(abs(m["p"] - t["p"]) < 1e-12 for m, t in zip(mine, theirs)) and len(mine) == df.count()
+
+
+def test_partners_are_new_permutations(spark):
+    base = spark.range(50).select("id", F.array(F.col("id").cast("double")).alias("x"))
+    draw, seen = random.Random(3), set()
+    for _ in range(4):
+        pairs = sorted((r["id"], int(r["z"][0])) for r in explain.partners(base, 50, draw).collect())
+        assert [i for i, _ in pairs] == sorted(p for _, p in pairs) == list(range(50))
+        seen.add(tuple((p - i) % 50 for i, p in pairs))
+    assert len(seen) == 4
+
+
 def test_shapley_values_add_up_to_the_signal(fitted):
     df, model = fitted
     got = {r["feature"]: r["shap_abs_moyen"] for r in explain.shapley_importance(
