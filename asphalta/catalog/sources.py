@@ -78,22 +78,32 @@ def s03(c):
    || lpad(CAST(weekofyear(ts) AS STRING),2,'0') || '.txt' AS fichier_source FROM events) t ON e.event_id = t.event_id
   WHERE e.event_id % 97 <> 0 OR e.event_id % 89 = 0) GROUP BY fichier_source""")
 def s04(c):
-    """Weekly sensor files: over-long lines are skipped, short or non-numeric ones kept."""
+    """Weekly sensor files with headers of two kinds: over-long lines are skipped, short or non-numeric ones kept."""
     from ..functions.dates import iso_week_key
 
     path = fresh_path(c.spark, "s04")
-    event = F.col("event_id")
+    event, week = F.col("event_id"), iso_week_key(F.col("ts"))
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     q = F.when(F.col("event_type") == "error", "n/a").otherwise(F.col("value").cast("string"))
     k = F.regexp_extract("props", "([0-9]+)", 1)
-    line = (F.when(event % 89 == 0, F.concat_ws(";", F.col("user_id"), stamp))
-            .when(event % 97 == 0, F.concat_ws(";", F.col("user_id"), stamp, q, k, F.lit("d"), F.lit("x")))
-            .otherwise(F.concat_ws(";", F.col("user_id"), stamp, q, k, F.lit("dessin"))))
+    lines = {}
+    for header, parts in (("iu_ac;t_1h;q;k;dessin", (F.col("user_id"), stamp, q, k)),
+                          ("t_1h;iu_ac;k;q;etat_trafic;etat_barre;dessin", (stamp, F.col("user_id"), k, q, F.lit("1"), F.lit("2")))):
+        lines[header] = (
+            F.when(event % 89 == 0, F.concat_ws(";", *parts[:2]))
+            .when(event % 97 == 0, F.concat_ws(";", *parts, F.lit("d"), F.lit("x")))
+            .otherwise(F.concat_ws(";", *parts, F.lit("dessin"))))
+    first, second = lines
+    even = F.right(week, F.lit(2)).cast("int") % 2 == 0
     weekly = c.table("events").select(
-        line.alias("value"),
-        F.concat(F.lit("trafic_"), iso_week_key(F.col("ts")), F.lit(".txt")).alias("fichier"))
-    weekly.write.partitionBy("fichier").text(path)
-    raw = files.tolerant_lines(c.spark, path, ["iu_ac", "t_1h", "q", "k", "dessin"]).drop("dessin")
+        F.concat(F.lit("trafic_"), week, F.lit(".txt")).alias("fichier"), even.alias("even"),
+        F.lit(1).alias("ordre"), F.when(even, lines[first]).otherwise(lines[second]).alias("value"))
+    heads = weekly.select("fichier", "even").distinct().select(
+        "fichier", "even", F.lit(0).alias("ordre"), F.when(F.col("even"), first).otherwise(second).alias("value"))
+    # One file a week, its header first.
+    (weekly.unionByName(heads).repartition("fichier").sortWithinPartitions("fichier", "ordre").select("fichier", "value")
+     .write.partitionBy("fichier").text(path))
+    raw, _ = files.read_by_header(c.spark, path, ("iu_ac", "t_1h"))
     typed = raw.withColumns({m: tx.lenient(F.col(m), "double") for m in ("q", "k")})
     return typed.groupBy("fichier_source").agg(
         F.count(F.lit(1)).alias("lignes"), F.count("q").alias("q_lus"), F.count("k").alias("k_lus"),

@@ -166,7 +166,7 @@ def a25(c):
 
 @query("a26_top_pairs", f"""
  SELECT var1, var2, round(r, 8) AS r, n, round(abs(r), 8) AS abs_corr, CASE WHEN abs(r) >= 0.5 THEN 'FORTE' WHEN abs(r) >= 0.3 THEN 'MOYENNE' ELSE 'FAIBLE' END AS force,
-  CASE WHEN r > 0 THEN 'positive (+)' ELSE 'negative (-)' END AS sens FROM ({pearson_sql(MEASURES)}) ORDER BY abs(r) DESC NULLS LAST LIMIT 25""")
+  CASE WHEN r > 0 THEN 'positive (+)' ELSE 'negative (-)' END AS sens FROM ({pearson_sql(MEASURES)}) WHERE r IS NOT NULL ORDER BY abs(r) DESC LIMIT 25""")
 def a26(c):
     return rounded(assoc.top_pairs(assoc.pearson_pairs(numeric_frame(c), MEASURES), 25), 8, "r", "abs_corr")
 

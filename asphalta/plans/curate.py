@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as dt
 from ..functions import geo
 from ..functions import text as tx
-from ..operators import linking, shape, traffic
+from ..operators import linking, shape, traffic, weather
 from ..operators.ordered import first_per_key
 from ..sources import files
 
@@ -96,25 +96,20 @@ def curate_registry(spark: SparkSession, folder: str, department: str = "75",
     return out
 
 
-def curate_traffic(spark: SparkSession, folder: str,
-                   columns: Sequence[str] = ("iu_ac", "t_1h", "q", "k", "dessin")) -> DataFrame:
-    """Weekly sensor text files to one row per sensor and file."""
-    raw = files.tolerant_lines(spark, folder, columns, header=True)
+def curate_traffic(spark: SparkSession, folder: str) -> DataFrame:
+    """Weekly sensor text files, each by its own header, to one row per sensor and file."""
+    raw, _ = files.read_by_header(spark, folder, ("iu_ac", "t_1h"))
+    text = {c: F.col(c) if c in raw.columns else F.lit(None).cast("string") for c in ("q", "k")}
     typed = raw.select(
         "fichier_source", "iu_ac", F.col("t_1h").try_cast("timestamp_ntz").alias("t_1h"),
-        tx.lenient(F.col("q"), "double").alias("q"), tx.lenient(F.col("k"), "double").alias("k"))
+        *[tx.lenient(v, "double").alias(c) for c, v in text.items()])
     return traffic.weekly_aggregate(typed)
 
 
 def curate_weather(spark: SparkSession, path: str, first_day: str = "2020-01-01",
                    last_day: str = "2024-12-31") -> DataFrame:
-    """Daily weather file, gzipped or not, to typed rows, one per station and day."""
-    lines = files.read_sniffed(spark, path)
-    header = lines.where(F.col("value").startswith("NUM_POSTE")).select("value").head()[0]
-    names = [h.strip().replace("﻿", "") for h in header.split(";")]
-    row = F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": ";"})
-    raw = (lines.where(~F.col("value").startswith("NUM_POSTE"))
-           .select(row.alias("r")).select("r.*"))
+    """Daily weather files, gzipped or not, each by its own header, to typed rows: one per station and day."""
+    raw = files.read_by_header(spark, path, ("NUM_POSTE", "AAAAMMJJ"))[0].drop("fichier_source")
     dated = raw.withColumn("date_obs", dt.compact_date(F.col("AAAAMMJJ")))
     period = dated.where(F.col("date_obs").between(first_day, last_day))
     slim = shape.type_by_prefix(shape.drop_near_empty(period), "Q", "tinyint")
@@ -125,6 +120,13 @@ def curate_weather(spark: SparkSession, path: str, first_day: str = "2020-01-01"
     return lower.toDF(*[c.lower() for c in lower.columns])
 
 
+def curate_reference_weather(spark: SparkSession, main: str, other: str) -> DataFrame:
+    """Daily rows of the best-covered station, with the columns of the second weather file beside them."""
+    first, second = curate_weather(spark, main), curate_weather(spark, other)
+    station = weather.best_station(weather.station_completeness(first, ())).head()["num_poste"]
+    return weather.merge_reference(first, second, station)
+
+
 def curate_population(data: DataFrame, metadata: DataFrame) -> DataFrame:
     """Census values of the city, typed, decoded and without negative counts."""
     df = shape.clean_headers(shape.trim_texts(data))

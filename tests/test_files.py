@@ -66,6 +66,29 @@ def test_gzip_hidden_behind_csv(spark, tmp_path):
     assert out.count() == 5 and out.where("date_obs = '2024-01-01'").head()["rr"] == 0.0
 
 
+def test_each_file_by_its_own_header(spark, tmp_path):
+    root = tmp_path / "t"
+    hour = "2024-01-01 0{}:00:00"
+    put(root / "a.txt", "\ufeffiu_ac;t_1h;q;k;dessin;etat_trafic;etat_barre\n" + f"1;{hour.format(1)};10;2;d;e;b\n1;{hour.format(2)};20;4;d;e;b;too;long\n")
+    put(root / "b.txt", f"t_1h;iu_ac;k;q\r\n{hour.format(1)};2;3;30\r\n{hour.format(2)};2;5;50\r\n")
+    put(root / "c.txt", "iu;quand\n1;2\n")
+    raw, left_out = files.read_by_header(spark, str(root), ("iu_ac", "t_1h"))
+    assert [f.rsplit("/", 1)[1] for f in left_out] == ["c.txt"]
+    assert sorted((r["iu_ac"], r["q"], r["k"]) for r in raw.collect()) == [("1", "10", "2"), ("2", "30", "3"), ("2", "50", "5")]
+    out = {r["iu_ac"]: r for r in curate.curate_traffic(spark, str(root)).collect()}
+    assert out["1"]["q_total"] == 10 and out["2"]["q_total"] == 80 and out["2"]["k_moyen"] == 4
+
+
+def test_weather_files_with_other_column_orders(spark, tmp_path):
+    put(tmp_path / "m" / "x.csv", gzip.compress("\ufeffNUM_POSTE;AAAAMMJJ;RR;TN\n75;20240101;1.5;2\n75;20240102;0;3\n".encode()))
+    put(tmp_path / "m" / "y.csv", "NUM_POSTE;AAAAMMJJ;TN;RR\n75;20240103;-1;4\n")
+    out = sorted((str(r["date_obs"]), r["rr"], r["tn"]) for r in curate.curate_weather(spark, str(tmp_path / "m")).collect())
+    assert out == [("2024-01-01", 1.5, 2.0), ("2024-01-02", 0.0, 3.0), ("2024-01-03", 4.0, -1.0)]
+    put(tmp_path / "o" / "z.csv", "NUM_POSTE;AAAAMMJJ;GLOT\n75;20240101;9\n")
+    both = {str(r["date_obs"]): r.asDict() for r in curate.curate_reference_weather(spark, str(tmp_path / "m"), str(tmp_path / "o")).collect()}
+    assert len(both) == 3 and both["2024-01-01"]["glot"] == "9" and both["2024-01-02"]["glot"] is None
+
+
 def test_long_gzip_members_and_plain_files(spark, tmp_path):
     text = "".join(f"line {i}\n" for i in range(200000)).encode()
     put(tmp_path / "x" / "two.csv", gzip.compress(text) + gzip.compress(b"tail\r\nlast"))
