@@ -70,7 +70,7 @@ def a06(c):
 @query("a07_any_severe", """
  SELECT num_acc, min(aaaammjj) AS aaaammjj, bool_or(coalesce(grav IN (2,3), false)) AS est_grave FROM fait GROUP BY num_acc""")
 def a07(c):
-    return severity.any_severe(c.star.fact, ["num_acc"], ["aaaammjj"])
+    return severity.any_severe(c.star.persons, ["num_acc"], ["aaaammjj"])
 
 
 @query("a08_heaviest_and_place", """
@@ -182,7 +182,7 @@ def a17(c):
  SELECT count(DISTINCT num_acc) AS nb_accidents, count(*) FILTER (grav = 2) AS nb_tues, count(*) FILTER (grav = 3) AS nb_hospitalises,
   round(count(*) FILTER (grav IN (2,3)) * 100.0::DOUBLE / count(*), 2) AS taux_gravite_pct FROM fait""")
 def a18(c):
-    return severity.key_figures(c.star.fact)
+    return severity.key_figures(c.star.persons)
 
 
 @query("a19_accidents_by_year", """

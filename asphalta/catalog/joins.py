@@ -134,7 +134,7 @@ def j11(c):
   (SELECT geo_key, min(lat) AS lat, min(lon) AS lon FROM accidents GROUP BY geo_key) g ON f.geo_key = g.geo_key
  WHERE f.geo_key IS NOT NULL""")
 def j12(c):
-    placed = c.star.fact.where(F.col("geo_key").isNotNull()).select("num_acc", "geo_key", "grav")
+    placed = c.star.persons.where(F.col("geo_key").isNotNull()).select("num_acc", "geo_key", "grav")
     return placed.join(c.star.dim_geo.select("geo_key", "lat", "lon"), "geo_key", "left")
 
 

@@ -23,13 +23,13 @@ def scored_rows(c):
     y = lb.is_severe(F.col("grav")).cast("int")
     day = F.substring("aaaammjj", 7, 2).cast("int")
     points = F.col("lum") * 7 + F.col("atm") * 3 + F.col("col") * 5 + F.col("catu") * 11 + y * 13 + day * 17
-    return c.star.fact.select("num_acc", "id_usager", "aaaammjj", "lum", "atm", "col", "catu", y.alias("y"),
+    return c.star.persons.select("num_acc", "id_usager", "aaaammjj", "lum", "atm", "col", "catu", y.alias("y"),
                               ((points % 100).cast("double") / 100).alias("s"))
 
 
 @query("m01_target", f"SELECT num_acc, id_usager, grav, {Y} AS grave FROM fait")
 def m01(c):
-    return prep.define_target(c.star.fact).select("num_acc", "id_usager", "grav", "grave")
+    return prep.define_target(c.star.persons).select("num_acc", "id_usager", "grav", "grave")
 
 
 @query("m01_suspect_columns", """
@@ -117,7 +117,7 @@ def m06(c):
  SELECT CASE WHEN aaaammjj < '20241019' THEN 'train' ELSE 'test' END AS partie, count(*) AS lignes, min(CAST(strptime(aaaammjj, '%Y%m%d') AS DATE)) AS debut,
   max(CAST(strptime(aaaammjj, '%Y%m%d') AS DATE)) AS fin, round(avg({Y} * 100.0::DOUBLE), 6) AS taux_grave_pct FROM fait GROUP BY 1""")
 def m07(c):
-    rows = prep.define_target(c.star.fact).select(dt.compact_date(F.col("aaaammjj")).alias("jour"), "grave")
+    rows = prep.define_target(c.star.persons).select(dt.compact_date(F.col("aaaammjj")).alias("jour"), "grave")
     pivot = prep.pivot_day(c.star.dim_date.select(F.col("date").cast("date").alias("jour")), "jour")
     return rounded(prep.split_summary(rows, "jour", pivot), 6, "taux_grave_pct")
 
@@ -341,7 +341,7 @@ def m09_features(c):
 
 
 def baseline_table(c):
-    rows = c.star.fact.select("id_usager", "aaaammjj", "lum", "grav").join(
+    rows = c.star.persons.select("id_usager", "aaaammjj", "lum", "grav").join(
         c.star.dim_meteo.select("aaaammjj", "tm", "rr"), "aaaammjj", "left")
     month = F.substring("aaaammjj", 5, 2).cast("int")
     named = prep.define_target(rows).select(

@@ -20,7 +20,7 @@ CROSSED = f"""
 
 def rain_by_severity(c):
     """Rain band and severity label per person."""
-    joined = c.star.fact.select("aaaammjj", "grav").join(c.star.dim_meteo.select("aaaammjj", "rr"), "aaaammjj", "left")
+    joined = c.star.persons.select("aaaammjj", "grav").join(c.star.dim_meteo.select("aaaammjj", "rr"), "aaaammjj", "left")
     return joined.select(lb.rain_band(F.col("rr")).alias("condition_pluie"),
                          lb.severity_label(F.col("grav")).alias("libel_gravite"))
 
@@ -239,7 +239,7 @@ MI_COLUMNS = ("lum", "atm", "catu")
   sum(n) OVER (PARTITION BY variable, b) AS nb, sum(n) OVER (PARTITION BY variable) AS t FROM o) GROUP BY variable""")
 def a30(c):
     """Few-valued columns keep their values, so plain counts check the estimate."""
-    y = c.star.fact.withColumn("y", lb.is_severe(F.col("grav")).cast("int"))
+    y = c.star.persons.withColumn("y", lb.is_severe(F.col("grav")).cast("int"))
     return rounded(assoc.mutual_information(y, MI_COLUMNS, "y", bins=64), 9, "mutual_info")
 
 

@@ -49,7 +49,7 @@ def w04(c):
  SELECT lum, grav, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY lum), 6) AS pct
  FROM fait WHERE grav IS NOT NULL GROUP BY lum, grav""")
 def w05(c):
-    return assoc.row_shares(c.star.fact, "lum", "grav").withColumn("pct", F.round("pct", 6))
+    return assoc.row_shares(c.star.persons, "lum", "grav").withColumn("pct", F.round("pct", 6))
 
 
 @query("o01_best_station", """
@@ -154,7 +154,7 @@ def o11(c):
  ORDER BY num_acc, id_usager, grav NULLS FIRST, catu LIMIT 1000""")
 def o12(c):
     lat, lon = geo.split_geo_key(F.col("geo_key"))
-    points = c.star.fact.withColumns({"lat": lat, "lon": lon}).na.drop(subset=["lat", "lon"])
+    points = c.star.persons.withColumns({"lat": lat, "lon": lon}).na.drop(subset=["lat", "lon"])
     first = points.orderBy("num_acc", "id_usager", "grav", "catu").limit(1000)
     return first.select("num_acc", "id_usager", "lat", "lon",
                         F.when(F.col("grav").isin(2, 3), "red").otherwise("blue").alias("couleur"))

@@ -47,14 +47,15 @@ FILE_IDS = 1 << 23
 
 def pack_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(chunks, bitmap, rank directory) of every level."""
-    levels, rest = [], ids.astype(np.uint64)
+    levels, rest = [], ids.astype(np.uint32)
     while len(rest) or not levels:
-        more = rest >> np.uint64(CHUNK)
+        more = rest >> np.uint32(CHUNK)
         on = more > 0
         bitmap = np.packbits(on, bitorder="little")
-        steps = np.add.reduceat(on, np.arange(0, len(on), RANK_STEP), dtype=np.uint64) if len(on) else np.empty(0, np.uint64)
+        set_bits = np.bitwise_count(bitmap)
+        steps = np.add.reduceat(set_bits, np.arange(0, len(bitmap), RANK_STEP // 8), dtype=np.uint64) if len(on) else np.empty(0, np.uint64)
         ranks = np.concatenate((np.zeros(1, np.uint64), np.cumsum(steps, dtype=np.uint64)))[:max(1, len(steps))]
-        levels.append(((rest & np.uint64((1 << CHUNK) - 1)).astype(np.uint8), bitmap, ranks))
+        levels.append(((rest & np.uint32((1 << CHUNK) - 1)).astype(np.uint8), bitmap, ranks))
         rest = more[on]
     return levels
 
@@ -102,11 +103,12 @@ class TokenFile:
 
     def ids(self) -> np.ndarray:
         """All ids, level by level."""
-        value = np.zeros(self.n_ids, np.uint32)
-        places = np.arange(self.n_ids)
+        value, places = self.levels[0][0].astype(np.uint32), None
         for k, (chunks, bitmap, _) in enumerate(self.levels):
-            value[places] |= chunks.astype(np.uint32) << np.uint32(CHUNK * k)
-            places = places[np.unpackbits(bitmap, count=len(chunks), bitorder="little").astype(bool)]
+            if k:
+                value[places] |= chunks.astype(np.uint32) << np.uint32(CHUNK * k)
+            on = np.flatnonzero(np.unpackbits(bitmap, count=len(chunks), bitorder="little"))
+            places = on if places is None else places[on]
         return value
 
 

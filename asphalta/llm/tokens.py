@@ -21,7 +21,8 @@ WORDS_KEPT = 400_000
 #: Words encoded in one call.
 AT_ONCE = 2000
 #: Letters with one code point each that are their own composed form and whose lower case is one letter.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]?)")
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+MARKS = ".,;:!?"
 
 
 def default_tokenizer() -> str:
@@ -42,10 +43,13 @@ class WordEncoder:
         self.tokenizer.no_padding()
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([*special, "[\x1c-\x1f]"]))
+        # Tried first, as one set of characters is searched for far faster.
+        firsts = "".join({re.escape(t.content[0]) for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.suspect = re.compile(f"[{firsts}\x1c-\x1f]")
         vocabulary = self.tokenizer.get_vocab()
         ends = {i for t, i in vocabulary.items() if t.endswith("</w>")}
         self.ends = bytes(i in ends for i in range(max(vocabulary.values()) + 1))
-        self.marks = {m: self._library([m])[0] for m in ".,;:!?"} | {"": b""}
+        self.marks = {m: self._library([m])[0] for m in MARKS} | {"": b""}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -79,9 +83,11 @@ class WordEncoder:
         for chunk in chunks:
             if (known := older.get(chunk)) is not None:
                 words[chunk] = known
-            elif m := PLAIN.fullmatch(chunk):
-                word = m[1].lower()
-                forms.append((chunk, word, m[2]))
+                continue
+            body, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in MARKS else (chunk, "")
+            if body.isalpha() and (body.isascii() or PLAIN.fullmatch(body)):
+                word = body.lower()
+                forms.append((chunk, word, mark))
                 if word not in words:
                     plain.add(word)
             else:
@@ -93,7 +99,8 @@ class WordEncoder:
             words[chunk] = words[word] + self.marks[mark]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if self.whole.search(t) else t.split() for t in (t or "" for t in texts)]
+        suspect, whole = self.suspect.search, self.whole.search
+        split = [None if suspect(t) and whole(t) else t.split() for t in (t or "" for t in texts)]
         get, new = self.words.get, set()
         found = [list(map(get, s)) if s is not None else [] for s in split]
         for s, ids in zip(split, found):

@@ -34,10 +34,23 @@ def smallest_per_key(right: DataFrame, keys: Sequence[str], value: str) -> DataF
     return kept.groupBy(*keys).agg(F.min(value).alias(value))
 
 
+SCATTER = 997
+
+
+def left_scattered(df: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join in which rows with a NULL key, which find nothing, do not meet in one task."""
+    missing = F.lit(False)
+    for key in keys:
+        missing = missing | F.col(key).isNull()
+    spread = F.when(missing, F.pmod(F.xxhash64(*df.columns), F.lit(SCATTER))).otherwise(0).cast("int")
+    return df.withColumn("_spread", spread).join(
+        right.withColumn("_spread", F.lit(0)), [*keys, "_spread"], "left").drop("_spread")
+
+
 def fill_from(df: DataFrame, right: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Fill NULLs of `value` by an equality lookup."""
     single = smallest_per_key(right, keys, value).withColumnRenamed(value, "_found")
-    joined = df.join(single, list(keys), "left")
+    joined = left_scattered(df, single, keys)
     return joined.withColumn(value, F.coalesce(F.col(value), F.col("_found"))).drop("_found")
 
 

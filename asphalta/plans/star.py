@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,10 +13,10 @@ from ..functions import dates as dt
 from ..functions import geo
 from ..functions import text as tx
 from ..operators import traffic, weather
-from ..operators.linking import fill_from
+from ..operators.linking import fill_from, left_scattered
 from ..operators.ordered import first_per_key, with_row_ids
 from ..operators.shape import align
-from ..session import materialize
+from ..session import materialize, small_table
 
 FACT_SCHEMA = T.StructType([T.StructField(n, t) for n, t in (
     ("num_acc", T.StringType()), ("id_usager", T.StringType()), ("aaaammjj", T.StringType()),
@@ -36,13 +36,18 @@ def keyed_accidents(caract: DataFrame) -> DataFrame:
         "lat", "lon", "lum", "atm", "col", "dep")
 
 
-def dim_date(days: DataFrame, day: str) -> DataFrame:
-    d = F.col(day)
-    return days.where(d.isNotNull()).select(d).distinct().select(
-        dt.compact_key(d).alias("aaaammjj"), F.date_format(d, "yyyy-MM-dd").alias("date"),
+def calendar(d: Column) -> list[Column]:
+    """The calendar columns of a date."""
+    return [
+        F.date_format(d, "yyyy-MM-dd").alias("date"),
         F.year(d).alias("annee"), F.month(d).alias("mois"), F.day(d).alias("jour"),
         dt.day_name(d).alias("jour_semaine"), dt.is_weekend(d).alias("is_weekend"),
-        dt.iso_week_key(d).alias("annee_semaine"))
+        dt.iso_week_key(d).alias("annee_semaine")]
+
+
+def dim_date(days: DataFrame, day: str) -> DataFrame:
+    d = F.col(day)
+    return days.where(d.isNotNull()).select(d).distinct().select(dt.compact_key(d).alias("aaaammjj"), *calendar(d))
 
 
 def dim_geo(accidents: DataFrame) -> DataFrame:
@@ -94,21 +99,25 @@ def assign_sensor(accidents: DataFrame, sensors: DataFrame) -> DataFrame:
     return near.drop(*cell)
 
 
-def fact(persons: DataFrame, accidents: DataFrame, vehicles: DataFrame,
+def fact(persons: DataFrame, accidents: DataFrame, vehicles: DataFrame | None,
          unique_vehicles: bool = False, extra: Sequence[str] = ()) -> DataFrame:
     """Person-by-accident fact: inner join to accidents, left join to vehicles.
 
     Vehicles are reduced to one row per (accident, vehicle) unless the caller
     knows they are.  With `requireAllClusterKeysForCoPartition` off, both joins
     share the partitioning by accident number.  `extra` accident columns are kept.
+    Without vehicles the result has no category of vehicle.
     """
     clean = {c: tx.without_blanks(F.col(c)) for c in ("num_veh", "place")}
     people = persons.withColumns(clean).withColumn(
         "id_usager", tx.joined_key(F.col("num_acc"), F.col("num_veh"), F.col("place")))
+    more = [f for f in accidents.schema if f.name in extra]
+    if vehicles is None:
+        kept = [f for f in FACT_SCHEMA.fields if f.name != "catv"]
+        return align(people.join(accidents, "num_acc"), T.StructType([*kept, *more]))
     if not unique_vehicles:
         vehicles = vehicles.groupBy("num_acc", "num_veh").agg(F.min("catv").alias("catv"))
     joined = people.join(accidents, "num_acc").join(vehicles, ["num_acc", "num_veh"], "left")
-    more = [f for f in accidents.schema if f.name in extra]
     return align(joined, T.StructType([*FACT_SCHEMA.fields, *more]))
 
 
@@ -122,14 +131,14 @@ CONTEXT = ("date", "annee", "mois", "jour", "jour_semaine", "is_weekend", "annee
            "meteo_temp_max", "meteo_temp_moy", "population", "population_annee")
 
 
-def enrich(rows: DataFrame, dates: DataFrame, traffic_weeks: DataFrame, weather_days: DataFrame,
+def enrich(rows: DataFrame, traffic_weeks: DataFrame, weather_days: DataFrame,
            population: DataFrame) -> DataFrame:
-    """Four left joins; every right side has one row per key.
+    """Calendar columns of the day and three left joins; every right side has one row per key.
 
     All keys belong to the accident, so the joins run best at accident grain,
-    before persons multiply the rows; any grain gives the same values.  Calendar,
-    weather and communes are small by nature; the sensor-week table is not, and its
-    size decides between broadcast and shuffle at run time.
+    before persons multiply the rows; any grain gives the same values.  Callers pass
+    weather and communes for broadcast once their size is known; the sensor-week table
+    is large, and rows without a sensor are scattered over its tasks.
     """
     days = weather_days.select(
         "aaaammjj", F.col("rr").alias("meteo_precipitations"), F.col("tn").alias("meteo_temp_min"),
@@ -137,9 +146,9 @@ def enrich(rows: DataFrame, dates: DataFrame, traffic_weeks: DataFrame, weather_
     people = population.select("com", F.col("obs_value").alias("population"),
                                F.col("time_period").alias("population_annee"))
     weeks = traffic_weeks.select("iu_ac", "annee_semaine", "q_total", "q_moyen", "k_moyen")
-    joined = (rows.join(dates, "aaaammjj", "left")
-              .join(weeks, ["iu_ac", "annee_semaine"], "left")
-              .join(days, "aaaammjj", "left").join(people, "com", "left"))
+    dated = rows.select("*", *calendar(dt.compact_date(F.col("aaaammjj"))))
+    joined = left_scattered(dated, weeks, ["iu_ac", "annee_semaine"]).join(
+        days, "aaaammjj", "left").join(people, "com", "left")
     return joined.select(*rows.columns, *CONTEXT)
 
 
@@ -187,9 +196,19 @@ class Star:
     def fact(self) -> DataFrame:
         return fact(self.domain.usagers, self.located, self.domain.vehicules, unique_vehicles=True)
 
+    @cached_property
+    def persons(self) -> DataFrame:
+        """The fact without the category of vehicle, for work that does not ask for it."""
+        return fact(self.domain.usagers, self.located, None)
+
+    @cached_property
+    def context(self) -> tuple[DataFrame, DataFrame]:
+        """Weather by day and population by commune: at most a row per day and per commune."""
+        return small_table(self.dim_meteo, "dim-meteo"), small_table(self.dim_population, "dim-population")
+
     def with_context(self, rows: DataFrame) -> DataFrame:
         """Date, traffic, weather and population of any rows with the four keys."""
-        return enrich(rows, self.dim_date, self.dim_traffic, self.dim_meteo, self.dim_population)
+        return enrich(rows, self.dim_traffic, *self.context)
 
     def enriched(self) -> DataFrame:
         """Enriched fact: context at accident grain, then one join to persons."""

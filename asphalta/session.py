@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -55,6 +56,16 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/asphalta/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows up to which a table counts as small: about 100 MB at 100 bytes a row.
+SMALL_ROWS = 1_000_000
+
+
+def small_table(df: DataFrame, label: str) -> DataFrame:
+    """A dimension written once; broadcast in joins if its counted rows are few, else joined as it is."""
+    table = materialize(df, label)
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write once and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
