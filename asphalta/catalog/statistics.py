@@ -243,10 +243,23 @@ def a30(c):
     return rounded(assoc.mutual_information(y, MI_COLUMNS, "y", bins=64), 9, "mutual_info")
 
 
-@query("a30_mutual_information_measures")
-def a30_measures(c):
-    """Continuous columns are cut at approximate quantiles; bins differ by engine, so rows only."""
-    y = numeric_frame(c).withColumn("y", lb.is_severe(F.col("grav")).cast("int"))
-    return assoc.mutual_information(y, [m for m in MEASURES if m != "lum"], "y")
+def mi_measures_sql(columns, bins=16):
+    """Mutual information with cuts at the exact quantiles of each column."""
+    steps = "[" + ", ".join(f"{i / bins!r}::DOUBLE" for i in range(1, bins)) + "]"
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS variable, len(list_filter(list_distinct(q), lambda t: t < coalesce({c}::DOUBLE, 0))) AS a, b, count(*)::DOUBLE AS n"
+        f" FROM y, (SELECT quantile_cont({c}::DOUBLE, {steps}) AS q FROM y) GROUP BY ALL" for c in columns)
+    return f"""
+ WITH y AS (SELECT *, CASE WHEN grav IN (2,3) THEN 1 ELSE 0 END AS b FROM enrichi), o AS ({parts})
+ SELECT variable, round(sum(n / t * ln(n * t / (na * nb))), 9) AS mutual_info FROM (SELECT *, sum(n) OVER (PARTITION BY variable, a) AS na,
+  sum(n) OVER (PARTITION BY variable, b) AS nb, sum(n) OVER (PARTITION BY variable) AS t FROM o) GROUP BY variable"""
 
 
+MI_MEASURES = tuple(m for m in MEASURES if m != "lum")
+
+
+@query("a30_mutual_information_measures", mi_measures_sql(MI_MEASURES))
+def a30_measures(c):
+    """Continuous columns are cut at exact quantiles."""
+    y = numeric_frame(c).withColumn("y", lb.is_severe(F.col("grav")).cast("int"))
+    return rounded(assoc.mutual_information(y, MI_MEASURES, "y"), 9, "mutual_info")

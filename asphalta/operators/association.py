@@ -7,6 +7,7 @@ columns) reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..functions.tails import chi2_tail, correlation_tail
-from .ordered import Balance, bucket_of, running_totals, value_bounds
+from .ordered import Balance, bucket_of, ranked_long, running_totals
 
 
 def cells(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -272,14 +273,39 @@ def variance_inflation(df: DataFrame, columns: Sequence[str], intercept: bool =
     return out.withColumn("niveau", lb.threshold_label(F.col("vif"), lb.VIF_STEPS, "OK"))
 
 
+def quantile_cuts(df: DataFrame, columns: Sequence[str], bins: int) -> dict[str, list[float]]:
+    """Distinct exact quantiles of every column at 1 / bins, 2 / bins and so on, in one pass.
+
+    Of the ranked values only those at a wanted position come to the driver.
+    """
+    ranked = ranked_long(df, [], columns)
+    shares = [k / bins for k in range(1, bins)]
+    last = F.col("n_total") - 1
+    wanted = F.flatten(F.transform(F.array(*map(F.lit, shares)), lambda p: F.array(F.floor(last * p), F.ceil(last * p))))
+    hit = F.exists(wanted, lambda w: (F.col("n_before") <= w) & (w < F.col("n_before") + F.col("n")))
+    found: dict[str, list] = {c: [] for c in columns}
+    for row in ranked.where(hit).select("variable", "value", "n", "n_before", "n_total").collect():
+        found[row["variable"]].append(row)
+
+    def at(rows: list, place: int) -> float:
+        return next(r["value"] for r in rows if r["n_before"] <= place < r["n_before"] + r["n"])
+
+    cuts = {}
+    for c, rows in found.items():
+        places = [(rows[0]["n_total"] - 1) * p for p in shares] if rows else []
+        cuts[c] = sorted({
+            (low := at(rows, math.floor(x))) + (at(rows, math.ceil(x)) - low) * (x - math.floor(x)) for x in places})
+    return cuts
+
+
 def mutual_information(df: DataFrame, columns: Sequence[str], target: str,
                        bins: int = 16) -> DataFrame:
     """Mutual information (nats) of each binned column with a binary target.
 
-    Columns with few values keep them; others are cut at quantiles.  The nearest
+    Columns with few values keep them; others are cut at exact quantiles.  The nearest
     neighbour estimator needs all rows in one place; binning needs only counts.
     """
-    bounds = value_bounds(df, list(columns), bins)
+    bounds = quantile_cuts(df, list(columns), bins)
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("variable"),
                  bucket_of(F.coalesce(F.col(c).cast("double"), F.lit(0.0)),
