@@ -9,7 +9,7 @@ and goes back one token when there is none. Places from which nothing can follow
 remembered, so each is left at most once and the work is linear in the word. Every word
 then has the tokens that merging pair by pair by rank gives it.
 
-A task keeps the ids of the words that it has seen. Texts are split into words by the
+A task keeps the ids of words and chunks that it has seen. Texts are split into words by the
 tokenizer's own pattern, or by its library outside the Latin letters; strings of special tokens are cut out first.
 
 Decoding looks up each id's bytes in one buffer by an offset table and joins tokens as
@@ -32,13 +32,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import query, small_batches, table
-from .tokens import WORDS_KEPT, default_tokenizer
+from .tokens import MARKS, PLAIN, Kept, default_tokenizer
 
 SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Up to here letters are single code points with a lower case of the same kind.
 LATIN_END = "\u0250"
 BLANKS = regex.compile(f"[{SPACE}]+")
 WORD_END = "</w>"
+#: Chunks, and words, kept by a task in each of two generations.
+CHUNKS_KEPT = 200_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -64,7 +66,8 @@ class Backtracking:
         self.pattern = regex.compile(step["pattern"]["Regex"].replace(r"\s", SPACE))
         self._token_tables(vocabulary, merges)
         self._decoder_tables(vocabulary)
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.chunks, self.words = Kept(CHUNKS_KEPT), Kept(CHUNKS_KEPT)
+        self.mark_ids = {m: self.ids_of_word(m.encode()) for m in MARKS} | {"": ()}
 
     def _token_tables(self, vocabulary: dict[str, int], merges: list) -> None:
         import ahocorasick
@@ -188,7 +191,18 @@ class Backtracking:
         return tuple(map(self.id_of.__getitem__, self.word(letters)))
 
     def ids_of_chunk(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a run of characters between blanks."""
+        """Ids of a run of characters between blanks.
+
+        Latin letters with at most one mark after them are one word, whose ids are kept
+        whatever its case and mark.
+        """
+        body, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in self.mark_ids else (chunk, "")
+        if body.isalpha() and (body.isascii() or PLAIN.fullmatch(body)):
+            word = body.lower()
+            ids = self.words.get(word)
+            if ids is None:
+                ids = self.words.put(word, self.ids_of_word(word.encode()))
+            return ids + self.mark_ids[mark]
         return tuple(i for word in self.split(chunk) for i in self.ids_of_word(word)) if chunk else ()
 
     def encode(self, text: str | None) -> list[int]:
@@ -197,12 +211,11 @@ class Backtracking:
             if part in self.special:
                 ids.append(self.special[part])
                 continue
+            kept = self.chunks
             for chunk in self._chunks(part):
-                found = self.words.get(chunk)
-                if found is None:
-                    if len(self.words) >= WORDS_KEPT:
-                        self.words.clear()
-                    found = self.words[chunk] = self.ids_of_chunk(chunk)
+                found = kept.new.get(chunk)
+                if found is None and (found := kept.get(chunk)) is None:
+                    found = kept.put(chunk, self.ids_of_chunk(chunk))
                 ids += found
         return ids
 

@@ -25,6 +25,25 @@ PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]
 MARKS = ".,;:!?"
 
 
+class Kept:
+    """A bounded memory: when the newer generation is full it takes the older's place."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value):
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+        return value
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
