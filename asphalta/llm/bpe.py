@@ -196,14 +196,16 @@ class Backtracking:
         Latin letters with at most one mark after them are one word, whose ids are kept
         whatever its case and mark.
         """
-        body, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in self.mark_ids else (chunk, "")
+        if not chunk:
+            return ()
+        body, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in self.mark_ids else (chunk, "")
         if body.isalpha() and (body.isascii() or PLAIN.fullmatch(body)):
             word = body.lower()
             ids = self.words.get(word)
             if ids is None:
                 ids = self.words.put(word, self.ids_of_word(word.encode()))
             return ids + self.mark_ids[mark]
-        return tuple(i for word in self.split(chunk) for i in self.ids_of_word(word)) if chunk else ()
+        return tuple(i for word in self.split(chunk) for i in self.ids_of_word(word))
 
     def encode(self, text: str | None) -> list[int]:
         ids: list[int] = []
