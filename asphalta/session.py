@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -60,10 +60,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 SMALL_ROWS = 1_000_000
 
 
-def small_table(df: DataFrame, label: str) -> DataFrame:
-    """A dimension written once; broadcast in joins if its counted rows are few, else joined as it is."""
+def small_table(df: DataFrame, label: str, entries: Column | None = None) -> DataFrame:
+    """A side table written once; broadcast in joins if its counted rows are few, else joined as it is.
+
+    entries: the length of a row's array, where it has one; those count as rows.
+    """
     table = materialize(df, label)
-    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+    size = F.count(F.lit(1)) if entries is None else F.count(F.lit(1)) + F.coalesce(F.sum(entries), F.lit(0))
+    return F.broadcast(table) if table.agg(size).first()[0] <= SMALL_ROWS else table
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

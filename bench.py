@@ -19,7 +19,7 @@ HEADLINE = (
     "a09_yearly_evolution", "a10_risk_zones", "a11_by_hour", "a16_holiday_effect",
     "a17_rates_per_100k", "a21_rain_severity_test", "a22_cramer_matrix", "a24_spearman_matrix",
     "a31_column_profile", "a36_grain_check", "a38_fill_rates", "w02_surrogate_ids", "m02_engineered_features",
-    "m13_roc_auc", "m16_best_f1_threshold")
+    "m09_logistic_regression", "m13_roc_auc", "m16_best_f1_threshold")
 
 
 def main() -> None:
