@@ -19,6 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import small_table
 from .common import discard, query, row_key, saved, table
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -124,6 +125,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "left_anti")
     dropped = (
         common.groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__at")).agg(F.collect_set("pos").alias("__dropped")))
+    dropped = small_table(dropped, "dropped-lines", F.size("__dropped"))
     keyed = docs.withColumn("__row", row_key(id_col, text_col))
     joined = keyed.join(
         dropped, keyed[id_col].eqNullSafe(dropped["__doc"]) & (keyed["__row"] == dropped["__at"]), "left")

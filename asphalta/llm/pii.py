@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import small_table
 from .common import query, row_key, saved, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -202,6 +203,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
             F.transform("terms", lambda t: F.struct(
                 t["start"].alias("start"), t["end"].alias("end"),
                 F.when(t["disclosure"] >= remove, "").otherwise("[TERM]").alias("mark")))).alias("__marks")).dropDuplicates(["__doc", "__at"])
+    spans = small_table(spans, "personal-marks", F.size("__marks"))
     keyed = docs.withColumn("__row", row_key(id_col, text_col))
     joined = keyed.join(spans, keyed[id_col].eqNullSafe(spans["__doc"]) & (keyed["__row"] == spans["__at"]), "left")
     ready = joined.select(*docs.columns, "__marks")

@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import small_table
 from .common import batch_of, query, row_key, saved, small_batches, table
 from .components import components
 
@@ -362,7 +363,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     placed = rows.select("id", "row", whole.alias("node")).join(
         nodes.select("node", "first", "n"), "node").join(replaced, "node", "left")
     stays = F.col("gone").isNull() & (F.col("row") == F.col("first.row")) & F.col("id").eqNullSafe(F.col("first.id"))
-    gone, _ = saved(placed.where(~stays).select(F.col("id").alias("__id"), F.col("row").alias("__at")).distinct(), "copies")
+    gone = small_table(placed.where(~stays).select(F.col("id").alias("__id"), F.col("row").alias("__at")).distinct(), "copies")
     keyed = docs.withColumn("__row", row_key(id_col, text_col))
     kept = keyed.join(gone, keyed[id_col].eqNullSafe(gone["__id"]) & (keyed["__row"] == gone["__at"]), "left_anti")
     # Rows repeated in id and text: all of them are the first of their node, one stays.
