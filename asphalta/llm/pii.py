@@ -1,29 +1,33 @@
 """Personal data and the terms that give it away.
 
-Base spans come from four patterns. Terms near a protected value are then judged by how
-much of its information they carry in this corpus: with n_te documents where term t
-stands near value e, n_t documents with t, n_e with e and n in all,
+Base spans come from four patterns. Every word that shares documents with a protected
+value is then judged by how much of its information it carries in this corpus: with n_te
+documents that hold both term t and value e, n_t documents with t, n_e with e and n in all,
 
     disclosure = log(n * n_te / (n_t * n_e)) / log(n / n_e)
 
-is the share of the value's information content that the term reveals: 1 if e is near
-wherever t is used. Terms at or above `generalise` that were seen near the value in at
-least `support` different contexts (so that copies of one document do not count) become
-spans of kind term; sanitising removes those at or above `remove` and generalises the
-others, as it does the base spans.
+is the share of the value's information content that the term reveals: 1 if e stands in
+every document that uses t. Terms at or above `generalise` that were seen with the value
+in at least `support` different contexts (a term with its `window` neighbours on each
+side, so that copies of one passage do not count) become spans of kind term wherever they
+stand, in documents without the value too; sanitising removes those at or above `remove`
+and generalises the others, as it does the base spans. A term has one disclosure, its
+highest over all values.
 
 Defined cases: null and empty texts have no spans; repeated rows get equal spans and count
 as documents each; null ids are ids like any other; an empty table gives an empty result;
-other columns pass through `sanitise`. Overlapping spans are replaced as one, by the mark
-of the first.
+other columns pass through `sanitise`. Words that overlap a base span are no terms there.
+Overlapping spans are replaced as one, by the mark of the first.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -38,9 +42,12 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
-TERM = re.compile(r"[^\W\d_]{4,}")
 SPANS = "array<struct<kind: string, start: bigint, end: bigint>>"
-NEAR = "array<struct<term: string, start: bigint, end: bigint, entity: bigint, context: bigint, first: int>>"
+USES = "array<struct<term: string, context: bigint, first: int>>"
+COUNTS = "array<struct<term: string, n: bigint>>"
+TERM_SPANS = "array<struct<start: bigint, end: bigint, disclosure: double>>"
+#: Different terms that a task counts before it hands the counts on.
+HELD_TERMS = 200_000
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -98,90 +105,151 @@ def digest(text: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def terms_near(text: str, spans: list[tuple[str, int, int]], window: int) -> list[tuple]:
-    """(term, start, end, entity, context, first) of up to `window` terms on each side of every span.
+@cache
+def word_characters() -> np.ndarray:
+    """Whether a code point belongs to words: letters and numbers of any script."""
+    return np.array([chr(c).isalnum() for c in range(0x110000)])
 
-    first is 1 for the first time that a term and a value meet in the text.
-    """
-    if not spans:
-        return []
-    ordered, words = sorted((a, b) for _, a, b in spans), []
-    at = reach = 0  # reach: how far the spans that begin before the word's end go
-    for m in TERM.finditer(text):
-        while at < len(ordered) and ordered[at][0] < m.end():
-            reach = max(reach, ordered[at][1])
-            at += 1
-        if reach <= m.start():
-            words.append((m[0].lower(), *m.span()))
-    starts = [w[1] for w in words]
+
+class Terms(dict):
+    """The term of every word met, and with places() where the words of a text stand."""
+
+    def __init__(self, of: Callable[[str], object] = str.lower):
+        self.of = of
+
+    def __missing__(self, word: str):
+        if len(self) >= HELD_TERMS:
+            self.clear()
+        term = self[word] = self.of(word)
+        return term
+
+    def places(self, text: str, spans: list[tuple[str, int, int]]) -> tuple[list, np.ndarray, np.ndarray]:
+        """Terms, starts and ends of all words that overlap no span."""
+        inside = np.zeros(len(text) + 2, np.int8)
+        inside[1:-1] = word_characters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        if spans:
+            low, high = np.array(sorted((a, b) for _, a, b in spans)).T
+            reach = np.r_[0, np.maximum.accumulate(high)]  # how far the spans that begin before the word's end go
+            free = reach[np.searchsorted(low, ends, "left")] <= starts
+            starts, ends = starts[free], ends[free]
+        return [self[text[a:b]] for a, b in zip(starts.tolist(), ends.tolist())], starts, ends
+
+
+def term_uses(terms: list[str], window: int) -> list[tuple[str, int, int]]:
+    """(term, context, first) of a text's different terms and contexts; first is 1 once for each term."""
     out, seen = [], set()
-    for kind, start, end in spans:
-        entity = digest(f"{kind}:{text[start:end].lower()}")
-        around = words[max(0, (i := bisect_left(starts, start)) - window):i] + words[(j := bisect_left(starts, end)):j + window]
-        context = digest(" ".join(w[0] for w in around))
-        for term, a, b in around:
-            out.append((term, a, b, entity, context, int((term, entity) not in seen)))
-            seen.add((term, entity))
+    for i, term in enumerate(terms):
+        context = digest(" ".join([*terms[max(0, i - window):i], "", *terms[i + 1:i + 1 + window]]))
+        if (term, context) not in seen:
+            out.append((term, context, int(term not in seen)))
+            seen |= {term, (term, context)}
     return out
 
 
 def found_data(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(id, row, spans, near) of every row: base spans and the terms near them."""
+    """(doc, row, spans, entities, uses, counts) of every row, and rows of counts alone.
+
+    uses: the terms of a text that holds an entity. Where counts is not null the row is of no
+    document: it holds numbers of documents by term, to be added up.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc {kind}, row bigint, spans {SPANS}, near {NEAR}"
-    span_type, near_type = (
+    schema = f"doc {kind}, row bigint, spans {SPANS}, entities array<bigint>, uses {USES}, counts {COUNTS}"
+    span_type, use_type, count_type = (
         pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])),
-        pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("entity", pa.int64()),
-                            ("context", pa.int64()), ("first", pa.int32())])))
+        pa.list_(pa.struct([("term", pa.string()), ("context", pa.int64()), ("first", pa.int32())])),
+        pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64())])))
+    names = ["doc", "row", "spans", "entities", "uses", "counts"]
 
     def named(rows, kind):
-        names = [f.name for f in kind.value_type]
-        return pa.array([[dict(zip(names, x)) for x in row] for row in rows], kind)
+        fields = [f.name for f in kind.value_type]
+        return pa.array([[dict(zip(fields, x)) for x in row] for row in rows], kind)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, id_type, lower = Counter(), None, Terms()
+
+        def counted():
+            items = list(counts.items())
+            parts = [items[at:at + 4096] for at in range(0, len(items), 4096)]
+            nothing = [pa.nulls(len(parts), t) for t in (id_type, pa.int64(), span_type, pa.list_(pa.int64()), use_type)]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([*nothing, named(parts, count_type)], names=names)
+
         for batch in small_batches(batches):
+            id_type = batch.column(0).type
             texts = [t or "" for t in batch.column(2).to_pylist()]
             spans = [base_spans(t) for t in texts]
-            near = [terms_near(t, s, window) for t, s in zip(texts, spans)]
+            entities, uses = [], []
+            for text, found in zip(texts, spans):
+                terms = lower.places(text, found)[0]
+                counts.update(set(terms))
+                entities.append(sorted({digest(f"{k}:{text[a:b].lower()}") for k, a, b in found}))
+                uses.append(term_uses(terms, window) if found else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), named(spans, span_type), named(near, near_type)],
-                names=["doc", "row", "spans", "near"])
+                [batch.column(0), batch.column(1), named(spans, span_type), pa.array(entities, pa.list_(pa.int64())),
+                 named(uses, use_type), pa.nulls(batch.num_rows, count_type)], names=names)
+            if len(counts) >= HELD_TERMS:
+                yield counted()
+        if counts:
+            yield counted()
 
     return docs.select(id_col, row_key(id_col, text_col), text_col).mapInArrow(find, schema)
 
 
-def disclosing(docs: DataFrame, found: DataFrame, text_col: str, support: int, generalise: float) -> DataFrame:
-    """(entity, term, disclosure) of the terms that reveal an entity, from counts over all documents."""
-    near = found.select(F.explode("near").alias("n")).select("n.entity", "n.term", "n.context", "n.first")
+def disclosing(found: DataFrame, support: int, generalise: float) -> DataFrame:
+    """(term, disclosure) of the terms that reveal an entity, from counts over all documents."""
+    rows = found.where("counts IS NULL")
+    used = rows.where("size(entities) > 0").select(F.explode("entities").alias("entity"), "uses").select("entity", F.inline("uses"))
     met = (
-        near.groupBy("entity", "term", "context").agg(F.sum("first").alias("docs"))
+        used.groupBy("entity", "term", "context").agg(F.sum("first").alias("docs"))
         .groupBy("entity", "term").agg(F.sum("docs").alias("n_te"), F.count("*").alias("contexts"))
         .where(F.col("contexts") >= support))
-    held = found.select(F.array_distinct(F.transform("near", lambda n: n["entity"])).alias("e")).select(
-        F.explode("e").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"))
-    terms = docs.select(F.explode(words).alias("term")).where("char_length(term) >= 4").groupBy("term").agg(
-        F.count("*").alias("n_t"))
-    n = docs.agg(F.count("*").cast("double").alias("n")).first()["n"]
+    held = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    terms = found.where("counts IS NOT NULL").select(F.inline("counts")).groupBy("term").agg(F.sum("n").alias("n_t"))
+    n = float(rows.count())
     share = F.log(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(n) / F.col("n_e"))
     return (
         met.join(held, "entity").join(terms, "term").where(F.col("n_e") < n)
-        .select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= generalise))
+        .select("term", share.alias("disclosure")).where(F.col("disclosure") >= generalise)
+        .groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+
+
+def term_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, row, key, start, end) of every word outside the base spans; key is the term's digest."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = Terms(lambda word: digest(word.lower()))
+        for batch in small_batches(batches):
+            found = [keys.places(t, base_spans(t)) for t in (t or "" for t in batch.column(2).to_pylist())]
+            ends = np.cumsum([0, *(len(f[0]) for f in found)])
+            columns = [np.concatenate([np.array(f[i], np.int64) for f in found]) for i in range(3)]
+            inner = pa.StructArray.from_arrays([pa.array(c) for c in columns], ["key", "start", "end"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)],
+                names=["doc", "row", "places"])
+
+    schema = f"doc {kind}, row bigint, places array<struct<key: bigint, start: bigint, end: bigint>>"
+    found = docs.select(id_col, row_key(id_col, text_col), text_col).mapInArrow(find, schema)
+    return found.select("doc", "row", F.inline("places"))
 
 
 def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, support: int = 3,
                    generalise: float = 0.6) -> DataFrame:
     """(doc, row, spans, terms): base spans, and the disclosing terms with their disclosure, of every row."""
     found, _ = saved(found_data(docs, id_col, text_col, window), "personal")
-    shown = disclosing(docs, found, text_col, support, generalise)
+    keyed = F.udf(digest, "bigint")
+    shown = small_table(disclosing(found, support, generalise).select(keyed("term").alias("key"), "disclosure"), "disclosing")
     terms = (
-        found.select("doc", "row", F.explode("near").alias("n")).withColumns({"entity": F.col("n.entity"), "term": F.col("n.term")})
-        .join(shown, ["entity", "term"]).groupBy("doc", "row", "n.start", "n.end").agg(F.max("disclosure").alias("disclosure"))
+        term_places(docs, id_col, text_col).join(shown, "key")
+        .groupBy("doc", "row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
         .groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__at"))
         .agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms")))
-    return found.join(
-        terms, found["doc"].eqNullSafe(terms["__doc"]) & (found["row"] == terms["__at"]), "left").select(
-        "doc", "row", "spans", F.coalesce("terms", F.array().cast("array<struct<start: bigint, end: bigint, disclosure: double>>")).alias("terms"))
+    rows = found.where("counts IS NULL")
+    return rows.join(
+        terms, rows["doc"].eqNullSafe(terms["__doc"]) & (rows["row"] == terms["__at"]), "left").select(
+        "doc", "row", "spans", F.coalesce("terms", F.array().cast(TERM_SPANS)).alias("terms"))
 
 
 def replaced(text: str, marks: list[tuple[int, int, str]]) -> str:
@@ -196,7 +264,7 @@ def replaced(text: str, marks: list[tuple[int, int, str]]) -> str:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = 0.9, **settings) -> DataFrame:
     """docs with personal data and disclosing terms replaced by their kind, or removed."""
-    spans = personal_spans(docs, id_col, text_col, **settings).where("size(spans) > 0").select(
+    spans = personal_spans(docs, id_col, text_col, **settings).where("size(spans) + size(terms) > 0").select(
         F.col("doc").alias("__doc"), F.col("row").alias("__at"), F.concat(
             F.transform("spans", lambda s: F.struct(
                 s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("mark"))),

@@ -99,6 +99,25 @@ def test_disclosure_matches_plain_counts(spark):
     assert cleaned[100] == "common words only"
 
 
+def test_terms_are_marked_wherever_they_stand(spark):
+    """A term far from its value, short or with digits, and in a document without the value."""
+    rng = random.Random(8)
+    filler = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80)]
+    gap = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    rows = [(i, f"{gap(20)} boss@corp.example {gap(30)} Surgeon {gap(9)} wd7 {gap(30)} ox {gap(9)}") for i in range(5)]
+    rows += [(10 + i, gap(60)) for i in range(90)] + [(200, f"{gap(5)} the surgeon of {gap(3)} WD7, ox.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cleaned = {r.doc_id: r.text for r in sanitise(docs).collect()}
+    for i in (0, 1, 2, 3, 4, 200):
+        words = set(re.findall(r"\w+", cleaned[i].lower()))
+        assert not words & {"surgeon", "wd7", "ox"}
+    assert all(cleaned[d] == text for d, text in rows if 10 <= d < 100)
+    # Six documents hold the term, five of them with the value: log(96 * 5 / (6 * 5)) / log(96 / 5).
+    spans = {r.doc: r.terms for r in personal_spans(docs).collect()}
+    assert all(t.disclosure == pytest.approx(math.log(16) / math.log(96 / 5)) for d in (0, 200) for t in spans[d])
+    assert len(spans[0]) == len(spans[200]) == 3
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="driver tables absent")
 def test_query_on_whole_table(spark):
     got = {r.doc_id: r for r in op8_pii(spark, str(DATA)).collect()}
