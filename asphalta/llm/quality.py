@@ -7,8 +7,10 @@ repetitive) reject as well.
 
 Line rules, for lines that are not blank:
 - navigation: at least `min_separators` menu separators, one for each four words or
-  more; or one of three or more short lines in a row without an end mark;
-- boilerplate: holds one of BOILERPLATE and has at most 25 words;
+  more; or one of three or more short lines in a row without an end mark, short both in
+  words and in characters (wide ones count twice);
+- boilerplate: has at most 25 words, more than half of them in phrases of BOILERPLATE; a
+  third is enough if two different phrases stand there or one of them is in PLAIN_FURNITURE;
 - punctuation: more than `max_symbols` of its non-blank characters are symbols, or at
   least half of its words end with two or more marks in a row;
 - stutter: of eight or more words, at least half repeat the word before.
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from unicodedata import east_asian_width
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,11 @@ BOILERPLATE = (
     "licensed under", "lorem ipsum", "log in", "newsletter", "privacy policy", "read more", "released under",
     "share this", "sign in", "sign up", "skip to content", "subscribe to", "terms of service", "terms of use",
     "use of cookies")
-END_MARKS = ".!?;:…。！？»”\"')]"
+#: Those of them that ordinary prose hardly uses.
+PLAIN_FURNITURE = frozenset((
+    "all rights reserved", "accept cookies", "click here", "cookie policy", "enable javascript", "follow us on", "lorem ipsum",
+    "privacy policy", "skip to content", "terms of service", "terms of use", "use of cookies"))
+END_MARKS = ".!?;:…。！？»”\"')],，、；：،؛؟।॥—–-"
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -77,12 +84,14 @@ def base_signals(text: str, lines: list[str]) -> tuple[int, ...]:
 class LineRules:
     """The rules for lines, with their limits."""
 
-    def __init__(self, min_separators: int = 3, max_symbols: float = 0.12, short: int = 3):
-        self.min_separators, self.max_symbols, self.short = min_separators, max_symbols, short
+    def __init__(self, min_separators: int = 3, max_symbols: float = 0.12, short: int = 3,
+                 short_width: int = 24):
+        self.min_separators, self.max_symbols, self.short, self.short_width = min_separators, max_symbols, short, short_width
         self.separators = re.compile(r"[|»›•·]")
         self.symbols = re.compile(r"[#*$%&|<>{}~^=_\\+@]")
         self.marked = re.compile(r"[^\w\s]{2,}(?=\s|$)")
-        self.furniture = re.compile("|".join(map(re.escape, BOILERPLATE)))
+        phrases = "|".join(re.escape(p).replace(r"\ ", r"\s+") for p in BOILERPLATE)
+        self.furniture = re.compile(rf"(?<!\w)(?:{phrases})(?!\w)")
 
     def fails(self, line: str) -> str | None:
         """The rule that a line fails, if any."""
@@ -91,7 +100,7 @@ class LineRules:
         menu = len(self.separators.findall(line))
         if menu >= self.min_separators and 4 * menu >= words:
             return "navigation"
-        if words <= 25 and self.furniture.search(line.lower()):
+        if words <= 25 and self.is_furniture(line.lower(), words):
             return "boilerplate"
         solid = sum(map(len, parts))
         if len(self.symbols.findall(line)) > self.max_symbols * solid:
@@ -102,9 +111,25 @@ class LineRules:
             return "stutter"
         return None
 
+    def is_furniture(self, line: str, words: int) -> bool:
+        """Whether phrases of page furniture make up enough of a lower-case line."""
+        found = [" ".join(p.split()) for p in self.furniture.findall(line)]
+        held = sum(p.count(" ") + 1 for p in found)
+        sure = len(set(found)) > 1 or not PLAIN_FURNITURE.isdisjoint(found)
+        return 2 * held > words or sure and 3 * held >= words
+
+    def is_bare(self, line: str) -> bool:
+        """Whether a line is short and ends without a mark, as menu entries do."""
+        parts = line.split()
+        if not parts or len(parts) > self.short or parts[-1][-1] in END_MARKS:
+            return False
+        inner = " ".join(parts)
+        return len(inner) <= self.short_width and sum(
+            1 + (east_asian_width(c) in "WF") for c in inner) <= self.short_width
+
     def judge(self, lines: list[str]) -> list[str | None]:
         verdicts = [self.fails(line) if line.strip() else None for line in lines]
-        bare = [bool(s := line.strip()) and len(s.split()) <= self.short and s[-1] not in END_MARKS for line in lines]
+        bare = [self.is_bare(line) for line in lines]
         at = 0
         while at < len(lines):
             end = at

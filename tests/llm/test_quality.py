@@ -53,6 +53,29 @@ def test_line_rules(line, rule):
     assert LineRules().fails(line) == rule
 
 
+@pytest.mark.parametrize("line, rule", [
+    ("She looked up the catalog in the library before lunch.", None), ("The design in question was never built.", None),
+    ("We ate bread more often than rice that year.", None), ("The sign in the window said that the shop was closed.", None),
+    ("The code is licensed under terms that the council had never seen before.", None),
+    ("Her newsletter reached nine hundred people in the valley every week.", None),
+    ("Log in", "boilerplate"), ("Sign in or sign up to read more", "boilerplate"), ("READ  MORE »", "boilerplate"),
+    ("Privacy Policy and Terms of Use apply", "boilerplate")])
+def test_furniture_is_whole_phrases_and_most_of_a_line(line, rule):
+    assert LineRules().fails(line) == rule
+
+
+def test_a_clean_document_of_one_line_stays():
+    text = "The old dialog in the second act was cut, and the sign in the window of the shop then made no sense to anybody."
+    assert clean(text, LineRules())[:2] == (text, 0.0)
+
+
+@pytest.mark.parametrize("lines", [
+    ["这是一个没有空格的很长的中文句子它被硬换行了"] * 3, ["ภาษาไทยเขียนโดยไม่มีช่องว่างระหว่างคำในประโยค"] * 3,
+    ["Half a league,", "Half a league,", "Half a league onward,"], ["Incomprehensibly circumlocutory phraseology"] * 3])
+def test_wrapped_lines_are_no_menu(lines):
+    assert LineRules().judge(lines) == [None] * 3
+
+
 def test_menus_of_short_lines():
     assert LineRules().judge(["Home", "News", "Sport", "A sentence.", "", "Title", "Text goes on here and ends."]) == [
         "navigation"] * 3 + [None] * 4
