@@ -2,7 +2,7 @@
 
 Base spans are the matches of three patterns. Positions come from splitting a text by a
 pattern and adding up the lengths of gaps and matches. A candidate is the value of a base
-span or an opaque word: 20 to 200 characters of letters, digits, + / = _ - with at least
+span or an opaque word: 20 or more characters of letters, digits, + / = _ - with at least
 one lower-case letter, one upper-case letter and two digits. Candidates are
 hashed, and each hash is counted over the corpus by distinct repositories and distinct
 owners: copied widely (`copied` owners or more) it is an example, otherwise it belongs to
@@ -72,8 +72,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner: Sequence[str]
         F.filter(matches(text, "assign", ASSIGN, 1), lambda s: F.char_length(s["value"]) >= 6),
         matches(text, "access", ACCESS), matches(text, "hex", HEX))
     mixed = F.filter(matches(text, "opaque", OPAQUE), lambda s: (
-        (F.char_length(s["value"]) <= 200) & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]")
-        & s["value"].rlike("[0-9].*[0-9]")))
+        s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]") & s["value"].rlike("[0-9].*[0-9]")))
     named = lambda columns: F.to_json(F.struct(*columns))
     found = docs.select(
         F.col(id_col).alias("doc"), row_key(id_col, text_col).alias("row"), named(owner).alias("owner"),

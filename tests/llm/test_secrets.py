@@ -54,5 +54,13 @@ def test_very_many_matches_in_one_text(spark):
     assert [(s.start, s.end) for s in spans] == [(15 * i, 15 * i + 14) for i in range(5000)] and time.time() - began < 60
 
 
+def test_long_opaque_values_are_found(spark):
+    session, shared = "FwoGZXIvYXdzEJr" + "aB3" * 300, "Zy9" * 200
+    rows = [(1, f"see {session} here", "a", "en")] + [(2 + i, f"x {shared} y", f"s{i}", "en") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc: [(s.kind, s.start, s.end, s.verdict) for s in r.spans] for r in scan_secrets(docs).collect()}
+    assert got == {1: [("opaque", 4, 4 + len(session), "live")], 2: [], 3: [], 4: []}
+
+
 def test_empty_table(spark):
     assert scan_secrets(spark.createDataFrame([], "doc_id long, text string, source string, lang string")).collect() == []
