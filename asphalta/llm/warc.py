@@ -87,6 +87,26 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
         "record", F.concat(F.col("header").cast("binary"), body, F.lit(b"\r\n\r\n"))).drop("digest")
 
 
+def rebuilt(records: DataFrame) -> DataFrame:
+    """records with payload_bytes and payload_digest of responses taken from the whole record.
+
+    Every record is put together and must be as long as its header, its Content-Length and
+    the closing line breaks say; one that is not makes the read fail.
+    """
+    head = F.octet_length("header")
+    declared = F.regexp_extract("header", "\r\nContent-Length: ([0-9]+)\r\n\r\n", 1).cast("int")
+    sound = (F.octet_length("record") == head + declared + 4) & (F.substring("record", F.lit(1), head) == F.col("header").cast("binary"))
+    body = F.when(sound, F.substring("record", head + 1, declared)).otherwise(F.raise_error(
+        F.concat(F.lit("record does not match its header: page "), F.coalesce("page", F.lit("null")))).cast("binary"))
+    whole = records.withColumn("body", body)
+    response = F.col("record_type") == "response"
+    # A revisit's own body is empty; its payload is the one that it refers to.
+    length, digest = F.octet_length("body").cast("long"), F.sha2("body", 256)
+    return whole.withColumns({
+        "payload_bytes": F.when(response, length).otherwise(F.col("payload_bytes") + length),
+        "payload_digest": F.when(response, digest).otherwise(F.col("payload_digest"))}).drop("body")
+
+
 @query("op7_warc_archive", """
  WITH p AS (
   SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d FROM pages),
@@ -98,6 +118,6 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
 def op7_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     place = fresh_path(spark, "archive")
     write_archive(table(spark, folder, "pages"), place)
-    return read_archive(spark, place).select(
+    return rebuilt(read_archive(spark, place)).select(
         F.expr("try_cast(page AS bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.expr("try_cast(refers_to AS bigint)").alias("refers_to"))

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from asphalta.llm import warc
 from asphalta.llm.warc import read_archive, write_archive
 from asphalta.session import fresh_path
 
@@ -57,3 +58,16 @@ def test_empty_table(spark):
     place = fresh_path(spark, "archive")
     write_archive(spark.createDataFrame([], "page_id long, url string, html string"), place)
     assert read_archive(spark, place).collect() == []
+
+
+def test_query_rebuilds_every_record(spark, tmp_path, monkeypatch):
+    pages = [(1, "http://a", "x" * 200), (2, "http://b", "x" * 200), (3, "http://c", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.record_type, r.payload_bytes) for r in warc.op7_warc_archive(spark, str(tmp_path)).collect()}
+    assert got == {1: ("response", 200), 2: ("revisit", 200), 3: ("response", 0)}
+    read = warc.read_archive
+    for kind in ("response", "revisit"):
+        cut = F.when(F.col("record_type") == kind, F.lit(b"short")).otherwise(F.col("record"))
+        monkeypatch.setattr(warc, "read_archive", lambda s, f: read(s, f).withColumn("record", cut))
+        with pytest.raises(Exception, match="record does not match its header"):
+            warc.op7_warc_archive(spark, str(tmp_path)).collect()
