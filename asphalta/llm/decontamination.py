@@ -33,6 +33,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 AS_WRITTEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Entries of the set that are broadcast at once, about 150 bytes each.
 MOST = 500_000
+#: Tasks that one set of windows is dealt to.
+SALTS = 32
 
 
 def lower_ascii(text: Column) -> Column:
@@ -212,11 +214,17 @@ def op13_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     found, item_windows = contamination(
         table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark").select("item_id", "text"))
     found, _ = saved(found.withColumn("set_key", set_key()), "contamination")
-    lists = item_lists(found, item_windows)
-    joined = found.join(lists, "set_key", "left")
+    # Rows without hits need no list; the others' keys are salted, as one set may be that of most of them.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    lists = item_lists(found, item_windows).select(
+        "set_key", F.size("items").alias("n_items"), F.array_join("items", ",").alias("listed")).select(
+        "set_key", "n_items", F.sha2("listed", 256).alias("items_sha256"), salts)
+    salted = found.where("size(windows) > 0").withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    clean = found.where("size(windows) = 0").withColumns(
+        {"n_items": F.lit(0), "items_sha256": F.sha2(F.lit(""), 256)})
+    whole = clean.unionByName(salted.join(lists, ["set_key", "salt"]).drop("salt"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
-    return joined.select(
-        F.col("doc").alias("doc_id"), "n_words", hit.alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
-        (F.size("spans") > 0).alias("contaminated"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy")).drop("__copy")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy")
+    return whole.select(
+        F.col("doc").alias("doc_id"), "n_words", hit.alias("n_hit"), F.col("n_items").cast("long").alias("n_items"),
+        "items_sha256", (F.size("spans") > 0).alias("contaminated"), copies).drop("__copy")
