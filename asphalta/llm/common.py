@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import fresh_path
 
@@ -54,6 +54,23 @@ def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def lower_ascii(text: Column) -> Column:
+    """A-Z lower-cased and nothing else changed."""
+    # lower() is far cheaper than translate(), and equal unless other letters have a lower case.
+    other = text.rlike(r"[\p{javaUpperCase}\p{javaTitleCase}&&[^A-Z]]")
+    return F.when(other, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+
+
+def sql_crc32(text: str) -> str:
+    """DuckDB: the unsigned CRC-32 of a string's UTF-8 bytes, which it has no function for."""
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    octets = f"list_transform(range(0, octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: {bits}), 4294967295)"
+
+
 def batch_of(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
     """A record batch from Python lists and their Arrow types."""
     return pa.RecordBatch.from_arrays(

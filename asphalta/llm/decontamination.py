@@ -25,8 +25,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import query, row_key, saved, table
-from .line_dedup import LOWER, UPPER
+from .common import lower_ascii, query, row_key, saved, table
 
 #: What lies between lower-cased words, and the words of a text as written.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,12 +36,6 @@ MOST = 500_000
 SALTS = 32
 
 
-def lower_ascii(text: Column) -> Column:
-    # lower() is far cheaper than translate(), and equal unless other letters have a lower case.
-    other = text.rlike(r"[\p{javaUpperCase}\p{javaTitleCase}&&[^A-Z]]")
-    return F.when(other, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
-
-
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN, -1), "")
 
