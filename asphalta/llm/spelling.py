@@ -1,7 +1,7 @@
 """Spelling variants: words one edit apart, each with the frequent form it is likely to stand for.
 
-Letters are hashed to a few symbols (code point modulo their number), which makes words
-short strings over a small alphabet. Such a string has few neighbours one edit away, so
+Letters are hashed to a few symbols, dealt so that each symbol is about as frequent, which
+makes words strings over a small alphabet. Such a string has few neighbours one edit away, so
 the full neighbourhood of every different reduced word is generated and joined with the
 reduced vocabulary: words one edit apart have reduced words at most one edit apart. What
 meets is verified on the words themselves.
@@ -33,6 +33,8 @@ from .common import lower_ascii, query, saved, sql_crc32, table
 
 #: Numbers of symbols, each a multiple of the one before.
 ALPHABETS = (4, 16, 64)
+#: Words of one class beyond which they go to the next alphabet.
+CROWD = 64
 #: The symbols' characters.
 SYMBOLS = "".join(chr(48 + i) for i in range(64))
 NOT_LETTERS = r"[^a-zÀ-ÿ]+"
@@ -57,10 +59,32 @@ def corpus_words(docs: DataFrame, id_col: str, text_col: str, shortest: int, dro
     return kept.groupBy("word").agg(F.count("*").alias("n")).where("n >= 2")
 
 
-def reduced(word: Column, symbols: int) -> Column:
-    """The word over an alphabet of so many symbols."""
-    letters = F.split(word, "")
-    return F.array_join(F.transform(letters, lambda c: F.substring(F.lit(SYMBOLS), F.pmod(F.ascii(c), F.lit(symbols)) + 1, F.lit(1))), "")
+def deal(weights: dict[str, int], hands: int) -> dict[str, int]:
+    """Each key's hand, the heaviest first to the hand that has least."""
+    held, out = [0] * hands, {}
+    for key in sorted(weights, key=lambda k: (-weights[k], k)):
+        out[key] = held.index(min(held))
+        held[out[key]] += weights[key]
+    return out
+
+
+def letter_symbols(weights: dict[str, int], alphabets: Sequence[int]) -> list[dict[str, int]]:
+    """For each alphabet the letters' symbols, of about equal weight, each split by those of the next."""
+    levels, before = [], {c: 0 for c in weights}
+    for had, symbols in zip((1, *alphabets), alphabets):
+        split = symbols // had
+        now = {}
+        for symbol in range(had):
+            inside = deal({c: weights[c] for c in weights if before[c] == symbol}, split)
+            now |= {c: symbol * split + hand for c, hand in inside.items()}
+        levels.append(now)
+        before = now
+    return levels
+
+
+def reduced(word: Column, symbols: dict[str, int]) -> Column:
+    """The word with each letter replaced by its symbol."""
+    return F.translate(word, "".join(symbols), "".join(SYMBOLS[i] for i in symbols.values()))
 
 
 def neighbourhood(word: Column, symbols: int) -> Column:
@@ -75,40 +99,39 @@ def neighbourhood(word: Column, symbols: int) -> Column:
 
     dropped = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(
         F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, size)))
-    return F.array_distinct(F.concat(F.array(word), dropped, around(1, size), around(0, size + 1)))
+    return F.concat(F.array(word), dropped, around(1, size), around(0, size + 1))
 
 
-def near_pairs(vocabulary: DataFrame, alphabets: Sequence[int] = ALPHABETS, crowd: int = 16) -> DataFrame:
+def near_pairs(vocabulary: DataFrame, alphabets: Sequence[int] = ALPHABETS, crowd: int = CROWD) -> DataFrame:
     """(a, n_a, b, n_b), a before b, of all words of a (word, n) table that are one edit apart."""
+    letters = vocabulary.select(F.explode_outer(F.split("word", "")).alias("c")).groupBy("c").agg(F.count("*").alias("k"))
+    weights = {r.c: r.k for r in letters.where("c <> ''").collect()}  # at most one row for each code point there is
     levels, asked = [], None
-    for level, symbols in enumerate(alphabets):
-        words, _ = saved(vocabulary.withColumn("class", reduced(F.col("word"), symbols)), "spelling-classes")
-        sizes = words.groupBy("class").agg(F.count("*").alias("size"))
+    for level, (symbols, dealt) in enumerate(zip(alphabets, letter_symbols(weights, alphabets))):
+        # Classes go by a hash of the reduced word: should two share one, they are one class.
+        short = reduced(F.col("word"), dealt)
+        words, _ = saved(vocabulary.select("word", "n", short.alias("short"), F.xxhash64(short).alias("class")), "spelling-classes")
+        sizes = words.groupBy("class").agg(F.count("*").alias("size"), F.min("short").alias("short"))
         last = level == len(alphabets) - 1
-        calm = sizes.select("class") if last else sizes.where(F.col("size") <= crowd).select("class")
-        # At first all classes ask, and each pair of them is met from its smaller side.
-        asking = calm if asked is None else words.join(asked, "word", "left_semi").join(calm, "class", "left_semi").select("class").distinct()
-        near = asking.select(F.col("class").alias("class_a"), F.explode_outer(neighbourhood(F.col("class"), symbols)).alias("class_b"))
-        if asked is None:
-            near = near.where("class_b >= class_a")
-        met = near.join(calm.withColumnRenamed("class", "class_b"), "class_b", "left_semi")
-        a, b = (words.select(*[F.col(c).alias(f"{c}_{x}") for c in ("class", "word", "n")]) for x in "ab")
-        if asked is not None:
-            a = a.join(asked.withColumnRenamed("word", "word_a"), "word_a", "left_semi")
-        both = met.join(a, "class_a").join(b, "class_b").where(
-            (F.abs(F.char_length("word_a") - F.char_length("word_b")) <= 1) & (F.col("word_a") != F.col("word_b")))
-        if asked is None:
-            both = both.where("class_a <> class_b OR word_a < word_b")
-        one = both.where(F.levenshtein("word_a", "word_b", 1) == 1)
-        swap = F.col("word_b") < F.col("word_a")
-        pairs = one.select(
-            F.least("word_a", "word_b").alias("a"), F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"),
-            F.greatest("word_a", "word_b").alias("b"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"))
-        levels.append(pairs)
+        calm = sizes if last else sizes.where(F.col("size") <= crowd)
+        asking = words if asked is None else words.join(asked, "word", "left_semi")
+        listed = [w.join(calm.select("class"), "class", "left_semi").groupBy(F.col("class").alias(f"class_{x}")).agg(
+            F.collect_list(F.struct("word", "n")).alias(f"words_{x}")) for x, w in (("a", asking), ("b", words))]
+        around = F.transform(neighbourhood(F.col("short"), symbols), lambda v: F.xxhash64(v))
+        sources = calm if asked is None else calm.join(asking.select("class"), "class", "left_semi")
+        if asked is None:  # all classes ask, and each pair of them is met from one side
+            around = F.filter(around, lambda v: v >= F.col("class"))
+        near = sources.select(F.col("class").alias("class_a"), F.explode_outer(F.array_distinct(around)).alias("class_b"))
+        met = near.join(listed[1], "class_b").join(listed[0], "class_a")
+        once = F.col("class_a") != F.col("class_b") if asked is None else F.lit(True)
+        found = F.flatten(F.transform("words_a", lambda a: F.transform(
+            F.filter("words_b", lambda b: (F.levenshtein(a["word"], b["word"], 1) == 1) & (once | (a["word"] < b["word"]))),
+            lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))))
+        levels.append(met.select(F.explode_outer(found).alias("pair")).where("pair IS NOT NULL").select(
+            F.col("pair.a.word").alias("a"), F.col("pair.a.n").alias("n_a"), F.col("pair.b.word").alias("b"), F.col("pair.b.n").alias("n_b")))
         if last:
             break
-        crowded = words.join(sizes.where(F.col("size") > crowd).select("class"), "class", "left_semi").select("word")
-        asked, _ = saved(crowded, "spelling-crowded")
+        asked, _ = saved(words.join(sizes.where(F.col("size") > crowd), "class", "left_semi").select("word"), "spelling-crowded")
         if asked.isEmpty():
             break
     later = [reduce(DataFrame.union, levels[1:]).distinct()] if len(levels) > 1 else []
@@ -127,7 +150,7 @@ def roots(forms: DataFrame, ratio: int) -> DataFrame:
     return current.select("word", "root")
 
 
-def spelling_variants(vocabulary: DataFrame, ratio: int = 10, alphabets: Sequence[int] = ALPHABETS, crowd: int = 16) -> DataFrame:
+def spelling_variants(vocabulary: DataFrame, ratio: int = 10, alphabets: Sequence[int] = ALPHABETS, crowd: int = CROWD) -> DataFrame:
     """(word, n, n_near, form, form_n, root) of every word of a (word, n) table."""
     vocabulary, _ = saved(vocabulary.select("word", F.col("n").cast("long").alias("n")), "spelling-words")
     pairs = near_pairs(vocabulary, alphabets, crowd)

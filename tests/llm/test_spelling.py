@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from asphalta.llm.spelling import corpus_words, near_pairs, op12_spelling_variants, reduced, spelling_variants
+from asphalta.llm.spelling import SYMBOLS, corpus_words, letter_symbols, near_pairs, op12_spelling_variants, reduced, spelling_variants
 
 KIND = "doc_id long, text string, word string, n int, run string"
 
@@ -79,9 +79,14 @@ def test_any_words(spark, words):
 
 
 def test_larger_alphabets_split_smaller_ones(spark):
-    df = spark.createDataFrame([("aeiqé",), ("eaiué",)], "w string")
-    rows = df.select(reduced(F.col("w"), 4).alias("small"), reduced(F.col("w"), 16).alias("large")).collect()
-    assert rows[0].small == rows[1].small and rows[0].large != rows[1].large
+    weights = {c: 1000 - 7 * i for i, c in enumerate("etaoinshrdlucmfwypvbgkjqxzéàñ")}
+    small, middle, large = letter_symbols(weights, (4, 16, 64))
+    for fine, coarse in ((middle, small), (large, middle)):
+        assert all(fine[c] // 4 == coarse[c] for c in weights)
+    loads = [sum(weights[c] for c in weights if small[c] == k) for k in range(4)]
+    assert max(loads) < 1.2 * min(loads)
+    row = spark.createDataFrame([("eaté",)], "w string").select(reduced(F.col("w"), small).alias("r")).first()
+    assert row.r == "".join(SYMBOLS[small[c]] for c in "eaté")
 
 
 ROWS = [(i, f"Separate the {w} separated, {w}; ÉLANÇAS élanças × {'separate ' * (i % 40)}") for i, w in enumerate(["seperate", "Beautiful", "beautifull", "beutiful"] * 30)]
