@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import pytest
@@ -54,6 +55,33 @@ def test_marks_that_overlap_are_one():
     assert replaced("abcdefgh", [(1, 3, "[X]"), (2, 5, "[Y]"), (6, 7, "")]) == "a[X]fh"
 
 
+def plain_terms(text):
+    """(term, start, end) of the runs of letters and numbers that overlap no base span."""
+    spans = base_spans(text)
+    return [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W_]+", text) if not any(a < m.end() and m.start() < b for _, a, b in spans)]
+
+
+def plain_disclosure(texts, window, support, generalise):
+    """The highest share of a value's information that each term reveals, where it reaches the limit."""
+    terms = [[w for w, _, _ in plain_terms(t)] for t in texts]
+    values = [{(k, t[a:b].lower()) for k, a, b in base_spans(t)} for t in texts]
+    n, n_t = len(texts), Counter(w for ws in terms for w in set(ws))
+    n_e = Counter(e for es in values for e in es)
+    n_te = Counter((w, e) for ws, es in zip(terms, values) for w in set(ws) for e in es)
+    contexts = defaultdict(set)
+    for ws, es in zip(terms, values):
+        for i, w in enumerate(ws):
+            for e in es:
+                contexts[w, e].add((tuple(ws[max(0, i - window):i]), tuple(ws[i + 1:i + 1 + window])))
+    shown = {}
+    for (w, e), k in n_te.items():
+        if len(contexts[w, e]) >= support and n_e[e] < n:
+            share = math.log(n * k / (n_t[w] * n_e[e])) / math.log(n / n_e[e])
+            if share >= generalise:
+                shown[w] = max(share, shown.get(w, share))
+    return shown
+
+
 def test_disclosure_matches_plain_counts(spark):
     rng = random.Random(4)
     filler = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
@@ -67,33 +95,13 @@ def test_disclosure_matches_plain_counts(spark):
         rows.append((i, " ".join(words)))
     rows += [(100 + i, "common words only") for i in range(20)] + [(None, None), (None, ""), (7, rows[0][1]), (7, rows[0][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "terms": F.lit(2)})
-    got = {(r.doc, r.row): r for r in personal_spans(docs, window=3, support=3, generalise=0.6).collect()}
-    texts = [(t or "") for _, t in rows]
-    words = [set(re.findall(r"[^\W\d_]{4,}", t.lower())) for t in texts]
-
-    def near(text):
-        out = set()
-        for _, a, b in base_spans(text):
-            before, after = (re.findall(r"[^\W\d_]{4,}", x.lower()) for x in (text[:a], text[b:]))
-            out |= {(text[a:b], w, " ".join(before[-3:] + after[:3])) for w in before[-3:] + after[:3]}
-        return out
-
-    together = [near(t) for t in texts]
-    shown = {}
-    for e, w in {(e, w) for s in together for e, w, _ in s}:
-        contexts = {c for s in together for x, y, c in s if (x, y) == (e, w)}
-        n_te = sum(any((x, y) == (e, w) for x, y, _ in s) for s in together)
-        n_t, n_e, n = sum(w in s for s in words), sum(e in t for t in texts), len(texts)
-        if len(contexts) >= 3 and math.log(n * n_te / (n_t * n_e)) / math.log(n / n_e) >= 0.6:
-            shown[e, w] = True
-    assert ("boss@corp.example", "surgeon") in shown and ("info@site.example", "common") not in shown
-    by_doc = {}
-    for r in got.values():
-        by_doc.setdefault(r.doc, []).append(r)
-    for (doc, text), near_here in zip(rows, together):
-        expect = {w for e, w, _ in near_here if (e, w) in shown}
-        mine = [{text[t.start:t.end].lower() for t in r.terms} for r in by_doc[doc]] if text else [set()]
-        assert expect in mine
+    shown = plain_disclosure([t or "" for _, t in rows], window=3, support=3, generalise=0.6)
+    assert {"surgeon", "zeta"} <= shown.keys() and "common" not in shown
+    got = Counter(
+        (r.doc, tuple((t.start, t.end, round(t.disclosure, 9)) for t in r.terms))
+        for r in personal_spans(docs, window=3, support=3, generalise=0.6).collect())
+    assert got == Counter(
+        (doc, tuple((a, b, round(shown[w], 9)) for w, a, b in plain_terms(text or "") if w in shown)) for doc, text in rows)
     cleaned = {r.doc_id: r.text for r in sanitise(docs, window=3, support=3).collect() if r.doc_id is not None}
     assert "boss@corp" not in cleaned[0] and "surgeon" not in cleaned[0] and "[EMAIL]" in cleaned[0]
     assert cleaned[100] == "common words only"
