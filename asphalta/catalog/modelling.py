@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import dates as dt
 from ..functions import labels as lb
-from ..ml import explain, metrics, models, prep
+from ..ml import explain, metrics, models, prep, shapley
 from ..operators.ordered import exact_medians
 from ..session import materialize
 from .aggregates import rounded
@@ -216,19 +216,38 @@ def m24(c):
     return metrics.worst_missed(categorised(c), "s", ["id_usager", "catu"]).select("id_usager", "s", "lum", "atm", "col", "catu")
 
 
-@query("m25_strategy_comparison", SCORED_SQL + """
- , t AS (SELECT * FROM (VALUES ('A', 0.25::DOUBLE), ('B', 0.5::DOUBLE), ('C', 0.75::DOUBLE)) AS v(strategie, seuil)),
- m AS (SELECT strategie, seuil, count(*) FILTER (s >= seuil AND y = 1) AS tp, count(*) FILTER (s >= seuil AND y = 0) AS fp, count(*) FILTER (s < seuil AND y = 1) AS fn,
-  count(*) FILTER (s < seuil AND y = 0) AS tn FROM sc, t GROUP BY 1, 2)
- SELECT strategie, seuil, round(tp::DOUBLE / (tp + fp), 6) AS precision_grave, round(tp::DOUBLE / (tp + fn), 6) AS recall_grave,
-  round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 6) AS f1_grave, tn AS "TN", fp AS "FP", fn AS "FN", tp AS "TP" FROM m""")
+# Scores in the place of three models, and the thresholds they are read at.
+RIVALS = (("A. Brut", "s", 0.5), ("B. Inverse", "1 - s", 0.25), ("C. Decalage", "(s * 100 * 37 % 100) / 100", 0.75))
+
+
+@query("m25_strategy_comparison", SCORED_SQL + ", a AS (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS strategie, y, round({score}, 4) AS s, {t}::DOUBLE AS seuil FROM sc" for name, score, t in RIVALS) + """),
+ g AS (SELECT strategie, s, sum(y)::DOUBLE AS p, sum(1 - y)::DOUBLE AS n FROM a GROUP BY ALL),
+ cu AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY strategie) AS tot_p, sum(n) OVER (PARTITION BY strategie) AS tot_n
+  FROM g WINDOW w AS (PARTITION BY strategie ORDER BY s DESC)),
+ r AS (SELECT strategie, sum(p * (tot_n - fp + n / 2)) / max(tot_p * tot_n) AS auc, sum(p / tot_p * tp / (tp + fp)) AS ap FROM cu GROUP BY strategie),
+ k AS (SELECT strategie, max(seuil) AS seuil, count(*) FILTER (s >= seuil AND y = 1) AS tp, count(*) FILTER (s >= seuil AND y = 0) AS fp,
+  count(*) FILTER (s < seuil AND y = 1) AS fn, count(*) FILTER (s < seuil AND y = 0) AS tn FROM a GROUP BY strategie),
+ f AS (SELECT *, coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM k)
+ SELECT strategie, round(auc, 8) AS roc_auc, round(ap, 8) AS pr_auc, seuil, round(tp::DOUBLE / (tp + fp), 8) AS precision_grave,
+  round(tp::DOUBLE / (tp + fn), 8) AS recall_grave, round(f1, 8) AS f1_grave, tn AS "TN", fp AS "FP", fn AS "FN", tp AS "TP",
+  row_number() OVER (ORDER BY f1 DESC, strategie) = 1 AS gagnant FROM f JOIN r USING (strategie)""")
 def m25(c):
+    """Every strategy's ranking and threshold measures, and the winner by F1."""
+    rows = scored_rows(c)
+    parts = [(name, rows.select("y", F.round(F.expr(score), 4).alias("s")), t) for name, score, t in RIVALS]
+    return compared(parts, "s", "y")
+
+
+def compared(parts, score, label):
+    """One row of full metrics for each (name, scored rows, threshold), with the winner by F1."""
     rows = None
-    scored = scored_rows(c)
-    for name, t in (("A", 0.25), ("B", 0.5), ("C", 0.75)):
-        row = metrics.threshold_metrics(scored, "s", "y", t).select(F.lit(name).alias("strategie"), "*")
+    for name, scored, threshold in parts:
+        row = metrics.full_metrics(scored, score, label, threshold, name)
         rows = row if rows is None else rows.unionAll(row)
-    return rounded(rows, 6, "precision_grave", "recall_grave", "f1_grave")
+    first = Window.orderBy(F.col("f1_grave").desc(), "strategie")  # one row a strategy
+    return rounded(rows.withColumn("gagnant", F.row_number().over(first) == 1), 8,
+                   "roc_auc", "pr_auc", "precision_grave", "recall_grave", "f1_grave")
 
 
 @query("m26_error_summary", CATEGORISED + """
@@ -245,29 +264,16 @@ def m27(c):
     return materialize(rows, "scored")
 
 
-# Trained models. Trees and solver are Spark's own, so the checks are on what any right result obeys.
-
-_FITTED: dict = {}
-
-def once(c, name, make):
-    """One training per session and folder, shared by the queries that look at the same model."""
-    key = (c.spark.sparkContext.applicationId, c.folder, name)
-    if key not in _FITTED:
-        _FITTED[key] = make()
-    return _FITTED[key]
-
+# Trained models. Trees and solver are Spark's own, so no SQL gives their figures: the queries
+# return them whole, and tests hold them against invariants and plain computations.
 
 def model_data(c):
-    return once(c, "data", lambda: split_features(c))
+    return c.once("data", lambda: split_features(c))
 
 
 def boosted(c, weighted=False):
     train, _, features = model_data(c)
-    return once(c, ("boosted", weighted), lambda: models.fit_boosted(train, features, weighted=weighted))
-
-
-def scorer(c):
-    return once(c, "scorer", lambda: models.TreeScorer(boosted(c), c.spark))
+    return c.fitted(("boosted", weighted), lambda: models.fit_boosted(train, features, weighted=weighted))
 
 
 def split_features(c):
@@ -278,52 +284,34 @@ def split_features(c):
     return train, test, features
 
 
-PIVOT = """(SELECT aaaammjj FROM (SELECT aaaammjj, row_number() OVER (ORDER BY aaaammjj) - 1 AS i, count(*) OVER () AS n
-  FROM (SELECT DISTINCT aaaammjj FROM fait)) WHERE i = CAST(floor(n * 0.8) AS BIGINT))"""
-SIDES = f"""
- WITH c AS (SELECT count(*) FILTER (j < {PIVOT}) AS n_train, count(*) FILTER (j < {PIVOT} AND y = 1) AS graves_train,
-  count(*) FILTER (j >= {PIVOT} AND y = 1) AS graves_test, count(*) FILTER (j >= {PIVOT} AND y = 0) AS legers_test
-  FROM (SELECT aaaammjj AS j, {Y} AS y FROM fait))"""
-BALANCE_SQL = SIDES + """
- SELECT n_train, graves_train, graves_test, legers_test, true AS pente_nulle, true AS mesures_valides FROM c"""
+def ranked(table, value):
+    """The table with the rank of each feature by a value."""
+    order = Window.orderBy(F.col(value).desc(), "feature")  # one row a feature
+    return table.withColumn("rang", F.row_number().over(order))
 
 
-def logistic_check(c, train, test, features, name):
-    """Class counts, the optimality of the fit on the training rows, and measures within their range.
+def logistic_measures(c, train, test, features, name):
+    """Measures on the test days, with the fit's rounds and the mean weighted residual on the training rows.
 
     At the optimum of balanced logistic loss the weighted residuals sum to zero, the
-    intercept being free; `pente_nulle` tells whether their mean is below 1e-4.
+    intercept being free.
     """
     fitted = prep.fit_scaling(train, features)
-    model = models.fit_logistic(prep.scale(train, fitted), features)
-    on_train = models.scored(model, models.assembled(prep.scale(train, fitted), features)).select("grave", "y_probs")
-    weighted = prep.with_class_weights(on_train)
-    slope = weighted.agg(
-        F.count(F.lit(1)).alias("n_train"), F.sum("grave").cast("bigint").alias("graves_train"),
-        (F.abs(F.avg(F.col("poids") * (F.col("grave") - F.col("y_probs")))) < 1e-4).alias("pente_nulle")).head()
-    scored = models.scored(model, models.assembled(prep.scale(test, fitted), features))
-    full = metrics.full_metrics(materialize(scored.select("grave", "y_probs"), "scores"), "y_probs", "grave", 0.5, name)
-    return checked_metrics(full).select(
-        *[F.lit(slope[n]).cast("bigint").alias(n) for n in ("n_train", "graves_train")], "graves_test", "legers_test",
-        F.lit(slope["pente_nulle"]).alias("pente_nulle"), "mesures_valides")
-
-
-def checked_metrics(full):
-    """Class totals from the confusion counts, and whether every measure lies in [0, 1]."""
-    measures = [m for m in full.columns if full.schema[m].dataType.typeName() == "double"]
-    fine = F.lit(True)
-    for m in measures:
-        fine = fine & F.col(m).between(0.0, 1.0)
-    return full.select(
-        F.col(full.columns[0]).alias("modele"), (F.col("TP") + F.col("FN")).alias("graves_test"),
-        (F.col("TN") + F.col("FP")).alias("legers_test"), fine.alias("mesures_valides"))
-
-
-@query("m09_logistic_regression", BALANCE_SQL)
+    ready = materialize(models.assembled(prep.scale(train, fitted), features).select("features", "grave"), "scaled")
+    model = models.fit_assembled_logistic(ready)
+    residual = prep.with_class_weights(models.scored(model, ready)).agg(
+        F.count(F.lit(1)).alias("n_train"), F.avg(F.col("poids") * (F.col("grave") - F.col("y_probs"))).alias("r")).head()
+    scored = materialize(models.scored(model, models.assembled(prep.scale(test, fitted), features)).select("grave", "y_probs"), "scores")
+    return metrics.full_metrics(scored, "y_probs", "grave", 0.5, name).select(
+        "*", F.lit(residual["n_train"]).alias("n_train"), F.lit(model.summary.totalIterations).alias("tours"),
+        F.lit(float(residual["r"])).alias("residu_moyen"))
+
+
+@query("m09_logistic_regression")
 def m09(c):
     """Balanced logistic regression on scaled features, measured on the test days."""
     train, test, features = model_data(c)
-    return logistic_check(c, train, test, features, "Regression Logistique")
+    return logistic_measures(c, train, test, features, "Regression Logistique")
 
 
 BASELINE_FEATURES = ("tm", "rr", "condition_lum", "saison_Ete", "saison_Hiver", "saison_Printemps")
@@ -353,103 +341,127 @@ def baseline_table(c):
     return prep.impute(table, prep.fit_imputation(train, ["tm", "rr"]))
 
 
-@query("m09_baseline_model", BALANCE_SQL)
+@query("m09_baseline_model")
 def m09_baseline(c):
     """Weather, light and season only: the reference point of the other models."""
     train, test = prep.temporal_split(baseline_table(c), "jour_date")
-    return logistic_check(c, train, test, BASELINE_FEATURES, "Baseline")
+    return logistic_measures(c, train, test, BASELINE_FEATURES, "Baseline")
 
 
 # The strategies that are compared.
 STRATEGIES = ("A. Brut", "B. Class_weight", "C. Seuil optimal")
 
 
-def strategy_metrics(c):
-    """Boosted trees, plain and weighted, and plain at the F1-best train threshold, with the winner by F1."""
+def model_scores(c, part, weighted=False):
+    """Keys, day, label, features and the boosted model's probability for the rows of one side."""
     train, test, features = model_data(c)
-    plain, weighted = boosted(c), boosted(c, True)
-
-    def scores(model, rows):
-        return materialize(models.scored(model, models.assembled(rows, features)).select("grave", "y_probs"), "scores")
-
-    on_test = scores(plain, test)
-    best = metrics.best_f1_threshold(scores(plain, train), "y_probs", "grave").head()["seuil"]
-    parts = ((on_test, 0.5), (scores(weighted, test), 0.5), (on_test, best))
-    rows = None
-    for name, (scored, threshold) in zip(STRATEGIES, parts):
-        row = metrics.full_metrics(scored, "y_probs", "grave", threshold, name)
-        rows = row if rows is None else rows.unionAll(row)
-    return rows
+    rows = train if part == "train" else test
+    return c.once((part, weighted), lambda: materialize(models.scored(
+        boosted(c, weighted), models.assembled(rows, features)).drop("features"), "scores"))
 
 
-@query("m10_gradient_boosting", SIDES + """
- SELECT unnest(['A. Brut', 'B. Class_weight', 'C. Seuil optimal']) AS modele, graves_test, legers_test, true AS mesures_valides FROM c""")
+@query("m10_gradient_boosting")
 def m10(c):
-    """Class totals of every strategy's confusion counts and the range of its measures."""
-    return checked_metrics(strategy_metrics(c))
+    """Boosted trees, plain, weighted, and plain at the threshold of the best F1 in training; the winner by F1."""
+    on_test = model_scores(c, "test")
+    best = metrics.best_f1_threshold(model_scores(c, "train"), "y_probs", "grave").head()["seuil"]
+    parts = ((on_test, 0.5), (model_scores(c, "test", True), 0.5), (on_test, best))
+    return compared([(n, rows, t) for n, (rows, t) in zip(STRATEGIES, parts)], "y_probs", "grave")
 
 
-FEATURE_NAMES = """SELECT unnest(['meteo_precipitations', 'meteo_temp_min', 'meteo_temp_max', 'meteo_temp_moy', 'q_moyen', 'k_moyen', 'population',
-  'annee', 'mois', 'jour', 'jour_semaine_num', 'is_weekend', 'semaine_annee', 'trimestre', 'is_ferie', 'is_pluie', 'ratio_saturation', 'trafic_eleve',
-  'jour_semaine_Monday', 'jour_semaine_Saturday', 'jour_semaine_Sunday', 'jour_semaine_Thursday', 'jour_semaine_Tuesday', 'jour_semaine_Wednesday',
-  'saison_ete', 'saison_hiver', 'saison_printemps']) AS feature"""
-
-
-def shares(table, value):
-    """Every feature, whether its share of the total is valid, and the total of all shares."""
-    whole = Window.partitionBy()  # one row per feature
-    return table.select("feature", F.col(value).between(0.0, 1.0).alias("part_valide"), F.round(F.sum(value).over(whole), 6).alias("total"))
-
-
-SHARES_SQL = f"SELECT feature, true AS part_valide, 1.0::DOUBLE AS total FROM ({FEATURE_NAMES})"
-
-
-@query("m11_forest_importance", SHARES_SQL)
+@query("m11_forest_importance")
 def m11(c):
     train, _, features = model_data(c)
-    return shares(models.importances(models.fit_forest(train, features), features, c.spark), "importance")
+    return ranked(models.importances(models.fit_forest(train, features), features, c.spark), "importance")
+
+
+# Three small trees over the tests lum <= 2, atm <= 4 and col <= 3, as the
+# score of each of the eight patterns of tests met (bit 0, 1, 2).
+FIXED_TREES = (
+    (1.0, ((({"lum": (None, 2), "atm": (None, 4)}), 0.2), ({"lum": (None, 2), "atm": (4, None)}, -0.1), ({"lum": (2, None)}, 0.4))),
+    (0.5, (({"col": (None, 3)}, -0.6), ({"col": (3, None), "lum": (None, 2)}, 0.8), ({"col": (3, None), "lum": (2, None)}, 0.1))),
+    (0.25, (({"atm": (None, 4), "col": (None, 3), "lum": (None, 2)}, 1.0), ({"atm": (None, 4), "col": (None, 3), "lum": (2, None)}, -1.0),
+            ({"atm": (None, 4), "col": (3, None)}, 0.3), ({"atm": (4, None)}, 0.0))))
+FIXED_FEATURES = ("lum", "atm", "col")
+FIXED_TESTS = {"lum": 2, "atm": 4, "col": 3}
+
+
+def fixed_boxes():
+    inf = float("inf")
+    number = {f: j for j, f in enumerate(FIXED_FEATURES)}
+    return shapley.boxes_of([(w, [({
+        number[f]: (-inf if a is None else a, inf if b is None else b) for f, (a, b) in box.items()}, v) for box, v in tree])
+        for w, tree in FIXED_TREES])
+
+
+def fixed_score(met):
+    """Score of the trees for a set of tests met."""
+    return sum(w * v for w, tree in FIXED_TREES for box, v in tree if all((b is not None) == (f in met) for f, (_, b) in box.items()))
+
+
+@query("m18_shapley_fixed_trees", "WITH pt AS (SELECT " + " + ".join(
+    f"CASE WHEN {f} <= {t} THEN {1 << i} ELSE 0 END" for i, (f, t) in enumerate(FIXED_TESTS.items())) + """ AS m, count(*)::DOUBLE AS n
+  FROM caract WHERE lum IS NOT NULL AND atm IS NOT NULL AND col IS NOT NULL GROUP BY 1),
+ fx AS (SELECT * FROM (VALUES """ + ", ".join(
+    f"({m}, {fixed_score({f for i, f in enumerate(FIXED_TESTS) if m >> i & 1})!r}::DOUBLE)" for m in range(8)) + """) AS v(m, y)),
+ v AS (SELECT x.m, s, max(x.n) AS n, sum(z.n * y) / sum(z.n) AS v FROM pt x, (SELECT unnest(range(8)) AS s), pt z
+  JOIN fx ON true WHERE fx.m = (s & x.m) | ((7 - s) & z.m) GROUP BY 1, 2),
+ phi AS (SELECT a.m, j, max(a.n) AS n, sum((b.v - a.v) * CASE bit_count(CAST(a.s AS INT)) WHEN 1 THEN 1 ELSE 2 END / 6.0::DOUBLE) AS phi
+  FROM (SELECT unnest(range(3)) AS j) k JOIN v a ON (a.s >> j) & 1 = 0 JOIN v b ON b.m = a.m AND b.s = a.s + (1 << j) GROUP BY a.m, j)
+ SELECT list_extract(['lum', 'atm', 'col'], CAST(j + 1 AS INT)) AS feature, round(sum(n * abs(phi)) / sum(n), 8) AS shap_abs_moyen,
+  abs(round(sum(n * phi) / sum(n), 8)) AS shap_moyen FROM phi GROUP BY j""")
+def m18_fixed(c):
+    """Exact Shapley values of three fixed trees over all accidents, which SQL finds from all coalitions."""
+    rows = c.d.caract.select(*FIXED_FEATURES).na.drop()
+    table = rounded(shapley.shapley_importance(fixed_boxes(), rows, FIXED_FEATURES), 8, "shap_abs_moyen", "shap_moyen")
+    return table.withColumn("shap_moyen", F.abs("shap_moyen"))
+
+
+def shapley_table(c):
+    _, test, features = model_data(c)
+    return shapley.shapley_importance(shapley.boosted_boxes(boosted(c)), test, features)
 
 
-@query("m18_shapley_importance", f"""
- SELECT count(*) AS lignes, 27 AS variables, true AS additif FROM fait WHERE aaaammjj >= {PIVOT}""")
+@query("m18_shapley_importance")
 def m18(c):
-    """Shapley values of every test row: their sum is the row's score less its partners' mean."""
-    _, test, features = model_data(c)
-    rows = test.select("grave", *features)
-    phi = explain.shapley_values(scorer(c), rows, features, "grave")
-    per_row = phi.groupBy("id").agg(F.sum("phi").alias("s"), F.count(F.lit(1)).alias("k"))
-    # Partners are permutations of the rows, so over all rows the sums come to nothing.
-    return per_row.agg(
-        F.count(F.lit(1)).alias("lignes"), F.max("k").cast("int").alias("variables"),
-        ((F.abs(F.avg("s")) < 1e-9) & (F.max(F.abs("s")) <= 1)).alias("additif"))
+    """Mean absolute exact Shapley value of every feature over all test rows, on the log-odds."""
+    return ranked(shapley_table(c), "shap_abs_moyen")
 
 
-@query("m19_native_importance", SHARES_SQL)
+@query("m19_native_importance")
 def m19(c):
     _, _, features = model_data(c)
-    return shares(models.importances(boosted(c), features, c.spark), "importance")
+    return ranked(models.importances(boosted(c), features, c.spark), "importance")
 
 
 def permutation_table(c):
     _, test, features = model_data(c)
-    return once(c, "permutation", lambda: materialize(explain.permutation_importance(
-        scorer(c), test.select("grave", *features), features, "grave"), "permutation"))
+    return explain.permutation_importance(boosted(c), test.select("grave", *features), features, "grave")
 
 
-@query("m20_permutation_importance", f"SELECT feature, true AS baisse_valide, true AS ecart_valide FROM ({FEATURE_NAMES})")
+@query("m20_permutation_importance")
 def m20(c):
-    """Mean loss of ROC-AUC over 20 permutations of each feature and its deviation, within their ranges."""
-    return permutation_table(c).select(
-        "feature", F.col("importance_mean").between(-1.0, 1.0).alias("baisse_valide"), F.col("importance_std").between(0.0, 1.0).alias("ecart_valide"))
+    """Mean loss of ROC-AUC over 20 permutations of each feature, and its deviation."""
+    return ranked(permutation_table(c), "importance_mean")
 
 
-@query("m28_importance_methods", """
- SELECT methode, CAST(rang AS INT) AS rang, true AS connue FROM (SELECT unnest(['native', 'permutation', 'shapley']) AS methode), (SELECT unnest(range(1, 11)) AS rang)""")
+@query("m22_model_missed_profile")
+def m22_model(c):
+    """All features over the severe cases that the weighted model misses and finds."""
+    _, _, features = model_data(c)
+    return metrics.missed_profile(metrics.categorised(model_scores(c, "test", True), "y_probs", "grave", 0.5), features)
+
+
+@query("m26_model_error_summary")
+def m26_model(c):
+    return metrics.error_summary(metrics.categorised(model_scores(c, "test", True), "y_probs", "grave", 0.5))
+
+
+@query("m28_importance_methods")
 def m28(c):
-    """Ten strongest features by native, permutation and Shapley importance; each must be a known feature."""
-    _, test, features = model_data(c)
-    table = explain.top_by_method({
+    """Ten strongest features by native, permutation and Shapley importance, side by side."""
+    _, _, features = model_data(c)
+    return explain.top_by_method({
         "native": models.importances(boosted(c), features, c.spark),
         "permutation": permutation_table(c).select("feature", "importance_mean"),
-        "shapley": explain.shapley_importance(scorer(c), test.select("grave", *features), features, "grave")})
-    return table.select("methode", "rang", F.col("feature").isin(features).alias("connue"))
+        "shapley": shapley_table(c).select("feature", "shap_abs_moyen")})

@@ -21,6 +21,7 @@ class Context:
         self.spark, self.folder = spark, folder
         self.d = Domain(spark, folder)
         self._star: Star | None = None
+        self._made: dict = {}
 
     def table(self, name: str) -> DataFrame:
         return self.d.table(name)
@@ -31,6 +32,22 @@ class Context:
             self._star = Star(self.d)
         return self._star
 
+    def once(self, name, make: Callable):
+        """What make gives, made once for this query."""
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
+
+    def fitted(self, name, fit: Callable):
+        """A model, fitted once for a session and folder; it lives in memory and reads no table."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _FITTED:
+            _FITTED[key] = fit()
+        return _FITTED[key]
+
+
+_FITTED: dict = {}
+
 
 def query(name: str, sql: str | None = None):
     """Register a function (Context) -> DataFrame under a survey id."""

@@ -1,5 +1,6 @@
 """Preparation, metrics and models."""
 
+import math
 import random
 
 import pytest
@@ -138,29 +139,62 @@ def test_permutation_importance_ranks_the_signal_first(fitted):
     assert got["a"]["importance_std"] >= 0
 
 
-def test_tree_arrays_score_like_the_model(spark, fitted):
-    df, model = fitted
-    arrays = df.select(F.array(F.col("a").cast("double"), F.col("b").cast("double")).alias("x"), F.monotonically_increasing_id().alias("i"))
-    mine = explain.score_arrays(models.TreeScorer(model, spark), arrays, "x").orderBy("i").collect()
-    theirs = explain.score_arrays(model, arrays, "x").orderBy("i").collect()
-    assert all(abs(m["p"] - t["p"]) < 1e-12 for m, t in zip(mine, theirs)) and len(mine) == df.count()
+def test_every_place_goes_to_one_other(spark):
+    for n in (1, 2, 3, 5, 16, 17, 50, 997, 5000):
+        places = spark.range(n).select(*[explain.permuted(F.col("id"), n, F.lit(k)).alias(f"p{k}") for k in range(3)]).collect()
+        for k in range(3):
+            assert sorted(r[k] for r in places) == list(range(n))
+        if n > 16:
+            assert len({tuple(r[k] for r in places) for k in range(3)}) == 3
 
 
-def test_partners_are_new_permutations(spark):
-    base = spark.range(50).select("id", F.array(F.col("id").cast("double")).alias("x"))
-    draw, seen = random.Random(3), set()
-    for _ in range(4):
-        pairs = sorted((r["id"], int(r["z"][0])) for r in explain.partners(base, 50, draw).collect())
-        assert [i for i, _ in pairs] == sorted(p for _, p in pairs) == list(range(50))
-        seen.add(tuple((p - i) % 50 for i, p in pairs))
-    assert len(seen) == 4
+def test_permutations_are_drawn_alike(spark):
+    """All permutations of four and five places come up about as often."""
+    for n, draws in ((4, 9600), (5, 24000)):
+        moved = spark.range(draws).select(F.array(*[explain.permuted(F.lit(i), n, F.col("id")) for i in range(n)]).alias("p"))
+        counts = [r["count"] for r in moved.groupBy("p").count().collect()]
+        expected = draws / math.factorial(n)
+        assert len(counts) == math.factorial(n)
+        # Chi-square over its degrees of freedom is near one for free draws.
+        assert sum((x - expected) ** 2 / expected for x in counts) / (len(counts) - 1) < 1.6
 
 
-def test_shapley_values_add_up_to_the_signal(fitted):
-    df, model = fitted
-    got = {r["feature"]: r["shap_abs_moyen"] for r in explain.shapley_importance(
-        model, df, ["a", "b"], "grave", orderings=2).collect()}
-    assert got["a"] > 3 * got["b"] >= 0
+def test_every_feature_has_partners_of_its_own(spark):
+    base = spark.range(60).select("id", F.array(*[F.col("id").cast("double")] * 3).alias("x"), F.lit(0).alias("y"))
+    rows = explain.partners(base, 60, 2, 7).collect()
+    assert len(rows) == 120
+    for r in (0, 1):
+        maps = [tuple(int(x["z"][j]) for x in sorted(rows, key=lambda x: x["id"]) if x["essai"] == r) for j in range(3)]
+        assert all(sorted(m) == list(range(60)) for m in maps) and len(set(maps)) == 3
+
+
+def test_an_unused_feature_has_no_importance(spark):
+    draw = random.Random(5)
+    df = spark.createDataFrame([(a, 1.0 if i % 2 else 0.0, int(a > 0.5)) for i in range(300) for a in [draw.random()]], "a double, b double, grave int")
+    model = models.fit_boosted(df, ["a", "b"], trees=1, depth=1, rows=1.0, columns=1.0)
+    got = {r["feature"]: r for r in explain.permutation_importance(model, df, ["a", "b"], "grave", repeats=4).collect()}
+    assert (got["b"]["importance_mean"], got["b"]["importance_std"]) == (0.0, 0.0)
+    # Shuffling the only feature used leaves an area of one half.
+    assert got["a"]["importance_mean"] == pytest.approx(0.5, abs=0.1) and got["a"]["importance_std"] > 0
+
+
+def test_strategies_and_their_winner(spark):
+    from asphalta.catalog.modelling import compared
+
+    one, two = scores(spark, CASES["random"]), scores(spark, [(float(y), y) for _, y in CASES["random"]])
+    rows = {r["strategie"]: r for r in compared([("x", one, 0.5), ("y", two, 0.5), ("z", two, 0.5)], "s", "y").collect()}
+    assert [n for n, r in rows.items() if r["gagnant"]] == ["y"] and rows["y"]["roc_auc"] == rows["y"]["f1_grave"] == 1.0
+
+
+def test_a_balanced_fit_leaves_no_residual(spark, fitted):
+    from types import SimpleNamespace
+
+    from asphalta.catalog.modelling import logistic_measures
+
+    df, _ = fitted
+    row = logistic_measures(SimpleNamespace(spark=spark), df, df, ["a", "b"], "x").head()
+    assert abs(row["residu_moyen"]) < 1e-4 and row["n_train"] == 800 and row["roc_auc"] > 0.95 and row["tours"] > 0
+    assert row["TP"] + row["FN"] == df.where("grave = 1").count()
 
 
 def test_logistic_regression_uses_scaled_balanced_data(fitted):
