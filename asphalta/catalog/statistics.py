@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from ..functions import labels as lb
-from ..operators import association as assoc
+from ..operators import association as assoc, neighbours
 from .aggregates import rounded
 from .registry import query
 
@@ -94,7 +94,8 @@ def a21_yates(c):
     return tested(x, "dep", "lumiere")
 
 
-CATEGORIES = ("jour_semaine", "mois", "lum", "atm", "grav")
+#: All columns of the enriched fact with at most 50 values.
+CATEGORIES = ("jour_semaine", "mois", "jour", "is_weekend", "com", "lum", "atm", "col", "catu", "catv", "grav")
 
 
 def cramer_sql(columns):
@@ -117,18 +118,27 @@ def a22(c):
     return rounded(assoc.cramer_matrix(c.star.enriched_table(CATEGORIES), CATEGORIES), 6, "v")
 
 
-MEASURES = ("k_moyen", "lum", "meteo_precipitations", "meteo_temp_moy", "population", "q_moyen", "q_total")
+#: All numeric columns of the enriched fact that vary, but the target.
+MEASURES = ("atm", "catu", "catv", "col", "is_weekend", "jour", "k_moyen", "lum", "meteo_precipitations", "meteo_temp_max",
+            "meteo_temp_min", "meteo_temp_moy", "mois", "population", "q_moyen", "q_total")
+WITH_TARGET = (*MEASURES, "grav")
 
 
 def numeric_frame(c):
     """Numeric columns of the enriched fact, written once: several passes follow."""
-    return c.star.enriched_table([F.col(m).cast("double").alias(m) for m in (*MEASURES, "grav")])
+    return c.star.enriched_table([F.col(m).cast("double").alias(m) for m in WITH_TARGET])
+
+
+#: The same in SQL.
+NUMERIC = f"SELECT {', '.join(f'CAST({m} AS DOUBLE) AS {m}' for m in WITH_TARGET)} FROM enrichi"
 
 
 def pearson_sql(columns):
-    return " UNION ALL ".join(
-        f"SELECT '{x}' AS var1, '{y}' AS var2, CASE WHEN isnan(corr({x}, {y})) THEN NULL ELSE corr({x}, {y}) END AS r, count(*) FILTER ({x} IS NOT NULL AND {y} IS NOT NULL) AS n FROM enrichi"
-        for x, y in combinations(sorted(columns), 2))
+    """One pass for all pairs, then a row for each."""
+    pairs = list(combinations(sorted(columns), 2))
+    wide = ", ".join(f"corr({x}, {y}) AS r{i}, count(*) FILTER ({x} IS NOT NULL AND {y} IS NOT NULL) AS n{i}" for i, (x, y) in enumerate(pairs))
+    rows = ", ".join(f"{{'var1': '{x}', 'var2': '{y}', 'r': CASE WHEN isnan(r{i}) THEN NULL ELSE r{i} END, 'n': n{i}}}" for i, (x, y) in enumerate(pairs))
+    return f"SELECT unnest([{rows}], max_depth := 2) FROM (SELECT {wide} FROM ({NUMERIC}))"
 
 
 def spearman_sql(columns):
@@ -136,15 +146,15 @@ def spearman_sql(columns):
     for x, y in combinations(sorted(columns), 2):
         parts.append(f"""SELECT '{x}' AS var1, '{y}' AS var2, CASE WHEN isnan(corr(rx, ry)) THEN NULL ELSE corr(rx, ry) END AS rho, count(*) AS n FROM (SELECT
    rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY {y}) + (count(*) OVER (PARTITION BY {y}) - 1) / 2.0::DOUBLE AS ry
-   FROM enrichi WHERE {x} IS NOT NULL AND {y} IS NOT NULL)""")
-    return " UNION ALL ".join(parts)
+   FROM numeriques WHERE {x} IS NOT NULL AND {y} IS NOT NULL)""")
+    return f"WITH numeriques AS MATERIALIZED ({NUMERIC}) " + " UNION ALL ".join(parts)
 
 
 def tail_sql(r, n):
     """Two-sided p-value of a correlation by the series of the incomplete beta function."""
     y, b = f"({r}*{r})", f"(({n} - 2) / 2.0::DOUBLE)"
-    return f"""CASE WHEN {y} * {b} > 60 THEN 0 ELSE 1 - (SELECT sum(exp((0.5::DOUBLE + g) * ln({y}) + {b} * ln(1 - {y}) + lgamma(0.5::DOUBLE + {b} + g)
-   - lgamma(1.5::DOUBLE + g) - lgamma({b}))) FROM range(3000) AS s(g)) END"""
+    return f"""CASE WHEN {r} IS NULL THEN NULL WHEN {y} * {b} > 60 THEN 0 ELSE greatest(0, 1 - (SELECT sum(exp((0.5::DOUBLE + g) * ln({y}) + {b} * ln(1 - {y}) + lgamma(0.5::DOUBLE + {b} + g)
+   - lgamma(1.5::DOUBLE + g) - lgamma({b}))) FROM range(3000) AS s(g))) END"""
 
 
 @query("a23_pearson_matrix", f"SELECT var1, var2, round(r, 8) AS r, n FROM ({pearson_sql(MEASURES)})")
@@ -182,9 +192,6 @@ def a27(c):
     return rounded(rounded(t, 8, "pearson_r", "spearman_r"), 7, "pearson_p", "spearman_p")
 
 
-WITH_TARGET = (*MEASURES, "grav")
-
-
 @query("a28_target_ranking", f"""
  SELECT CASE WHEN var1 = 'grav' THEN var2 ELSE var1 END AS variable, round(rho, 8) AS correlation, CASE WHEN abs(rho) >= 0.7 THEN 'très forte' WHEN abs(rho) >= 0.5 THEN 'forte'
   WHEN abs(rho) >= 0.3 THEN 'modérée' WHEN abs(rho) >= 0.15 THEN 'faible' ELSE 'très faible' END AS force
@@ -201,26 +208,29 @@ def a28_kept(c):
     return assoc.retained_variables(ranked)
 
 
-VIF_COLUMNS = ("lum", "atm", "population")
-
-
-def det3(m):
-    return (f"({m[0][0]}*({m[1][1]}*{m[2][2]}-{m[1][2]}*{m[2][1]})-{m[0][1]}*({m[1][0]}*{m[2][2]}-{m[1][2]}*{m[2][0]})"
-            f"+{m[0][2]}*({m[1][0]}*{m[2][1]}-{m[1][1]}*{m[2][0]}))")
+#: Numeric columns that are there in every row; a constant is left out.
+VIF_COLUMNS = ("atm", "catu", "catv", "col", "jour", "lum", "mois", "population", "annee")
 
 
 def vif_sql():
-    """VIF without intercept as G_ii times the minor over the determinant."""
-    names = ["lum", "atm", "pop"]
-    g = [[f"g{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
-    sums = ", ".join(f"sum({names[i]}*{names[j]}) AS g{i}{j}" for i in range(3) for j in range(i, 3))
-    rows = []
-    for i in range(3):
-        o = [x for x in range(3) if x != i]
-        minor = f"({g[o[0]][o[0]]}*{g[o[1]][o[1]]}-{g[o[0]][o[1]]}*{g[o[0]][o[1]]})"
-        rows.append(f"SELECT '{VIF_COLUMNS[i]}' AS variable, {g[i][i]} * {minor} / {det3(g)} AS vif FROM g")
-    return f"""WITH g AS (SELECT {sums} FROM (SELECT lum::DOUBLE AS lum, atm::DOUBLE AS atm, population / 100000 AS pop FROM enrichi WHERE population IS NOT NULL))
- SELECT variable, round(vif, 6) AS vif, CASE WHEN vif >= 10 THEN 'PROBLEME' WHEN vif >= 5 THEN 'ATTENTION' ELSE 'OK' END AS niveau FROM ({' UNION ALL '.join(rows)})"""
+    """VIF without intercept: 1 / (1 - R2) of each column on the others, by elimination on the Gram matrix.
+
+    Sweeping all other columns out of the scaled Gram matrix leaves 1 / VIF on the diagonal.
+    """
+    names = [v for v in VIF_COLUMNS if v != "annee"]
+    k = len(names)
+    sums = ", ".join(f"sum(CAST({a} AS DOUBLE) * {b}) / sqrt(sum(CAST({a} AS DOUBLE) * {a}) * sum(CAST({b} AS DOUBLE) * {b})) AS g{i}_{j}"
+                     for i, a in enumerate(names) for j, b in enumerate(names))
+    parts = []
+    for last in range(k):
+        order = [i for i in range(k) if i != last] + [last]
+        steps = f"SELECT {', '.join(f'g{i}_{j} AS s{p}_{q}' for p, i in enumerate(order) for q, j in enumerate(order))} FROM g"
+        for s in range(k - 1):
+            steps = "SELECT " + ", ".join(
+                f"s{p}_{q} - s{p}_{s} * s{s}_{q} / s{s}_{s} AS s{p}_{q}" for p in range(s + 1, k) for q in range(s + 1, k)) + f" FROM ({steps})"
+        parts.append(f"SELECT '{names[last]}' AS variable, 1 / s{k - 1}_{k - 1} AS vif FROM ({steps})")
+    return f"""WITH g AS MATERIALIZED (SELECT {sums} FROM enrichi WHERE {" AND ".join(f"{v} IS NOT NULL" for v in VIF_COLUMNS)})
+ SELECT variable, round(vif, 6) AS vif, CASE WHEN vif >= 10 THEN 'PROBLEME' WHEN vif >= 5 THEN 'ATTENTION' ELSE 'OK' END AS niveau FROM ({' UNION ALL '.join(parts)})"""
 
 
 @query("a29_variance_inflation", vif_sql())
@@ -255,7 +265,7 @@ def mi_measures_sql(columns, bins=16):
   sum(n) OVER (PARTITION BY variable, b) AS nb, sum(n) OVER (PARTITION BY variable) AS t FROM o) GROUP BY variable"""
 
 
-MI_MEASURES = tuple(m for m in MEASURES if m != "lum")
+MI_MEASURES = ("k_moyen", "meteo_precipitations", "meteo_temp_max", "meteo_temp_min", "meteo_temp_moy", "population", "q_moyen", "q_total")
 
 
 @query("a30_mutual_information_measures", mi_measures_sql(MI_MEASURES))
@@ -263,3 +273,38 @@ def a30_measures(c):
     """Continuous columns are cut at exact quantiles."""
     y = numeric_frame(c).withColumn("y", lb.is_severe(F.col("grav")).cast("int"))
     return rounded(assoc.mutual_information(y, MI_MEASURES, "y"), 9, "mutual_info")
+
+
+def psi_sql(x):
+    """Digamma of a number of one or more, by recurrence and its asymptotic series."""
+    z = f"({x} + 6.0::DOUBLE)"
+    steps = " + ".join(f"1.0::DOUBLE / ({x} + {i})" for i in range(6))
+    return f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z} ** 2) + 1 / (120 * {z} ** 4) - 1 / (252 * {z} ** 6) + 1 / (240 * {z} ** 8) - ({steps}))"
+
+
+def neighbours_sql(columns, k=3):
+    """Nearest neighbours by comparing all values of a class with each other."""
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS variable, y, coalesce(CAST({c} AS DOUBLE), 0) AS v FROM p" for c in columns)
+    return f"""
+ WITH p AS (SELECT *, CASE WHEN grav IN (2,3) THEN 1 ELSE 0 END AS y FROM enrichi),
+ w AS MATERIALIZED (SELECT variable, y, v, count(*)::DOUBLE AS n FROM ({rows}) GROUP BY ALL),
+ c AS (SELECT variable, y, sum(n) AS nc FROM w GROUP BY ALL HAVING sum(n) >= 2),
+ x AS MATERIALIZED (SELECT w.*, nc, sum(n) OVER (PARTITION BY w.variable) AS nn, sum(n) OVER (PARTITION BY w.variable, v) AS equal FROM w JOIN c USING (variable, y)),
+ d AS (SELECT a.variable, a.y, a.v, a.n, a.nc, a.nn, a.equal, b.v AS u, abs(b.v - a.v) AS dist,
+   sum(CASE WHEN b.v = a.v THEN b.n - 1 ELSE b.n END) OVER (PARTITION BY a.variable, a.y, a.v ORDER BY abs(b.v - a.v), b.v) AS upto
+  FROM x a JOIN x b ON a.variable = b.variable AND a.y = b.y),
+ f AS (SELECT variable, y, v, max(n) AS n, max(nc) AS nc, max(nn) AS nn, max(equal) AS equal, arg_min(u, (dist, u)) AS u, min(dist) AS dist
+  FROM d WHERE upto >= least({k}, nc - 1) GROUP BY variable, y, v),
+ m AS (SELECT f.variable, f.y, f.v, max(f.n) AS n, max(f.nc) AS nc, max(f.nn) AS nn, max(dist) AS dist, max(f.equal) AS equal,
+   sum(x.n) FILTER (x.v > CASE WHEN f.u < f.v THEN f.u ELSE f.v - dist END AND x.v < CASE WHEN f.u > f.v THEN f.u ELSE f.v + dist END) AS inside
+  FROM f JOIN x ON f.variable = x.variable GROUP BY f.variable, f.y, f.v),
+ t AS (SELECT *, CASE WHEN dist = 0 THEN n - 1 ELSE least({k}, nc - 1) END AS ki, CASE WHEN dist = 0 THEN equal - 1 ELSE inside END AS mi FROM m)
+ SELECT variable, round(greatest(0, {psi_sql('max(nn)')} + sum(n * ({psi_sql('ki')} - {psi_sql('nc')} - {psi_sql('mi')})) / max(nn)), 8) AS mutual_info
+ FROM t GROUP BY variable"""
+
+
+@query("a30_mutual_information_neighbours", neighbours_sql(MEASURES))
+def a30_neighbours(c):
+    """Every measure, NULLs as 0, by distances to nearest neighbours of the same class."""
+    y = numeric_frame(c).withColumn("y", lb.is_severe(F.col("grav")).cast("int")).na.fill(0.0, list(MEASURES))
+    return rounded(neighbours.mutual_information(y, MEASURES, "y"), 8, "mutual_info")

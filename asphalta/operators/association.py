@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -17,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..functions.tails import chi2_tail, correlation_tail
-from .ordered import Balance, bucket_of, ranked_long, running_totals
+from . import matrices
+from .ordered import bucket_of, ranked_long
 
 
 def cells(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -48,21 +48,6 @@ def row_shares(df: DataFrame, a: str, b: str) -> DataFrame:
         (F.col("n") * 100.0 / F.col("_t")).alias("pct"))
 
 
-def pair_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Counts for every pair of few-valued columns.
-
-    Combinations of all columns are counted first; pairs are formed from those, so
-    no row of the table is repeated per pair.
-    """
-    combos = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(x).alias("var1"), F.lit(y).alias("var2"),
-                 F.col(x).cast("string").alias("a"), F.col(y).cast("string").alias("b"))
-        for x, y in combinations(columns, 2)])).alias("p")
-    return (combos.select("n", pairs).select("n", "p.*").na.drop(subset=["a", "b"])
-            .groupBy("var1", "var2", "a", "b").agg(F.sum("n").alias("n")))
-
-
 def chi_square(counts: DataFrame, keys: Sequence[str] = (), correction: bool = True) -> DataFrame:
     """Chi-square statistic, degrees of freedom, n, rows and columns per table.
 
@@ -109,22 +94,25 @@ def independence_test(df: DataFrame, a: str, b: str, correction: bool = True) ->
                        v.alias("v_cramer"))
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    """Exact number of values of each column; repeats fall together before anything moves."""
+def few_levels(df: DataFrame, columns: Sequence[str], most: int) -> dict[str, list[str]]:
+    """Levels of the columns that have at most `most`, in order; counted exactly, repeats falling together first."""
     named = F.explode(F.array(*[
         F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value")) for c in columns])).alias("p")
     values = df.select(named).select("p.*").where("value IS NOT NULL").distinct()
-    return {r["variable"]: r["n"] for r in values.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = values.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most)
+    levels: dict[str, list[str]] = {c: [] for c in columns}
+    for row in values.join(F.broadcast(counted), "variable").collect():  # at most `most` a column
+        levels[row["variable"]].append(row["value"])
+    return {c: sorted(v) for c, v in levels.items() if v}
 
 
 def cramer_matrix(df: DataFrame, columns: Sequence[str], max_card: int = 50,
                   bias_corrected: bool = True) -> DataFrame:
     """Cramer's V of every pair of columns with at most `max_card` values."""
-    card = distinct_counts(df, columns)
-    kept = [c for c in columns if card.get(c, 0) <= max_card]
+    kept = few_levels(df, columns, max_card)
     if len(kept) < 2:
         return df.sparkSession.createDataFrame([], "var1 string, var2 string, n bigint, v double")
-    stat = chi_square(pair_cells(df, kept), ["var1", "var2"], correction=False)
+    stat = chi_square(matrices.pair_counts(df, kept), ["var1", "var2"], correction=False)
     n, r, k = (F.col(c).cast("double") for c in ("n", "r", "k"))
     phi2 = F.col("chi2") / n
     if bias_corrected:
@@ -136,61 +124,13 @@ def cramer_matrix(df: DataFrame, columns: Sequence[str], max_card: int = 50,
 
 
 def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlation and n for all pairs in one aggregate.
-
-    The result is one row, unpivoted to (var1, var2, r, n); var1 < var2.
-    """
-    pairs = list(combinations(sorted(columns), 2))
-    aggs = []
-    for i, (x, y) in enumerate(pairs):
-        both = F.col(x).isNotNull() & F.col(y).isNotNull()
-        vx, vy = (F.when(both, F.col(v).cast("double")) for v in (x, y))
-        spread = F.sqrt(F.var_pop(vx) * F.var_pop(vy))
-        aggs += [F.try_divide(F.covar_pop(vx, vy), spread).alias(f"r{i}"),
-                 F.count_if(both).alias(f"n{i}")]
-    wide = df.agg(*aggs)
-    return wide.select(F.explode(F.array(*[
-        F.struct(F.lit(x).alias("var1"), F.lit(y).alias("var2"), F.col(f"r{i}").alias("r"),
-                 F.col(f"n{i}").alias("n")) for i, (x, y) in enumerate(pairs)])).alias("p")
-    ).select("p.*")
+    """Pairwise-complete Pearson correlation r and n of all pairs, var1 < var2."""
+    return matrices.pearson(df, columns)
 
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Spearman correlation for all pairs.
-
-    Ranks come from counts of distinct values per pair, and the correlation from
-    counts of distinct value pairs: no row is ranked twice and a frequent value is
-    one row before anything is sorted.
-    """
-    pairs = list(combinations(sorted(columns), 2))
-    balance = Balance.of(df, list(columns))
-    structs = [
-        F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.struct(
-            F.lit(x).alias("var1"), F.lit(y).alias("var2"),
-            F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
-        for x, y in pairs]
-    joint = (df.select(F.explode(F.array(*structs)).alias("p")).where(F.col("p").isNotNull())
-             .select("p.*").groupBy("var1", "var2", "x", "y")
-             .agg(F.count(F.lit(1)).alias("n")))
-    keys = ["var1", "var2"]
-
-    def ranks(v: str, name: str) -> DataFrame:
-        counts = joint.groupBy(*keys, v).agg(F.sum("n").alias("m"))
-        ranked = running_totals(counts, keys, v, ["m"], balance.bucket_in(F.col(name), F.col(v)))
-        return ranked.select(*keys, v, (F.col("m_before") + (F.col("m") + 1) / 2.0)
-                             .alias(f"r_{v}"))
-
-    scored = joint.join(ranks("x", "var1"), [*keys, "x"]).join(ranks("y", "var2"), [*keys, "y"])
-    w = F.col("n").cast("double")
-    rx, ry = F.col("r_x"), F.col("r_y")
-    sums = scored.groupBy(*keys).agg(
-        F.sum(w).alias("n"), F.sum(w * rx * ry).alias("sxy"),
-        F.sum(w * rx * rx).alias("sxx"), F.sum(w * ry * ry).alias("syy"))
-    # Both rank columns average (n + 1) / 2 by construction.
-    shift = F.col("n") * F.pow((F.col("n") + 1) / 2.0, 2)
-    cov, vx, vy = F.col("sxy") - shift, F.col("sxx") - shift, F.col("syy") - shift
-    rho = F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
-    return sums.select(*keys, rho.alias("rho"), F.col("n").cast("bigint").alias("n"))
+    """Pairwise-complete Spearman correlation rho and n of all pairs, var1 < var2."""
+    return matrices.spearman(df, columns)
 
 
 def pearson_pvalues(df: DataFrame, columns: Sequence[str], propagate_nulls: bool = False) -> DataFrame:
@@ -245,30 +185,21 @@ def retained_variables(ranked: DataFrame, threshold: float = 0.15) -> DataFrame:
 
 
 def variance_inflation(df: DataFrame, columns: Sequence[str], intercept: bool = False) -> DataFrame:
-    """Variance inflation factors on complete rows.
+    """Variance inflation factors on complete rows, of the columns that vary there.
 
-    One aggregate returns the columns x columns Gram matrix; only that matrix is
-    inverted on the driver.
+    Only the columns x columns Gram matrix is inverted on the driver.
     """
-    complete = df.na.drop(subset=list(columns))
-    ends = complete.agg(*[(F.min(c) < F.max(c)).alias(c) for c in columns]).head()
-    kept = [c for c in columns if ends[c]]
+    products, varies = matrices.gram(df, columns, intercept)
+    kept = [i for i in range(len(columns)) if varies[i]]
     spark = df.sparkSession
-    schema = "variable string, vif double, niveau string"
     if len(kept) < 2:
-        return spark.createDataFrame([], schema)
-    names = [*kept, "1"] if intercept else kept
-    cols = {c: (F.lit(1.0) if c == "1" else F.col(c).cast("double")) for c in names}
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    row = complete.agg(*[F.sum(cols[names[i]] * cols[names[j]]).alias(f"g{i}_{j}")
-                         for i, j in pairs]).head()
-    gram = np.zeros((len(names), len(names)))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = row[f"g{i}_{j}"]
-    scale = 1 / np.sqrt(np.diag(gram))
+        return spark.createDataFrame([], "variable string, vif double, niveau string")
+    used = kept + ([len(columns)] if intercept else [])
+    products = products[np.ix_(used, used)]
+    scale = 1 / np.sqrt(np.diag(products))
     # Scaled to a unit diagonal first: the factor is scale-free, the inversion is not.
-    inverse = np.linalg.pinv(gram * np.outer(scale, scale), hermitian=True)
-    rows = [(c, float(inverse[i, i])) for i, c in enumerate(names) if c != "1"]
+    inverse = np.linalg.pinv(products * np.outer(scale, scale), hermitian=True)
+    rows = [(columns[i], float(inverse[at, at])) for at, i in enumerate(kept)]
     out = spark.createDataFrame(rows, "variable string, vif double")
     return out.withColumn("niveau", lb.threshold_label(F.col("vif"), lb.VIF_STEPS, "OK"))
 
