@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pandas as pd
@@ -14,6 +15,7 @@ from ..operators.ordered import with_row_ids
 from ..plans.star import numbered_fact
 from ..session import fresh_path
 from ..sources import files, tables
+from ..sources.snapshots import SnapshotTable
 from .registry import query
 
 
@@ -78,7 +80,7 @@ def s03(c):
    || lpad(CAST(weekofyear(ts) AS STRING),2,'0') || '.txt' AS fichier_source FROM events) t ON e.event_id = t.event_id
   WHERE e.event_id % 97 <> 0 OR e.event_id % 89 = 0) GROUP BY fichier_source""")
 def s04(c):
-    """Weekly sensor files with headers of two kinds: over-long lines are skipped, short or non-numeric ones kept."""
+    """Weekly sensor files with headers of two kinds: over-long lines are skipped, short or non-numeric ones and quoted separators kept."""
     from ..functions.dates import iso_week_key
 
     path = fresh_path(c.spark, "s04")
@@ -92,6 +94,7 @@ def s04(c):
         lines[header] = (
             F.when(event % 89 == 0, F.concat_ws(";", *parts[:2]))
             .when(event % 97 == 0, F.concat_ws(";", *parts, F.lit("d"), F.lit("x")))
+            .when(event % 83 == 0, F.concat_ws(";", *parts, F.lit('"Rue; nord ""A"""')))
             .otherwise(F.concat_ws(";", *parts, F.lit("dessin"))))
     first, second = lines
     even = F.right(week, F.lit(2)).cast("int") % 2 == 0
@@ -200,20 +203,19 @@ def s11(c):
 @query("s12_replace_table_sink", """
  SELECT com, count(*) AS n FROM caract WHERE dep = '75' GROUP BY com""")
 def s12(c):
-    """Overwrite a table; an empty frame must not wipe it."""
-    path = fresh_path(c.spark, "s12")
-    paris = c.d.caract.where(F.col("dep") == "75").select("num_acc", "com")
-    tables.replace_table(c.d.caract.select("num_acc", "com"), path)
-    tables.replace_table(paris, path)
-    tables.replace_table(paris.where("com IS NULL"), path)
-    return c.spark.read.schema(paris.schema).parquet(path).groupBy("com").agg(F.count(F.lit(1)).alias("n"))
+    """Replace a table by part of itself; an empty frame must not wipe it."""
+    table = SnapshotTable(c.spark, fresh_path(c.spark, "s12"))
+    tables.replace_table(c.d.caract.select("num_acc", "com", "dep"), table.path)
+    tables.replace_table(table.read().where(F.col("dep") == "75").select("num_acc", "com"), table.path)
+    tables.replace_table(table.read().where("com IS NULL"), table.path)
+    return table.read().groupBy("com").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s13_create_table_as", """
  SELECT annee_semaine, count(*) AS n, count(q_moyen) AS n_trafic, count(meteo_temp_moy) AS n_meteo,
   sum(population)::DOUBLE AS population FROM enrichi GROUP BY annee_semaine""")
 def s13(c):
-    name = "asphalta_enriched"
+    name = f"asphalta_enriched_{uuid.uuid4().hex}"
     made = tables.create_table_as(c.spark, name, c.star.enriched(), fresh_path(c.spark, "s13"))
     return made.groupBy("annee_semaine").agg(
         F.count(F.lit(1)).alias("n"), F.count("q_moyen").alias("n_trafic"),

@@ -3,6 +3,7 @@
 import gzip
 import io
 import json
+import uuid
 import zipfile
 
 import pytest
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from asphalta.plans import curate
-from asphalta.sources import files, tables
+from asphalta.sources import files, streams, tables
+from asphalta.sources.snapshots import SnapshotTable, VersionTaken
 
 
 def put(path, text, encoding="utf-8"):
@@ -145,7 +147,77 @@ def test_empty_frame_does_not_replace_a_table(spark, tmp_path):
     df = spark.range(3)
     assert tables.replace_table(df, path)
     assert not tables.replace_table(df.where("id < 0"), path)
-    assert spark.read.parquet(path).count() == 3
+    assert SnapshotTable(spark, path).read().count() == 3
+
+
+def test_versions_are_whole_and_taken_once(spark, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "v"))
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    assert table.version == 0 and table.write(spark.range(5)) and table.version == 1
+    first = table.read()
+    assert table.write(table.read().where("id > 1"))  # from itself
+    assert (first.count(), table.read().count(), table.read(1).count()) == (5, 3, 5)
+    broken = table.read().select(F.when(F.col("id") > 3, F.raise_error(F.lit("stop"))).otherwise(F.col("id").cast("string")).alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        table.write(broken)
+    assert (table.version, table.read().count()) == (2, 3)
+    base = table.version  # two writers that start from the same version
+    assert table.write(spark.range(7), base=base)
+    with pytest.raises(VersionTaken):
+        SnapshotTable(spark, str(tmp_path / "v")).write(spark.range(8), base=base)
+    assert table.read().count() == 7
+    assert table.drop_old(keep=1) == [1, 2] and table.read().count() == 7
+    assert len(list((tmp_path / "v" / "data").iterdir())) == 1
+
+
+def test_table_from_itself(spark, tmp_path):
+    name, path = f"asphalta_test_{uuid.uuid4().hex}", str(tmp_path / "t")
+    tables.create_table_as(spark, name, spark.range(4), path)
+    made = tables.create_table_as(spark, name, spark.table(name).selectExpr("id", "id * 2 AS d"), path)
+    assert made.columns == ["id", "d"] and spark.table(name).count() == 4
+    with pytest.raises(Exception, match="stop"):
+        tables.create_table_as(spark, name, spark.table(name).select(F.raise_error(F.lit("stop")).cast("int").alias("x")), path)
+    assert spark.table(name).count() == 4
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_quoted_separators_are_no_separators(spark, tmp_path):
+    lines = ["iu_ac;t_1h;q;k;etat", '2;2024-01-01 01:00:00;1;2;"Rue; nord"', '3;2024-01-01 01:00:00;1;2;"a ""b""; c"', "4;t;1;2;3;4", '5;t;1;2;"open; end', "6;t"]
+    put(tmp_path / "q" / "a.txt", "\n".join(lines))
+    put(tmp_path / "q" / "b.txt", gzip.compress("\n".join(lines).encode()))
+    raw, left_out = files.read_by_header(spark, str(tmp_path / "q"), ("iu_ac", "t_1h"))
+    assert not left_out
+    for name in ("a.txt", "b.txt"):
+        got = {r["iu_ac"]: r["etat"] for r in raw.where(F.col("fichier_source") == name).collect()}
+        assert got == {"2": "Rue; nord", "3": 'a "b"; c', "6": None}
+    df = spark.createDataFrame([(x,) for x in ("a;b", '"a;b"', '"a;""b;"";c";d', 'a"b;c"', '"";', "")], "v string")
+    assert [r[0] for r in df.select(files.field_count(F.col("v"))).collect()] == [2, 1, 2, 2, 2, 1]
+
+
+def test_streams_hold_pieces_only():
+    """A gzip stream far larger than a piece, in several members, read a piece at a time."""
+    line = b"0123456789" * 10 + b"\n"
+    packed = b"".join(gzip.compress(line * 100_000) for _ in range(3))
+
+    class Counted(io.BytesIO):
+        most = 0
+
+        def read(self, n=-1):
+            assert 0 < n <= streams.PIECE
+            return super().read(n)
+
+    sizes = [len(p) for p in streams.pieces(Counted(packed))]
+    assert sum(sizes) == 300_000 * len(line) and max(sizes) <= streams.PIECE
+    assert sum(1 for _ in streams.lines_of(Counted(packed))) == 300_000
+
+
+def test_heads_come_from_tasks(spark, tmp_path):
+    put(tmp_path / "h" / "with space.csv", "\ufeffa;b\r\n1;2\n")
+    put(tmp_path / "h" / "z.csv", gzip.compress(b"c;d\n3;4"))
+    put(tmp_path / "h" / "empty.csv", b"")
+    got = {r["path"].rsplit("/", 1)[1]: (r["zipped"], r["header"]) for r in streams.heads(streams.listed(spark, str(tmp_path / "h"))).collect()}
+    assert got == {"with space.csv": (False, "a;b"), "z.csv": (True, "c;d")}  # files without content have no head
 
 
 def test_fallback_when_columns_are_missing(spark):
