@@ -228,7 +228,8 @@ def with_row_ids(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    numbered = stored.withColumn("_part", part).join(offsets, "_part")
+    # One row a range, which is one a shuffle partition.
+    numbered = stored.withColumn("_part", part).join(F.broadcast(offsets), "_part")
     return numbered.select(
         (F.col("_offset") + index + 1).alias(name), *[c for c in df.columns])
 

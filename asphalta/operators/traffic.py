@@ -7,31 +7,48 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as dt
 from ..functions.text import leading_integer
+from ..session import materialize
 from .ordered import Balance, grouped_medians, median_of_ranked, running_totals
 
 MAX_MISSING = 0.30
 
 
-def reading_counts(readings: DataFrame, source: str = "fichier_source",
-                   balance: Balance | None = None) -> DataFrame:
-    """Readings counted per (file, sensor, measure, value), with running counts.
+def value_counts(readings: DataFrame, source: str = "fichier_source") -> DataFrame:
+    """Readings counted per (file, sensor, measure, value).
 
-    `n` counts known values, `m` all readings including the NULL value.  Missing
-    rates, medians, sums and periods all come out of this one pass.
+    `n` counts known values, `m` all readings including the NULL value. Missing rates,
+    medians, sums and periods all come out of these counts, and those of different files
+    stand side by side.
     """
-    known = readings.where(F.col("iu_ac").isNotNull())
-    balance = balance or Balance.of(known, ["q", "k"])
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value"))
         for c in ("q", "k")])).alias("p")
-    counts = (known.select(source, "iu_ac", "t_1h", pairs).select(source, "iu_ac", "t_1h", "p.*")
-              .groupBy(source, "iu_ac", "variable", "value")
-              .agg(F.count("value").alias("n"), F.count(F.lit(1)).alias("m"),
-                   F.min("t_1h").alias("t_min"), F.max("t_1h").alias("t_max")))
+    known = readings.where(F.col("iu_ac").isNotNull())
+    return (known.select(source, "iu_ac", "t_1h", pairs).select(source, "iu_ac", "t_1h", "p.*")
+            .groupBy(source, "iu_ac", "variable", "value")
+            .agg(F.count("value").alias("n"), F.count(F.lit(1)).alias("m"),
+                 F.min("t_1h").alias("t_min"), F.max("t_1h").alias("t_max")))
+
+
+def count_balance(counts: DataFrame) -> Balance:
+    """Bounds from the counted values, which are what the ordered work is about."""
+    wide = counts.select(*[F.when(F.col("variable") == v, F.col("value")).alias(v) for v in ("q", "k")])
+    return Balance.of(wide, ["q", "k"])
+
+
+def running_counts(counts: DataFrame, source: str = "fichier_source", balance: Balance | None = None) -> DataFrame:
+    """Value counts with running counts within each sensor of a file."""
+    balance = balance or count_balance(counts)
     return running_totals(counts, [source, "iu_ac", "variable"], "value", ["n"],
                           balance.bucket_in(F.col("variable"), F.col("value")))
 
 
+def reading_counts(readings: DataFrame, source: str = "fichier_source",
+                   balance: Balance | None = None) -> DataFrame:
+    """Value counts of readings, written once, with running counts."""
+    return running_counts(materialize(value_counts(readings, source), "reading-counts"), source, balance)
+
+
 def per_sensor(counts: DataFrame, source: str = "fichier_source") -> DataFrame:
     """Counts, sums, period and median of each measure per (file, sensor)."""
     missing = F.sum(F.when(F.col("value").isNull(), F.col("m")).otherwise(0))
@@ -84,13 +101,16 @@ def impute_readings(readings: DataFrame, stats: DataFrame, source: str = "fichie
 
 
 def weekly_aggregate(readings: DataFrame, source: str = "fichier_source") -> DataFrame:
-    """One row per sensor and weekly file, after filtering and imputation.
+    """One row per sensor and weekly file, after filtering and imputation."""
+    return weekly_of_counts(materialize(value_counts(readings, source), "reading-counts"), source)
+
 
-    Works on counts of values: a missing reading adds the sensor's median, or the
+def weekly_of_counts(values: DataFrame, source: str = "fichier_source") -> DataFrame:
+    """The same from written value counts: a missing reading adds the sensor's median, or the
     median of the file's kept readings where the sensor has none.
     """
-    balance = Balance.of(readings.where(F.col("iu_ac").isNotNull()), ["q", "k"])
-    counts = reading_counts(readings, source, balance)
+    balance = count_balance(values)
+    counts = running_counts(values, source, balance)
     kept = per_sensor(counts, source).where(F.col("q_missing_rate") <= MAX_MISSING)
     pooled = (counts.select(source, "iu_ac", "variable", "value", "n")
               .where(F.col("value").isNotNull())
