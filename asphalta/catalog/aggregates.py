@@ -367,24 +367,6 @@ def a43(c):
     return rounded(profile.class_distribution(y, "grave"), 6, "pct", "ratio")
 
 
-def _split_sql(column, dtype):
-    return f"""SELECT '{column}' AS feature, '{dtype}' AS dtype, count(DISTINCT a.{column}) AS n_unique_train, max(b.u) AS n_unique_test,
-  round(avg(a.{column}), 6) AS mean_train, round(stddev_samp(a.{column}), 6) AS std_train,
-  round(avg(CASE WHEN a.{column} IS NULL THEN 100.0::DOUBLE ELSE 0 END), 6) AS pct_na_train, round(max(b.p), 6) AS pct_na_test
- FROM tr a, (SELECT count(DISTINCT {column}) AS u, avg(CASE WHEN {column} IS NULL THEN 100.0::DOUBLE ELSE 0 END) AS p FROM te) b"""
-
-
-@query("a44_split_feature_report", f"""
- WITH src AS (SELECT lum, lat, date_acc FROM caract), tr AS (SELECT * FROM src WHERE date_acc < DATE '2024-10-19'),
- te AS (SELECT * FROM src WHERE date_acc >= DATE '2024-10-19') {_split_sql('lum', 'entier')} UNION ALL {_split_sql('lat', 'numerique')}""")
-def a44(c):
-    frame = c.d.caract.select("lum", "lat", "date_acc")
-    pivot = F.lit("2024-10-19").cast("date")
-    train, test = frame.where(F.col("date_acc") < pivot), frame.where(F.col("date_acc") >= pivot)
-    return rounded(profile.split_report(train.drop("date_acc"), test.drop("date_acc")), 6,
-                   "mean_train", "std_train", "pct_na_train", "pct_na_test")
-
-
 @query("a45_value_counts", "SELECT com AS valeur, count(*) AS n FROM caract GROUP BY com")
 def a45(c):
     return profile.value_counts(c.d.caract, ["com"]).select("valeur", "n").orderBy(F.col("n").desc(), "valeur")

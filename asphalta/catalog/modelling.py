@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import dates as dt
 from ..functions import labels as lb
 from ..ml import explain, metrics, models, prep, shapley
+from ..operators import profile
 from ..operators.ordered import exact_medians
 from ..session import materialize
 from .aggregates import rounded
@@ -122,13 +123,50 @@ def m07(c):
     return rounded(prep.split_summary(rows, "jour", pivot), 6, "taux_grave_pct")
 
 
-@query("m08_standard_scaling", """
- WITH s AS (SELECT avg(lum) AS ml, stddev_pop(lum) AS sl, avg(atm) AS ma, stddev_pop(atm) AS sa FROM caract WHERE date_acc < DATE '2024-10-19')
- SELECT num_acc, round((lum - ml) / sl, 6) AS lum, round((atm - ma) / sa, 6) AS atm FROM caract, s""")
+#: Features of the severity model: doubles, whole numbers, texts.
+MEASURED = ("meteo_precipitations", "meteo_temp_min", "meteo_temp_max", "meteo_temp_moy", "q_moyen", "k_moyen", "population", "ratio_saturation")
+COUNTED = ("annee", "mois", "jour", "jour_semaine_num", "is_weekend", "semaine_annee", "trimestre", "is_ferie", "is_pluie", "trafic_eleve")
+NAMED = ("jour_semaine", "saison")
+
+
+def wide_features(c):
+    """All features before gaps are filled with their day, written once, and the first day of the test period."""
+    enriched = c.star.enriched_table([
+        "id_usager", "aaaammjj", "jour_semaine", *[m for m in MEASURED if m != "ratio_saturation"]])
+    # The shared 1e-9 margin keeps last-digit differences of means from flipping the flag.
+    median = exact_medians(enriched, ["q_moyen"])["q_moyen"]
+    wide = prep.engineer_features(enriched, None if median is None else median + 1e-9)
+    wide = rounded(wide, 6, "q_moyen", "k_moyen", "ratio_saturation").withColumn("jour_date", dt.compact_date(F.col("aaaammjj")))
+    table = materialize(wide.select("id_usager", "jour_date", *MEASURED, *COUNTED, *NAMED), "wide-features")
+    return table, F.lit(prep.pivot_day(table, "jour_date"))
+
+
+@query("m08_standard_scaling", "WITH s AS (SELECT " + ", ".join(
+    f"avg({f}) AS m{i}, coalesce(nullif(stddev_pop({f}), 0), 1) AS s{i}" for i, f in enumerate((*MEASURED, *COUNTED)))
+    + " FROM variables WHERE aaaammjj < (SELECT jour FROM jour_pivot)) SELECT id_usager, " + ", ".join(
+    f"round(({f} - m{i}) / s{i}, 5) AS {f}" for i, f in enumerate((*MEASURED, *COUNTED))) + " FROM variables, s")
 def m08(c):
-    rows = c.d.caract.select("num_acc", "date_acc", "lum", "atm")
-    train, _ = prep.temporal_split(rows, "date_acc")
-    return rounded(prep.scale(rows, prep.fit_scaling(train, ["lum", "atm"])).drop("date_acc"), 6, "lum", "atm")
+    """Every numeric feature scaled by mean and deviation of the training days."""
+    rows, pivot = wide_features(c)
+    columns = [*MEASURED, *COUNTED]
+    fitted = prep.fit_scaling(rows.where(F.col("jour_date") < pivot), columns)
+    return rounded(prep.scale(rows.select("id_usager", *columns), fitted), 5, *columns)
+
+
+def _side_sql(side, f, kind):
+    moments = f"avg({f}) AS m, stddev_samp({f}) AS s" if kind != "texte" else "CAST(NULL AS DOUBLE) AS m, CAST(NULL AS DOUBLE) AS s"
+    return f"(SELECT count(DISTINCT {f}) AS u, {moments}, avg(CASE WHEN {f} IS NULL THEN 100.0::DOUBLE ELSE 0 END) AS p FROM variables WHERE aaaammjj {side} (SELECT jour FROM jour_pivot))"
+
+
+@query("a44_split_feature_report", " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, '{kind}' AS dtype, a.u AS n_unique_train, b.u AS n_unique_test, round(a.m, 6) AS mean_train, round(a.s, 6) AS std_train,"
+    f" round(a.p, 6) AS pct_na_train, round(b.p, 6) AS pct_na_test FROM {_side_sql('<', f, kind)} a, {_side_sql('>=', f, kind)} b"
+    for kind, names in (("numerique", MEASURED), ("entier", COUNTED), ("texte", NAMED)) for f in names))
+def a44(c):
+    """Types, distinct values, moments and gaps of every feature on both sides of the data's own pivot day."""
+    rows, pivot = wide_features(c)
+    train, test = (rows.where(side).drop("id_usager", "jour_date") for side in (F.col("jour_date") < pivot, F.col("jour_date") >= pivot))
+    return rounded(profile.split_report(train, test), 6, "mean_train", "std_train", "pct_na_train", "pct_na_test")
 
 
 @query("m12_balanced_weights", f"""

@@ -169,6 +169,20 @@ FRAGMENTS: dict[str, str] = {
  FROM fait f LEFT JOIN dim_date d ON f.aaaammjj = d.aaaammjj
  LEFT JOIN dim_trafic t ON f.iu_ac = t.iu_ac AND d.annee_semaine = t.annee_semaine
  LEFT JOIN dim_meteo m ON f.aaaammjj = m.aaaammjj LEFT JOIN population p ON f.com = p.com""",
+    # Features of the severity model before gaps are filled; measures rounded so that both engines count alike.
+    "variables": """
+ SELECT id_usager, aaaammjj, meteo_precipitations, meteo_temp_min, meteo_temp_max, meteo_temp_moy, round(q_moyen, 6) AS q_moyen, round(k_moyen, 6) AS k_moyen,
+  population, annee, mois, jour, CAST(isodow(d) - 1 AS INT) AS jour_semaine_num, CASE WHEN isodow(d) >= 6 THEN 1 ELSE 0 END AS is_weekend,
+  CAST(weekofyear(d) AS INT) AS semaine_annee, CAST(quarter(d) AS INT) AS trimestre,
+  CASE WHEN strftime(d, '%m-%d') IN ('01-01','05-01','05-08','07-14','08-15','11-01','11-11','12-25') THEN 1 ELSE 0 END AS is_ferie,
+  CASE WHEN meteo_precipitations > 1 THEN 1 ELSE 0 END AS is_pluie, round(k_moyen / (q_moyen + 1), 6) AS ratio_saturation,
+  CASE WHEN q_moyen > (SELECT median(q_moyen) FROM enrichi) + 1e-9 THEN 1 ELSE 0 END AS trafic_eleve, jour_semaine,
+  CASE WHEN mois IN (12,1,2) THEN 'hiver' WHEN mois < 6 THEN 'printemps' WHEN mois < 9 THEN 'ete' ELSE 'automne' END AS saison
+ FROM (SELECT *, CAST(date AS DATE) AS d FROM enrichi)""",
+    # First day of the test period: that at 80 % of the distinct days.
+    "jour_pivot": """
+ SELECT aaaammjj AS jour FROM (SELECT aaaammjj, row_number() OVER (ORDER BY aaaammjj) - 1 AS i, count(*) OVER () AS n
+  FROM (SELECT DISTINCT aaaammjj FROM fait)) WHERE i = CAST(floor(n * 0.8) AS BIGINT)""",
     # Worst severity of each accident, killed > hospitalised > slight > unhurt.
     "pire": """
  SELECT num_acc, max(CASE grav WHEN 1 THEN 0 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 1 END) AS poids,
