@@ -8,11 +8,14 @@ documents that hold both term t and value e, n_t documents with t, n_e with e an
 
 is the share of the value's information content that the term reveals: 1 if e stands in
 every document that uses t. Terms at or above `generalise` that were seen with the value
-in at least `support` different contexts (a term with its `window` neighbours on each
-side, so that copies of one passage do not count) become spans of kind term wherever they
-stand, in documents without the value too; sanitising removes those at or above `remove`
-and generalises the others, as it does the base spans. A term has one disclosure, its
-highest over all values.
+in at least `support` documents and as many different contexts (a term with its `window`
+neighbours on each side, so that copies of one passage do not count) become spans of kind
+term wherever they stand, in documents without the value too; sanitising removes those at
+or above `remove` and generalises the others, as it does the base spans. A term has one
+disclosure, its highest over all values.
+
+A value of fewer than `support` documents can therefore disclose nothing, and only the
+others' terms are counted. Bloom filters of bounded size keep the rest out of the joins.
 
 Defined cases: null and empty texts have no spans; repeated rows get equal spans and count
 as documents each; null ids are ids like any other; an empty table gives an empty result;
@@ -33,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import small_table
+from .bloom import Bloom
 from .common import query, row_key, saved, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -100,8 +104,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def digest(text: str) -> int:
-    """A signed 64-bit hash."""
-    value = xxhash.xxh64_intdigest(text)
+    """A signed 64-bit hash, equal to Spark's xxhash64 of the text."""
+    value = xxhash.xxh64_intdigest(text, 42)
     return value - (1 << 64) if value >> 63 else value
 
 
@@ -200,32 +204,40 @@ def found_data(docs: DataFrame, id_col: str, text_col: str, window: int) -> Data
 def disclosing(found: DataFrame, support: int, generalise: float) -> DataFrame:
     """(term, disclosure) of the terms that reveal an entity, from counts over all documents."""
     rows = found.where("counts IS NULL")
-    used = rows.where("size(entities) > 0").select(F.explode("entities").alias("entity"), "uses").select("entity", F.inline("uses"))
+    n = float(rows.count())
+    held, _ = saved(
+        rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+        .where(F.col("n_e").between(support, n - 1)), "repeated-values")
+    used = (
+        rows.where("size(entities) > 0").select(F.explode("entities").alias("entity"), "uses")
+        .where(Bloom(held, "entity").may_hold("entity")).select("entity", F.inline("uses")))
     met = (
         used.groupBy("entity", "term", "context").agg(F.sum("first").alias("docs"))
         .groupBy("entity", "term").agg(F.sum("docs").alias("n_te"), F.count("*").alias("contexts"))
-        .where(F.col("contexts") >= support))
-    held = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+        .where((F.col("contexts") >= support) & (F.col("n_te") >= support)))
     terms = found.where("counts IS NOT NULL").select(F.inline("counts")).groupBy("term").agg(F.sum("n").alias("n_t"))
-    n = float(rows.count())
     share = F.log(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(n) / F.col("n_e"))
     return (
-        met.join(held, "entity").join(terms, "term").where(F.col("n_e") < n)
+        met.join(held, "entity").join(terms, "term")
         .select("term", share.alias("disclosure")).where(F.col("disclosure") >= generalise)
         .groupBy("term").agg(F.max("disclosure").alias("disclosure")))
 
 
-def term_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, row, key, start, end) of every word outside the base spans; key is the term's digest."""
+def term_places(docs: DataFrame, id_col: str, text_col: str, likely: Bloom) -> DataFrame:
+    """(doc, row, key, start, end) of the words outside the base spans that may be among the likely keys.
+
+    key is the term's digest.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = Terms(lambda word: digest(word.lower()))
         for batch in small_batches(batches):
             found = [keys.places(t, base_spans(t)) for t in (t or "" for t in batch.column(2).to_pylist())]
-            ends = np.cumsum([0, *(len(f[0]) for f in found)])
             columns = [np.concatenate([np.array(f[i], np.int64) for f in found]) for i in range(3)]
-            inner = pa.StructArray.from_arrays([pa.array(c) for c in columns], ["key", "start", "end"])
+            stays = likely.has(columns[0])
+            ends = np.r_[0, np.cumsum(stays)][np.cumsum([0, *(len(f[0]) for f in found)])]
+            inner = pa.StructArray.from_arrays([pa.array(c[stays]) for c in columns], ["key", "start", "end"])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)],
                 names=["doc", "row", "places"])
@@ -239,10 +251,10 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    generalise: float = 0.6) -> DataFrame:
     """(doc, row, spans, terms): base spans, and the disclosing terms with their disclosure, of every row."""
     found, _ = saved(found_data(docs, id_col, text_col, window), "personal")
-    keyed = F.udf(digest, "bigint")
-    shown = small_table(disclosing(found, support, generalise).select(keyed("term").alias("key"), "disclosure"), "disclosing")
+    shown, _ = saved(disclosing(found, support, generalise).groupBy(F.xxhash64("term").alias("key")).agg(
+        F.max("disclosure").alias("disclosure")), "disclosing")
     terms = (
-        term_places(docs, id_col, text_col).join(shown, "key")
+        term_places(docs, id_col, text_col, Bloom(shown, "key")).join(shown, "key")
         .groupBy("doc", "row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
         .groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__at"))
         .agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms")))

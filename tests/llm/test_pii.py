@@ -7,10 +7,12 @@ import re
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from asphalta.llm.bloom import Bloom
 from asphalta.llm.pii import base_spans, luhn, op8_pii, personal_spans, replaced, sanitise
 
 DATA = Path("/root/testdata/sf0.001")
@@ -75,7 +77,7 @@ def plain_disclosure(texts, window, support, generalise):
                 contexts[w, e].add((tuple(ws[max(0, i - window):i]), tuple(ws[i + 1:i + 1 + window])))
     shown = {}
     for (w, e), k in n_te.items():
-        if len(contexts[w, e]) >= support and n_e[e] < n:
+        if len(contexts[w, e]) >= support and k >= support and n_e[e] < n:
             share = math.log(n * k / (n_t[w] * n_e[e])) / math.log(n / n_e[e])
             if share >= generalise:
                 shown[w] = max(share, shown.get(w, share))
@@ -126,6 +128,32 @@ def test_terms_are_marked_wherever_they_stand(spark):
     assert len(spans[0]) == len(spans[200]) == 3
 
 
+def test_values_of_few_documents_disclose_nothing(spark):
+    """A rare word used often in the only document of a value, and in the only two of another."""
+    rng = random.Random(5)
+    filler = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(50)]
+    gap = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    once = f"{gap(9)} glacier {gap(9)} glacier {gap(9)} glacier"
+    rows = [(i, gap(20)) for i in range(40)] + [(50, f"{once} a@b.example"), (51, once.replace("glacier", "moraine"))]
+    rows += [(60 + i, f"{gap(9)} tundra {gap(9)} tundra {gap(9)} c@d.example") for i in range(2)]
+    cleaned = {r.doc_id: r.text for r in sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(cleaned[d] == re.sub(r"\S+@\S+", "[EMAIL]", text) for d, text in rows)
+
+
+def test_bloom_filter_keeps_every_key(spark):
+    rng = random.Random(6)
+    keys = [rng.getrandbits(64) - (1 << 63) for _ in range(3000)]
+    others = np.array([rng.getrandbits(64) - (1 << 63) for _ in range(20000)])
+    rows = spark.createDataFrame([(k,) for k in [*keys, *keys[:50], None]], "key long")
+    bloom = Bloom(rows, "key")
+    assert bloom.has(np.array(keys)).all() and bloom.has(others).mean() < 0.02
+    assert not bloom.has(np.array([], np.int64)).any()
+    assert not Bloom(rows.where("key IS NULL"), "key").has(others).any()
+    full = Bloom(rows, "key", most=10)  # far too small: all it may do is let others pass
+    assert full.has(np.array(keys)).all() and len(full.words.value) == 16
+    assert rows.where("key IS NOT NULL").where(bloom.may_hold("key")).count() == 3050
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="driver tables absent")
 def test_query_on_whole_table(spark):
     got = {r.doc_id: r for r in op8_pii(spark, str(DATA)).collect()}
