@@ -50,6 +50,8 @@ SPANS = "array<struct<kind: string, start: bigint, end: bigint>>"
 USES = "array<struct<term: string, context: bigint, first: int>>"
 COUNTS = "array<struct<term: string, n: bigint>>"
 TERM_SPANS = "array<struct<start: bigint, end: bigint, disclosure: double>>"
+#: Every ASCII character as it stands in a term: letters in lower case, what belongs to no word as a space.
+ASCII_TERMS = "".join(c.lower() if c.isalnum() else " " for c in map(chr, range(128)))
 #: Different terms that a task counts before it hands the counts on.
 HELD_TERMS = 200_000
 
@@ -141,6 +143,28 @@ class Terms(dict):
         return [self[text[a:b]] for a, b in zip(starts.tolist(), ends.tolist())], starts, ends
 
 
+def ascii_terms(text: str) -> list[str]:
+    """The terms of all words of an ASCII text, the same as from places without spans."""
+    return text.translate(ASCII_TERMS).split()
+
+
+class LikelyTerms:
+    """Which terms of ASCII texts may be among a filter's keys, asked once for each new term."""
+
+    def __init__(self, likely: Bloom):
+        self.likely, self.known = likely, {}
+
+    def texts_with(self, texts: list[str]) -> list[bool]:
+        """Whether a text may hold such a term; texts with other characters always may."""
+        held = [set(ascii_terms(t)) if t.isascii() else None for t in texts]
+        if len(self.known) >= HELD_TERMS:
+            self.known = {}
+        known = self.known
+        new = list({w for words in held if words for w in words if w not in known})
+        known.update(zip(new, self.likely.has(np.array([digest(w) for w in new], np.int64)).tolist()))
+        return [words is None or any(map(known.__getitem__, words)) for words in held]
+
+
 def term_uses(terms: list[str], window: int) -> list[tuple[str, int, int]]:
     """(term, context, first) of a text's different terms and contexts; first is 1 once for each term."""
     out, seen = [], set()
@@ -186,7 +210,7 @@ def found_data(docs: DataFrame, id_col: str, text_col: str, window: int) -> Data
             spans = [base_spans(t) for t in texts]
             entities, uses = [], []
             for text, found in zip(texts, spans):
-                terms = lower.places(text, found)[0]
+                terms = lower.places(text, found)[0] if found or not text.isascii() else ascii_terms(text)
                 counts.update(set(terms))
                 entities.append(sorted({digest(f"{k}:{text[a:b].lower()}") for k, a, b in found}))
                 uses.append(term_uses(terms, window) if found else [])
@@ -231,9 +255,11 @@ def term_places(docs: DataFrame, id_col: str, text_col: str, likely: Bloom) -> D
     kind = docs.schema[id_col].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = Terms(lambda word: digest(word.lower()))
+        keys, some = Terms(lambda word: digest(word.lower())), LikelyTerms(likely)
+        nothing = [np.empty(0, np.int64)] * 3
         for batch in small_batches(batches):
-            found = [keys.places(t, base_spans(t)) for t in (t or "" for t in batch.column(2).to_pylist())]
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            found = [keys.places(t, base_spans(t)) if may else nothing for t, may in zip(texts, some.texts_with(texts))]
             columns = [np.concatenate([np.array(f[i], np.int64) for f in found]) for i in range(3)]
             stays = likely.has(columns[0])
             ends = np.r_[0, np.cumsum(stays)][np.cumsum([0, *(len(f[0]) for f in found)])]

@@ -13,7 +13,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from asphalta.llm.bloom import Bloom
-from asphalta.llm.pii import base_spans, luhn, op8_pii, personal_spans, replaced, sanitise
+from asphalta.llm.pii import LikelyTerms, Terms, ascii_terms, base_spans, digest, luhn, op8_pii, personal_spans, replaced, sanitise
 
 DATA = Path("/root/testdata/sf0.001")
 PATTERNS = {
@@ -57,6 +57,22 @@ def test_marks_that_overlap_are_one():
     assert replaced("abcdefgh", [(1, 3, "[X]"), (2, 5, "[Y]"), (6, 7, "")]) == "a[X]fh"
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(alphabet=[*map(chr, range(128)), "é", "İ"], max_size=40), max_size=6), st.integers(0, 9))
+def test_ascii_texts_have_the_same_terms(texts, some):
+    class Likely:
+        def has(self, keys):
+            return keys % 10 == some
+
+    asked = LikelyTerms(Likely())
+    for _ in range(2):
+        for text, may in zip(texts, asked.texts_with(texts)):
+            terms = Terms().places(text, [])[0]
+            if text.isascii():
+                assert ascii_terms(text) == terms
+            assert may == (not text.isascii() or any(digest(w) % 10 == some for w in terms))
+
+
 def plain_terms(text):
     """(term, start, end) of the runs of letters and numbers that overlap no base span."""
     spans = base_spans(text)
