@@ -43,7 +43,7 @@ class Bloom:
             found &= (words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
         return found
 
-    def may_hold(self, key: str) -> Column:
+    def may_hold(self, key: Column | str) -> Column:
         """The same as a column; keys must not be null."""
         @F.pandas_udf("boolean")
         def holds(keys: pd.Series) -> pd.Series:

@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import small_table
+from .bloom import Bloom
 from .common import batch_of, query, row_key, saved, small_batches, table
 from .components import components
 
@@ -160,14 +161,16 @@ def lowest_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
         a, b = a[differ], b[differ]
 
 
-def link_buckets(values: np.ndarray, bucket: np.ndarray, in_tree: np.ndarray, asks: np.ndarray,
-                 radius: int, chunk: int = 1 << 16) -> np.ndarray:
-    """The lowest linked index of every item; bucket must be sorted.
+def found_pairs(values: np.ndarray, bucket: np.ndarray, in_tree: np.ndarray, asks: np.ndarray,
+                radius: int, chunk: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, item) index pairs within the radius, some queries at a time; bucket must be sorted.
 
     in_tree: the item is part of its bucket's tree; asks: it is a query to that tree.
     """
     n = len(values)
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if n else np.empty(0, np.int64)
+    if not n:
+        return
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
     members = np.flatnonzero(in_tree)
     roots = np.full(len(starts), -1, np.int64)
@@ -180,29 +183,61 @@ def link_buckets(values: np.ndarray, bucket: np.ndarray, in_tree: np.ndarray, as
         for k in spread:
             spread[k][members] = tree[k]
         tree = {**spread, "kids": members[tree["kids"]]}
-    label = np.arange(n)
-    queries = np.flatnonzero(asks & (roots[group] >= 0)) if n else np.empty(0, np.int64)
-    sizes = np.bincount(group, minlength=len(starts))[group[queries]] if n else queries
+    queries = np.flatnonzero(asks & (roots[group] >= 0))
+    sizes = np.bincount(group, minlength=len(starts))[group[queries]]
     cuts = np.searchsorted(np.cumsum(sizes), np.arange(chunk * 16, int(sizes.sum()) + chunk * 16, chunk * 16), "right")
     at = 0
     for end in cuts:  # bounded work: about a million (query, node) pairs at most at a time
         end = max(int(end), at + 1)
         part = queries[at:end]
         if len(part):
-            label = lowest_labels(label, *search_trees(values, tree, part, roots[group[part]], radius))
+            yield search_trees(values, tree, part, roots[group[part]], radius)
         at = end
+
+
+def link_buckets(values: np.ndarray, bucket: np.ndarray, in_tree: np.ndarray, asks: np.ndarray,
+                 radius: int, chunk: int = 1 << 16) -> np.ndarray:
+    """The lowest linked index of every item."""
+    label = np.arange(len(values))
+    for q, i in found_pairs(values, bucket, in_tree, asks, radius, chunk):
+        label = lowest_labels(label, q, i)
     return label
 
 
-def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
-    """(u, v) links of nodes. rows: (place, part, node, in_tree, asks, fp...); a bucket is (place, part)."""
+def pair_buckets(values: np.ndarray, bucket: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, radius: int,
+                 most: int, chunk: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs (item, lower item) within the radius: the `most` lowest of every item, and whether there were more."""
+    later, lower, more = [np.empty(0, np.int64)], [np.empty(0, np.int64)], False
+    for q, i in found_pairs(values, bucket, in_tree, asks, radius, chunk):
+        pairs = np.unique(np.stack([np.maximum(q, i), np.minimum(q, i)], axis=1)[q != i], axis=0)
+        first = np.searchsorted(pairs[:, 0], pairs[:, 0], "left")
+        near = np.arange(len(pairs)) - first < most
+        more |= not near.all()
+        later.append(pairs[near, 0])
+        lower.append(pairs[near, 1])
+    return np.concatenate(later), np.concatenate(lower), more
+
+
+def bucket_links(rows: DataFrame, radius: int, most: int | None = None) -> DataFrame:
+    """(u, v) links of nodes. rows: (place, part, node, in_tree, asks, fp...); a bucket is (place, part).
+
+    With `most` links are pairs within the radius, as many for each node of a bucket; a
+    row of nulls tells that some bucket held more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in whole_buckets(batches):
             place, node, in_tree, asks, *words = columns
-            label = link_buckets(np.stack(words, axis=1).view(np.uint64), place, in_tree, asks, radius)
-            linked = label != np.arange(len(label))
-            yield batch_of({"u": (node[linked], pa.int64()), "v": (node[label[linked]], pa.int64())})
+            values = np.stack(words, axis=1).view(np.uint64)
+            if most:
+                later, lower, more = pair_buckets(values, place, in_tree, asks, radius, most)
+                if more:
+                    yield batch_of({"u": ([None], pa.int64()), "v": ([None], pa.int64())})
+            else:
+                label = link_buckets(values, place, in_tree, asks, radius)
+                later = np.flatnonzero(label != np.arange(len(label)))
+                lower = label[later]
+            yield batch_of({"u": (node[later], pa.int64()), "v": (node[lower], pa.int64())})
 
     spread = rows.repartition("place", "part").sortWithinPartitions("place", "part", "node")
     return spread.mapInArrow(run, "u bigint, v bigint").distinct()
@@ -249,10 +284,10 @@ def whole_buckets(batches: Iterator[pa.RecordBatch], least: int = 1 << 17) -> It
 
 
 def near_links(fps: DataFrame, routes: Callable[[DataFrame], DataFrame], radius: int,
-               shard: int = SHARD) -> DataFrame:
+               shard: int = SHARD, most: int | None = None) -> DataFrame:
     """Links (u, v) between the nodes of fps (node, fp...) that meet in a bucket.
 
-    routes(fps) gives one row (place, node, fp...) per bucket of a node.
+    routes(fps) gives one row (place, node, fp...) per bucket of a node. most: see bucket_links.
     """
     routed = routes(fps)
     words = [c for c in routed.columns if c.startswith("fp")]
@@ -269,7 +304,7 @@ def near_links(fps: DataFrame, routes: Callable[[DataFrame], DataFrame], radius:
     rows = met.select(
         "place", (low * F.col("shards") + high).alias("part"), "node",
         (F.col("own") == low).alias("in_tree"), (F.col("own") == high).alias("asks"), *words)
-    return bucket_links(rows, radius)
+    return bucket_links(rows, radius, most)
 
 
 def agreeing_blocks(blocks: int, radius: int) -> Callable[[DataFrame], DataFrame]:
@@ -301,9 +336,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def set_hash(hashes: np.ndarray) -> int:
+    """Signed hash of a set of shingle hashes, given in ascending order."""
+    value = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int, words: int, bands: int,
                       band_bits: int) -> DataFrame:
-    """(id, row, fp0.., places): a fingerprint of 64 * words bits, and its buckets.
+    """(id, row, node, fp0.., places): a shingle set's hash, its fingerprint of 64 * words bits, and its buckets.
 
     The fingerprint is that of the shingles; buckets come from bands of bits of another
     one, over the text's different words, which near copies share far more fully.
@@ -324,44 +365,93 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int, wo
             hashes = [np.unique(shingle_hashes(t, size)) for t in texts]
             fps = np.array([[majority_bits(mixed(h, i)) for i in range(words)] for h in hashes], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(fps[:, i]) for i in range(words)),
-                 pa.array([places(t) for t in texts], pa.list_(pa.int64()))], names=["id", "row", *names, "places"])
+                [batch.column(0), batch.column(1), pa.array([set_hash(h) for h in hashes], pa.int64()),
+                 *(pa.array(fps[:, i]) for i in range(words)), pa.array([places(t) for t in texts], pa.list_(pa.int64()))],
+                names=["id", "row", "node", *names, "places"])
 
-    schema = f"id {kind}, row bigint, {', '.join(f'{n} bigint' for n in names)}, places array<bigint>"
+    schema = f"id {kind}, row bigint, node bigint, {', '.join(f'{n} bigint' for n in names)}, places array<bigint>"
     return docs.select(id_col, row_key(id_col, text_col), text_col).mapInArrow(run, schema)
 
 
+def shingle_sets(docs: DataFrame, text_col: str, size: int) -> DataFrame:
+    """(node, shingles): the shingle hashes of every row's text, and the hash of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            hashes = [np.unique(shingle_hashes(t, size)) for t in batch.column(0).to_pylist()]
+            yield batch_of({
+                "node": ([set_hash(h) for h in hashes], pa.int64()),
+                "shingles": ([h.view(np.int64) for h in hashes], pa.list_(pa.int64()))})
+
+    return docs.select(text_col).mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int,
+                  similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose shingle sets have that Jaccard similarity, counted exactly.
+
+    Only the texts of the pairs' nodes, and the few others a Bloom filter lets pass, are read into sets.
+    """
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    texts = Bloom(nodes.join(asked, "node").select(F.col("first.row").alias("row")), "row")
+    sets, _ = saved(shingle_sets(
+        docs.where(texts.may_hold(row_key(id_col, text_col))), text_col, size).dropDuplicates(["node"]), "shingle-sets")
+    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    shared = F.size(F.array_intersect("a", "b"))
+    return pairs.join(left, "u").join(right, "v").where(
+        shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
+
+
 def radius_of(jaccard: float, bits: int) -> int:
     """Bits that differ, on average, between fingerprints of shingle sets of that similarity."""
     return round(bits * math.acos(2 * jaccard / (1 + jaccard)) / math.pi)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
-                     similarity: float = 0.8, slack: int = 4, words: int = 4, bands: int = 24,
-                     band_bits: int = 18) -> DataFrame:
-    """docs without all but one document, that of the smallest id, of every group of near copies.
-
-    Near copies are linked if their fingerprints of 64 * words bits differ in no more bits
-    than shingle sets of the given similarity do on average, plus slack. Candidates agree
-    on one of `bands` bands of `band_bits` bits. Of repeated rows one stays; rows with a
-    null id stay only if their whole group has none.
+                     similarity: float = 0.8, slack: int = 16, words: int = 4, bands: int = 42,
+                     band_bits: int = 18, most: int = 2) -> DataFrame:
+    """docs without near copies: of every group of them the document of the smallest id stays.
+
+    Near copies are linked if the sets of their shingles have at least that Jaccard
+    similarity, which is counted exactly. Candidates are pairs whose fingerprints of
+    64 * words bits differ in no more bits than such sets' do on average, plus slack, and
+    that agree on one of `bands` bands of `band_bits` bits. A round verifies up to `most`
+    candidates of a document in a bucket and lets the copies go; rounds over those that
+    stay, with four times as many candidates each, go on until none is left out.
+
+    Of repeated rows one stays; rows with a null id stay only if their whole group has
+    none. Texts with no word are copies of each other. Other columns pass through, whatever
+    their names, but for `__row`.
     """
     rows, _ = saved(wide_fingerprints(docs, id_col, text_col, size, words, bands, band_bits), "fingerprints")
     fps = [c for c in rows.columns if c.startswith("fp")]
-    whole = F.xxhash64(*fps, "places")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    nodes, _ = saved(rows.groupBy(whole.alias("node"), *fps, "places").agg(
-        first.alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
-    links = near_links(
-        nodes, lambda f: f.select(F.explode("places").alias("place"), "node", *fps),
-        radius_of(similarity, 64 * words) + slack)
-    joined = components(links)
-    linked = nodes.select("node", "first").join(joined, "node")
-    best = linked.groupBy("component").agg(F.min("first").alias("best"))
-    replaced = linked.join(best, "component").where("first <> best").select("node", F.lit(True).alias("gone"))
+    nodes, _ = saved(rows.groupBy("node").agg(
+        first.alias("first"), F.count("*").alias("n"), F.any_value("places").alias("places"),
+        *[F.any_value(c).alias(c) for c in fps]), "distinct-sets")
+    staying, gone_nodes = nodes, None
+    while True:
+        found, _ = saved(near_links(
+            staying, lambda f: f.select(F.explode("places").alias("place"), "node", *fps),
+            radius_of(similarity, 64 * words) + slack, most=most), "candidates")
+        more = not found.where("u IS NULL").isEmpty()
+        links, _ = saved(similar_pairs(
+            found.where("u IS NOT NULL"), nodes, docs, id_col, text_col, size, similarity), "verified")
+        if links.isEmpty() and not more:
+            break
+        linked = nodes.select("node", "first").join(components(links), "node")
+        best = linked.groupBy("component").agg(F.min("first").alias("best"))
+        lost, _ = saved(linked.join(best, "component").where("first <> best").select("node"), "copies")
+        gone_nodes = lost if gone_nodes is None else gone_nodes.union(lost)
+        staying, _ = saved(staying.join(lost, "node", "left_anti"), "staying")
+        most *= 4
     # Every row that is not the first of its node, and all rows of nodes that lost to another.
-    placed = rows.select("id", "row", whole.alias("node")).join(
-        nodes.select("node", "first", "n"), "node").join(replaced, "node", "left")
+    placed = rows.select("id", "row", "node").join(nodes.select("node", "first", "n"), "node")
+    if gone_nodes is not None:
+        placed = placed.join(gone_nodes.withColumn("gone", F.lit(True)), "node", "left")
+    else:
+        placed = placed.withColumn("gone", F.lit(None).cast("boolean"))
     stays = F.col("gone").isNull() & (F.col("row") == F.col("first.row")) & F.col("id").eqNullSafe(F.col("first.id"))
     gone = small_table(placed.where(~stays).select(F.col("id").alias("__id"), F.col("row").alias("__at")).distinct(), "copies")
     keyed = docs.withColumn("__row", row_key(id_col, text_col))

@@ -49,7 +49,7 @@ def test_every_stage_on_its_input(spark, tmp_path):
             if b < a and len(shingles[a] & shingles[b]) >= 0.9 * len(shingles[a] | shingles[b]):
                 assert a not in single
     for d in deduped.keys() - single.keys():
-        assert any(len(shingles[d] & shingles[b]) >= 0.6 * len(shingles[d] | shingles[b]) for b in deduped if b != d)
+        assert any(len(shingles[d] & shingles[b]) >= 0.8 * len(shingles[d] | shingles[b]) for b in deduped if b != d)
     assert private.keys() == single.keys()
     assert not any(base_spans(r.text) for r in private.values())
     marks = {r.doc: [(s.start, s.end, f"[{s.kind.upper()}]") for s in r.spans] + [

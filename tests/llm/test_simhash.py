@@ -136,3 +136,38 @@ def test_near_copies_go_and_others_stay(spark):
     expect = sorted([min(g) for g in groups.values()] + [900, 901, 950, -1])
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == expect
     assert drop_near_copies(docs.where("doc_id < 0")).collect() == []
+
+
+def test_near_copies_are_verified_exactly(spark):
+    """Texts with a passage appended and with scattered edits, from far below the limit to above."""
+    rng = random.Random(21)
+    vocabulary = ["w%d" % i for i in range(5000)]
+    rows, like = [], {}
+    for pair in range(320):
+        words = [rng.choice(vocabulary) for _ in range(300)]
+        other = list(words)
+        if pair % 2:
+            other += [rng.choice(vocabulary) for _ in range(rng.choice([20, 60, 70, 74, 85, 100]))]
+        else:
+            for at in rng.sample(range(300), rng.choice([2, 5, 6, 7, 10])):
+                other[at] = "new%d" % rng.randrange(9999)
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+        a, b = ({tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (words, other))
+        like[2 * pair + 1] = len(a & b) / len(a | b)
+    kept = {r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert {2 * p for p in range(320)} <= kept
+    assert all(d in kept for d, j in like.items() if j < 0.8)
+    close = [d in kept for d, j in like.items() if 0.8 <= j < 0.85]
+    assert len(close) > 40 and sum(close) <= 0.05 * len(close)
+
+
+def test_many_candidates_take_more_rounds(spark):
+    """One bucket of texts that are alike but not alike enough, and copies of the last of them."""
+    rng = random.Random(22)
+    common = ["c%d" % i for i in range(170)]
+    texts = [" ".join([*common, *("t%dx%d" % (t, i) for i in range(30))]) for t in range(12)]
+    texts += [t + " end" for t in texts]
+    ids = rng.sample(range(100), len(texts))
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in drop_near_copies(docs, most=1).collect()}
+    assert kept == {min(ids[t], ids[t + 12]) for t in range(12)}
