@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import dates as dt
 from ..functions import labels as lb
-from ..ml import explain, metrics, models, prep, shapley
+from ..ml import boosting, explain, metrics, models, prep, shapley
 from ..operators import profile
 from ..operators.ordered import exact_medians
 from ..session import materialize
@@ -407,6 +407,72 @@ def m10(c):
     return compared([(n, rows, t) for n, (rows, t) in zip(STRATEGIES, parts)], "y_probs", "grave")
 
 
+# Columns of which one Newton tree with one test is compared, and its rate and ridge.
+STUMP_FEATURES = ("lum", "atm", "col", "catu")
+STUMP = boosting.Settings(trees=1, depth=1, rate=0.05, rows=1.0, columns=1.0, ridge=1.0)
+
+
+@query("m10_newton_stumps", SCORED_SQL + ", l AS (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, {f} AS x, count(*) AS n, sum(y) AS k FROM sc GROUP BY 2" for f in STUMP_FEATURES) + """),
+ t AS (SELECT count(*)::DOUBLE AS tn, sum(y)::DOUBLE / count(*) AS p FROM sc),
+ c AS (SELECT feature, x, sum(n) OVER w AS n, sum(k) OVER w AS k FROM l WINDOW w AS (PARTITION BY feature ORDER BY x)),
+ v AS (SELECT feature, x, n * p - k AS g, n * p * (1 - p) AS hl, (tn - n) * p * (1 - p) AS hr FROM c, t WHERE n < tn),
+ b AS (SELECT *, g * g / (hl + 1) + g * g / (hr + 1) AS gain FROM v WHERE hl >= 1 AND hr >= 1)
+ SELECT feature, x::DOUBLE AS seuil, round(gain, 5) AS gain, round(-0.05::DOUBLE * g / (hl + 1), 7) AS feuille_basse,
+  round(0.05::DOUBLE * g / (hr + 1), 7) AS feuille_haute FROM b QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, x) = 1""")
+def m10_stumps(c):
+    """Best test of each column, its gain and Newton leaves, by a boosted model of one tree over all persons."""
+    rows = c.once("stumps", lambda: materialize(scored_rows(c).select("id_usager", "y", *STUMP_FEATURES), "stumps"))
+    found = []
+    for f in STUMP_FEATURES:
+        model = boosting.fit(rows, [f], "y", ["id_usager"], None, STUMP)
+        tree = model.trees[0]
+        found.append((f, float(model.edges[0][tree.cut[0]]), float(tree.gain[0]), float(tree.leaf[0]), float(tree.leaf[1])))
+    table = c.spark.createDataFrame(found, "feature string, seuil double, gain double, feuille_basse double, feuille_haute double")
+    return rounded(rounded(table, 5, "gain"), 7, "feuille_basse", "feuille_haute")
+
+
+#: Trees of the registered Newton models; `boosting.Settings` asks for 300, at four passes a tree.
+NEWTON_TREES = 40
+
+
+def newton(c, weighted=False):
+    train, _, features = model_data(c)
+
+    def fit():
+        rows = prep.with_class_weights(train) if weighted else train.withColumn("poids", F.lit(1.0))
+        return boosting.fit(rows, features, "grave", train.columns, F.col("poids"), boosting.Settings(trees=NEWTON_TREES))
+
+    return c.fitted(("newton", weighted), fit)
+
+
+def newton_scores(c, part, weighted=False):
+    train, test, _ = model_data(c)
+    rows = train if part == "train" else test
+    return c.once(("newton", part, weighted), lambda: materialize(
+        boosting.scored(newton(c, weighted), rows).select("grave", "y_probs"), "scores"))
+
+
+@query("m10_newton_boosting")
+def m10_newton(c):
+    """The comparison of m10 for Newton trees with a sample of columns for each tree."""
+    on_test = newton_scores(c, "test")
+    best = metrics.best_f1_threshold(newton_scores(c, "train"), "y_probs", "grave").head()["seuil"]
+    parts = ((on_test, 0.5), (newton_scores(c, "test", True), 0.5), (on_test, best))
+    return compared([(n, rows, t) for n, (rows, t) in zip(STRATEGIES, parts)], "y_probs", "grave")
+
+
+@query("m10_newton_rounds")
+def m10_rounds(c):
+    """Columns, leaves and log-loss of every round."""
+    return boosting.rounds(newton(c), c.spark)
+
+
+@query("m19_newton_importance")
+def m19_newton(c):
+    return ranked(boosting.importances(newton(c), c.spark), "importance")
+
+
 @query("m11_forest_importance")
 def m11(c):
     train, _, features = model_data(c)
