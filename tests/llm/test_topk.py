@@ -72,3 +72,55 @@ def test_trees_cover_and_prune():
     products[np.arange(200), np.arange(200)] = topk.LOWEST
     want = np.lexsort((np.broadcast_to(np.arange(3000), products.shape), -products), axis=1)[:, :10]
     assert (best.id == want).all()
+
+
+def levels(node):
+    return 1 + max(map(levels, node.kids)) if node.kids else 0
+
+
+def test_levels_without_single_points():
+    rng = np.random.default_rng(6)
+    noise = rng.normal(size=(2000, 64))
+    points = np.floor(1024 * noise / np.linalg.norm(noise, axis=1)[:, None])
+    tree = cover_tree(points)
+    waiting = [tree]
+    while waiting:
+        node = waiting.pop()
+        assert len(node.kids) <= topk.FANOUT
+        assert len(node.points) >= topk.LEAF // 2
+        assert node.kids or len(node.points) <= topk.LEAF
+        waiting += node.kids
+    assert levels(tree) >= 3
+
+
+@pytest.mark.parametrize("spread", [1.0, 60.0])
+def test_floors_of_another_block(spread):
+    """What one block finds lets the next start higher, and nothing at or above the floor is lost."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 16)) * 300
+    points = np.floor(centres[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 16)) * spread)
+    asks, k = points[::40], 5
+    own = np.arange(0, 2000, 40)
+    halves = [(points[:1000], np.arange(1000)), (points[1000:], np.arange(1000, 2000))]
+    work, found, floors = [], [], None
+    for data, ids in halves:
+        best = Best(own, k, floors)
+        work.append(dual_search(asks, cover_tree(asks), data, cover_tree(data), [np.array([i]) for i in ids], best))
+        floors = best.limit
+        found.append(best)
+    alone = dual_search(asks, cover_tree(asks), halves[1][0], cover_tree(halves[1][0]), [np.array([i]) for i in halves[1][1]], Best(own, k))
+    assert work[1] <= alone
+    scores, ids = (np.concatenate([getattr(b, a) for b in found], axis=1) for a in ("score", "id"))
+    products = (asks @ points.T).astype(np.int64)
+    products[np.arange(len(own)), own] = topk.LOWEST
+    want = np.lexsort((np.broadcast_to(np.arange(2000), products.shape), -products), axis=1)[:, :k]
+    assert (np.take_along_axis(ids, np.lexsort((ids, -scores), axis=1)[:, :k], axis=1) == want).all()
+
+
+def test_vector_that_fills_a_third_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    rows = [(i, [1.0, 0.5] if i % 3 == 0 else [float(i % 7) / 8, float(i % 5) / 8]) for i in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = top_k(frame, frame.where("vec_id % 20 = 0"), k=10)
+    assert {tuple(r) for r in got.collect()} == plain(rows, set(range(0, 400, 20)), 10)
