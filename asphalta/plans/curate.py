@@ -49,13 +49,13 @@ def read_text_table(spark: SparkSession, path: str | Sequence[str], sep: str = "
             .option("encoding", encoding).csv(path))
 
 
-def clean_registry_file(raw: DataFrame, department: str) -> DataFrame:
-    """Headers, empty rows, sentinels, accident key, department, repeated rows."""
+def clean_registry_file(raw: DataFrame, department: str | None) -> DataFrame:
+    """Headers, empty rows, sentinels, accident key, department (None: all), repeated rows."""
     df = shape.clean_headers(raw, blanks=None, lower=False)
     df = shape.sentinels_to_null(shape.drop_all_null_rows(df))
     df = shape.normalise_key(df, "Num_Acc", ACCIDENT_ALIASES)
     dep = shape.resolve_column(df.columns, DEPARTMENT_ALIASES)
-    if dep is not None:
+    if dep is not None and department is not None:
         df = df.where(shape.in_department(F.col(dep), department))
     return df.distinct()
 
@@ -68,7 +68,7 @@ def lanes_per_accident(roads: DataFrame, order: Sequence[str]) -> DataFrame:
         "intersection", F.col("nb_voies_intersection") > 1)
 
 
-def curate_registry(spark: SparkSession, folder: str, department: str = "75",
+def curate_registry(spark: SparkSession, folder: str, department: str | None = "75",
                     encoding: str = "ISO-8859-1") -> dict[str, DataFrame]:
     """Yearly registry files to one frame per table, plus a cleaning report."""
     stacked: dict[str, list[DataFrame]] = {}

@@ -153,7 +153,7 @@ def enrich(rows: DataFrame, traffic_weeks: DataFrame, weather_days: DataFrame,
 
 
 class Star:
-    """The star schema of one :class:`~asphalta.plans.views.Domain`, built as needed."""
+    """The star schema of a :class:`~asphalta.plans.views.Domain` or :class:`~asphalta.plans.raw.RawDomain`, built as needed."""
 
     def __init__(self, domain):
         self.domain = domain
@@ -172,7 +172,7 @@ class Star:
 
     @cached_property
     def dim_population(self) -> DataFrame:
-        return dim_population(self.domain.population)
+        return dim_population(self.domain.population, self.domain.population_measure)
 
     @cached_property
     def dim_meteo(self) -> DataFrame:
@@ -185,8 +185,7 @@ class Star:
     @cached_property
     def dim_traffic(self) -> DataFrame:
         """A dimension is a table at rest; writing it also ends a long plan."""
-        weekly = traffic.weekly_aggregate(self.domain.trafic)
-        return materialize(traffic.traffic_dimension(weekly), "dim-traffic")
+        return materialize(traffic.traffic_dimension(self.domain.weekly), "dim-traffic")
 
     @cached_property
     def located(self) -> DataFrame:

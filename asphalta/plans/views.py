@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 class Domain:
     """Lazy access to raw tables and road-safety views of one data folder."""
 
+    #: Column of the population's measure, where it holds several.
+    population_measure = None
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self._tables: dict[str, DataFrame] = {}
@@ -87,6 +90,13 @@ class Domain:
             F.concat(F.lit("trafic_"), iso_week_key(F.col("ts")), F.lit(".txt"))
             .alias("fichier_source"))
 
+    @cached_property
+    def weekly(self) -> DataFrame:
+        """One row per sensor and weekly file."""
+        from ..operators.traffic import weekly_aggregate
+
+        return weekly_aggregate(self.trafic)
+
     @cached_property
     def ref_geo(self) -> DataFrame:
         """Sensors and their positions."""
