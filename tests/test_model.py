@@ -212,3 +212,15 @@ def test_forest_importances_and_method_table(spark, fitted):
     table = explain.top_by_method({"forest": forest, "boosted": models.importances(model, ["a", "b"], spark)}, k=1)
     assert sorted((r["methode"], r["feature"], r["rang"]) for r in table.collect()) == [
         ("boosted", "a", 1), ("forest", "a", 1)]
+
+
+def test_a_measure_that_is_nowhere_known_does_not_stop_a_model(spark):
+    """Medians of a column without values are NULL; its gaps must not reach the models."""
+    rows = [(f"{i}", f"{i}_1_1", f"202401{1 + i % 20:02d}", 2 if i % 3 else 1, float(i % 7), 1.0 + i % 5, 0.0, None) for i in range(200)]
+    enriched = spark.createDataFrame(rows, "num_acc string, id_usager string, aaaammjj string, grav int, q_moyen double, "
+                                           "k_moyen double, meteo_precipitations double, meteo_temp_moy double")
+    table, features = prep.feature_table(enriched)
+    assert "meteo_temp_moy" in features and prep.fit_imputation(enriched, ["meteo_temp_moy"]) == {}
+    assert table.where(" OR ".join(f"{f} IS NULL" for f in features)).count() == 0
+    forest = models.importances(models.fit_forest(table, features, trees=2, depth=2), features, spark)
+    assert forest.where("feature = 'meteo_temp_moy'").head()["importance"] == 0.0
