@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from asphalta.functions import labels as lb
 from asphalta.operators import association as assoc
-from asphalta.operators import linking, ordered, profile, severity, shape, temporal, traffic
+from asphalta.operators import linking, matrices, ordered, profile, severity, shape, temporal, traffic
 
 
 def rows(df, *names):
@@ -281,3 +281,17 @@ def test_mutual_information_extremes(spark):
     got = {r["variable"]: r["mutual_info"] for r in assoc.mutual_information(df, ["same", "free", "flat"], "y").collect()}
     assert got["same"] == pytest.approx(np.log(2))
     assert got["flat"] == pytest.approx(0, abs=1e-12) and 0 <= got["free"] < 0.01
+
+
+@pytest.mark.parametrize("held", [0, 20, 1_000_000])
+def test_spearman_ranks_inside_tasks_and_by_join(spark, held):
+    """Columns ranked in tasks, by join or both give the ranks of plain counting; rows are never exploded otherwise."""
+    rng = np.random.default_rng(7)
+    rows = [tuple(None if rng.random() < gap else float(rng.integers(0, top)) for top, gap in (
+        (4, 0.0), (9, 0.2), (300, 0.2), (300, 0.0))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = {(r["var1"], r["var2"]): (r["rho"], r["n"]) for r in matrices.spearman(df, list("abcd"), held).collect()}
+    for i, j in ((i, j) for i in range(4) for j in range(i + 1, 4)):
+        both = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+        x, y = (ranks(list(v)) for v in zip(*both))
+        assert got["abcd"[i], "abcd"[j]] == (pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9), len(both))
