@@ -295,3 +295,19 @@ def test_spearman_ranks_inside_tasks_and_by_join(spark, held):
         both = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
         x, y = (ranks(list(v)) for v in zip(*both))
         assert got["abcd"[i], "abcd"[j]] == (pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9), len(both))
+
+
+def test_running_counts_need_one_shuffle_and_equal_the_bucketed_ones(spark, monkeypatch):
+    """Few values a sensor: one exchange; the way for many gives the same rows. Files without a name take no part."""
+    rng = np.random.default_rng(3)
+    known = [(f, s, float(rng.integers(0, 40)) if rng.random() < 0.9 else None, float(rng.integers(0, 9)))
+             for f in ("a", "b", None) for s in ("1", "2") for _ in range(60)]
+    readings = spark.createDataFrame(known, "fichier_source string, iu_ac string, q double, k double").withColumn(
+        "t_1h", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    counts = traffic.materialize(traffic.value_counts(readings), "counts")
+    plan = traffic.running_counts(counts)
+    names = ("fichier_source", "iu_ac", "variable", "value", "n", "n_before", "n_total")
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    few = sorted(map(str, plan.select(*names).collect()))
+    monkeypatch.setattr(traffic, "SMALL_GROUP", 0)
+    assert few and few == sorted(map(str, traffic.running_counts(counts).select(*names).collect()))
