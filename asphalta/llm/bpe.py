@@ -146,17 +146,19 @@ class Backtracking:
 
     def word(self, letters: str) -> list[int]:
         """Token ranks of a word over the alphabet of bytes and word-ending bytes."""
-        longest = self._longest(letters)
+        longest, length_of, joins = self._longest(letters), self.length_of, self.joins
         out: list[int] = []
         at, dead = 0, bytearray(len(letters) + 1)
         token = longest[0] if letters else -1
         while at < len(letters):
-            end = at + self.length_of[token]
-            if not dead[end] and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at = end
-                token = longest[at] if at < len(letters) else -1
-                continue
+            end = at + length_of[token]
+            if not dead[end]:
+                joined = not out or joins.get((out[-1], token))
+                if joined or joined is None and self.compatible(out[-1], token):
+                    out.append(token)
+                    at = end
+                    token = longest[at] if at < len(letters) else -1
+                    continue
             while (token := self.shorter[token]) < 0:
                 dead[at] = 1
                 token = out.pop()
@@ -165,11 +167,10 @@ class Backtracking:
 
     def _longest(self, letters: str) -> list[int]:
         """The longest token that starts at each place."""
-        best = [-1] * len(letters)
+        best, length_of = [-1] * len(letters), self.length_of
+        # Matches come by their ends, so the last one from a place is the longest.
         for end, token in self.automaton.iter(letters):
-            start = end + 1 - self.length_of[token]
-            if best[start] < 0 or self.length_of[best[start]] < self.length_of[token]:
-                best[start] = token
+            best[end + 1 - length_of[token]] = token
         return best
 
     def _decoder_tables(self, vocabulary: dict[str, int]) -> None:
@@ -214,14 +215,14 @@ class Backtracking:
                 ids.append(self.special[part])
                 continue
             kept = self.chunks
-            for chunk in self._chunks(part):
-                found = kept.new.get(chunk)
+            chunks = self._chunks(part)
+            for chunk, found in zip(chunks, map(kept.new.get, chunks)):
                 if found is None and (found := kept.get(chunk)) is None:
                     found = kept.put(chunk, self.ids_of_chunk(chunk))
                 ids += found
         return ids
 
-    def _chunks(self, part: str) -> Iterable[str]:
+    def _chunks(self, part: str) -> list[str]:
         """Runs of characters between blanks; no word goes over one."""
         if part.isascii() and not any(c in part for c in "\x1c\x1d\x1e\x1f"):
             return part.split()
@@ -249,16 +250,23 @@ def decode(encoded: DataFrame, ids_col: str = "ids", tokenizer: str | None = Non
     """encoded with decoded, the text of the ids."""
     path = tokenizer or default_tokenizer()
     return _with(encoded, ids_col, "decoded", T.StringType(), pa.string(),
-                 lambda rows: (coder(path).decode(ids or ()) for ids in rows))
+                 lambda rows: map(coder(path).decode, rows), id_lists)
+
+
+def id_lists(column: pa.ListArray) -> list[list[int]]:
+    """The lists of a column, empty where null, cut from one list of all values."""
+    values = column.flatten().to_numpy(zero_copy_only=False).tolist()
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    return [values[start:end] for start, end in zip([0, *ends], ends)]
 
 
-def _with(df: DataFrame, source: str, name: str, kind: T.DataType, arrow: pa.DataType, make) -> DataFrame:
+def _with(df: DataFrame, source: str, name: str, kind: T.DataType, arrow: pa.DataType, make, read=pa.Array.to_pylist) -> DataFrame:
     through = df.drop(name) if name != source else df
     place = through.columns.index(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            made = pa.array(list(make(batch.column(place).to_pylist())), arrow)
+            made = pa.array(list(make(read(batch.column(place)))), arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
 
     return through.mapInArrow(run, T.StructType([*through.schema.fields, T.StructField(name, kind)]))

@@ -2,11 +2,13 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from asphalta.llm import bpe
 from asphalta.llm.bpe import Backtracking, decode, encode
 from asphalta.llm.tokens import default_tokenizer
 
@@ -60,3 +62,10 @@ def test_rows(spark, library):
     assert sorted((str(r.doc_id), str(r.text), r.ids, r.decoded, r.extra) for r in got) == sorted(
         (str(d), str(t), ids, library.decode(ids, skip_special_tokens=False), "e") for d, t, ids in want)
     assert decode(encode(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
+
+
+def test_id_lists_of_nulls_empties_and_slices():
+    """Lists cut from one list of values, without an object made for each value of the column."""
+    column = pa.array([[1, 2], None, [], [3], [4, 5, 6]], pa.list_(pa.int32()))
+    assert bpe.id_lists(column) == [[1, 2], [], [], [3], [4, 5, 6]]
+    assert bpe.id_lists(column.slice(1, 3)) == [[], [], [3]] and bpe.id_lists(column.slice(5)) == []
