@@ -1,12 +1,14 @@
 """Token ids of whole texts by the tokenizers library, asked once for each new word.
 
 The tokenizer drops white space and never joins across it, so a text's ids are the ids
-of its white-space separated chunks in order. A task keeps the ids of chunks it has
-seen. Of new ones, those of Latin letters only, or with one mark after them, are reduced
-to the word in lower case and encoded many to a call; each is one word to the tokenizer,
-so its ids reach to the next that ends a word. All others are encoded one by one. Texts
-that hold a special token's string or one of the four control characters that Python,
-but not the tokenizer, takes for white space go to the library whole.
+of its white-space separated chunks in order. Arrow splits a batch of texts and tells
+the different chunks apart, so that only those reach Python. Chunks of Latin letters
+only, or with one mark after them, are reduced to the word in lower case. A task keeps
+the ids of words it has seen. New ones of letters are encoded many to a call; each is
+one word to the tokenizer, so its ids reach to the next that ends a word. All other
+chunks are encoded one by one. Texts that hold a special token's string or one of the
+four control characters that Arrow, but not the tokenizer, takes for white space go to
+the library whole.
 """
 
 from __future__ import annotations
@@ -16,7 +18,11 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Chunks kept by a task, in each of two generations; a full one takes the older's place.
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Words kept by a task, in each of two generations; a full one takes the older's place.
 WORDS_KEPT = 400_000
 #: Words encoded in one call.
 AT_ONCE = 2000
@@ -66,9 +72,9 @@ class WordEncoder:
         firsts = "".join({re.escape(t.content[0]) for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.suspect = re.compile(f"[{firsts}\x1c-\x1f]")
         vocabulary = self.tokenizer.get_vocab()
-        ends = {i for t, i in vocabulary.items() if t.endswith("</w>")}
-        self.ends = bytes(i in ends for i in range(max(vocabulary.values()) + 1))
-        self.marks = {m: self._library([m])[0] for m in MARKS} | {"": b""}
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = pa.array([*self._library(list(MARKS)), b""], pa.large_binary())
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -80,61 +86,62 @@ class WordEncoder:
         """Ids of words of Latin letters in lower case."""
         out = []
         for at in range(0, len(words), AT_ONCE):
-            [found] = self.tokenizer.encode_batch_fast([" ".join(words[at:at + AT_ONCE])], add_special_tokens=False)
-            ids, ends, start = array("I", found.ids), self.ends, 0
+            part = words[at:at + AT_ONCE]
+            [found] = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(cuts) != len(part):
+                raise ValueError("the tokenizer cuts words of letters")
             raw = ids.tobytes()
-            for end, i in enumerate(ids, 1):
-                if ends[i]:
-                    out.append(raw[4 * start:4 * end])
-                    start = end
-        if len(out) != len(words):
-            raise ValueError("the tokenizer cuts words of letters")
+            out += [raw[a:b] for a, b in zip([0, *cuts], cuts)]
         return out
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Add new chunks to the words kept."""
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of new words, which are added to those kept."""
         if len(self.words) > WORDS_KEPT:
             self.older, self.words = self.words, {}
-        words, older = self.words, self.older
-        forms: list[tuple[str, str, str]] = []
-        plain: set[str] = set()
-        others: list[str] = []
-        for chunk in chunks:
-            if (known := older.get(chunk)) is not None:
-                words[chunk] = known
-                continue
-            body, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in MARKS else (chunk, "")
-            if body.isalpha() and (body.isascii() or PLAIN.fullmatch(body)):
-                word = body.lower()
-                forms.append((chunk, word, mark))
-                if word not in words:
-                    plain.add(word)
+        learnt, plain, others = {}, [], []
+        for word in new:
+            if (known := self.older.get(word)) is not None:
+                learnt[word] = known
             else:
-                others.append(chunk)
-        new = list(plain)
-        words.update(zip(new, self._plain_words(new)))
-        words.update(zip(others, self._library(others)))
-        for chunk, word, mark in forms:
-            words[chunk] = words[word] + self.marks[mark]
+                (plain if PLAIN.fullmatch(word) else others).append(word)
+        learnt.update(zip(plain, self._plain_words(plain)))
+        learnt.update(zip(others, self._library(others)))
+        self.words.update(learnt)
+        return learnt
+
+    def _chunks(self, chunks: pa.Array) -> pa.Array:
+        """Ids of different chunks: those of the word in lower case and of the mark, or of the chunk as it is."""
+        plain = pc.match_substring_regex(chunks, f"^{PLAIN.pattern}[{MARKS}]?$")
+        words = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(chunks, MARKS)), chunks).dictionary_encode()
+        names = words.dictionary.to_pylist()
+        ids = list(map(self.words.get, names))
+        if None in ids:
+            learnt = self._learn([w for w, i in zip(names, ids) if i is None])
+            ids = [learnt[w] if i is None else i for w, i in zip(names, ids)]
+        mark = pc.index_in(pc.utf8_slice_codeunits(chunks, -1), pa.array(list(MARKS)))
+        mark = pc.fill_null(pc.if_else(plain, mark, None), len(MARKS))
+        return pc.binary_join_element_wise(
+            pa.array(ids, pa.large_binary()).take(words.indices), self.marks.take(mark), pa.scalar(b"", pa.large_binary()))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        texts = [t or "" for t in texts]
         suspect, whole = self.suspect.search, self.whole.search
-        split = [None if suspect(t) and whole(t) else t.split() for t in (t or "" for t in texts)]
-        get, new = self.words.get, set()
-        found = [list(map(get, s)) if s is not None else [] for s in split]
-        for s, ids in zip(split, found):
-            if None in ids:
-                new.update([w for w, i in zip(s, ids) if i is None])
-        if new:
-            self._learn(new)
-        get = self.words.get
-        out = []
-        for t, s, ids in zip(texts, split, found):
-            if s is None:
-                ids = self._library([t])
-            elif None in ids:
-                ids = [get(w) if i is None else i for w, i in zip(s, ids)]
-            out.append(b"".join(ids))
+        apart = [i for i, t in enumerate(texts) if suspect(t) and whole(t)]
+        rest = list(texts)
+        for i in apart:
+            rest[i] = ""
+        split = pc.utf8_split_whitespace(pa.array(rest, pa.string()))
+        chunks = split.flatten().dictionary_encode()
+        ids = self._chunks(chunks.dictionary).take(chunks.indices)
+        # The ids of all chunks lie one after another; a text's reach from its first chunk to the next text's.
+        _, ends, raw = ids.buffers()
+        cuts = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
+        data = memoryview(raw or b"")
+        out = [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:])]
+        for i in apart:
+            [out[i]] = self._library([texts[i]])
         return out
 
 

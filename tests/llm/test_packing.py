@@ -105,6 +105,19 @@ def test_words_encode_like_whole_texts():
     assert encoder.encode(texts) == [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_forms_of_a_word_are_kept_once():
+    encoder, plain = WordEncoder(default_tokenizer()), Tokenizer.from_file(default_tokenizer())
+    texts = ["Été été. ÉTÉ! été,", " WORD word;\u2003Word: word?\x85\n", ""]
+    assert encoder.encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert sorted(w for w in encoder.words if w) == ["word", "été"]
+
+
+def test_every_character_between_words():
+    encoder, plain = WordEncoder(default_tokenizer()), Tokenizer.from_file(default_tokenizer())
+    texts = [f"Ab{c}Cd{c}" for c in map(chr, [*range(0x300), *range(0x1680, 0x1690), *range(0x2000, 0x2070), 0x3000, 0xfeff])]
+    assert encoder.encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_words_kept_in_two_generations(monkeypatch):
     monkeypatch.setattr(tokens, "WORDS_KEPT", 20)
     encoder, plain, rng = WordEncoder(default_tokenizer()), Tokenizer.from_file(default_tokenizer()), random.Random(2)
