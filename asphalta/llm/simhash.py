@@ -39,6 +39,8 @@ from .components import components
 
 SEED = 42
 SHARD = 8192
+#: Pairs of a query and a node that a search may reach at once: some 200 bytes each.
+CHUNK = 1 << 17
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -162,7 +164,7 @@ def lowest_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
 
 
 def found_pairs(values: np.ndarray, bucket: np.ndarray, in_tree: np.ndarray, asks: np.ndarray,
-                radius: int, chunk: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                radius: int, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, item) index pairs within the radius, some queries at a time; bucket must be sorted.
 
     in_tree: the item is part of its bucket's tree; asks: it is a query to that tree.
@@ -185,9 +187,9 @@ def found_pairs(values: np.ndarray, bucket: np.ndarray, in_tree: np.ndarray, ask
         tree = {**spread, "kids": members[tree["kids"]]}
     queries = np.flatnonzero(asks & (roots[group] >= 0))
     sizes = np.bincount(group, minlength=len(starts))[group[queries]]
-    cuts = np.searchsorted(np.cumsum(sizes), np.arange(chunk * 16, int(sizes.sum()) + chunk * 16, chunk * 16), "right")
+    cuts = np.searchsorted(np.cumsum(sizes), np.arange(chunk, int(sizes.sum()) + chunk, chunk), "right")
     at = 0
-    for end in cuts:  # bounded work: about a million (query, node) pairs at most at a time
+    for end in cuts:  # bounded work: about `chunk` (query, node) pairs at most at a time
         end = max(int(end), at + 1)
         part = queries[at:end]
         if len(part):
@@ -196,7 +198,7 @@ def found_pairs(values: np.ndarray, bucket: np.ndarray, in_tree: np.ndarray, ask
 
 
 def link_buckets(values: np.ndarray, bucket: np.ndarray, in_tree: np.ndarray, asks: np.ndarray,
-                 radius: int, chunk: int = 1 << 16) -> np.ndarray:
+                 radius: int, chunk: int = CHUNK) -> np.ndarray:
     """The lowest linked index of every item."""
     label = np.arange(len(values))
     for q, i in found_pairs(values, bucket, in_tree, asks, radius, chunk):
@@ -205,16 +207,20 @@ def link_buckets(values: np.ndarray, bucket: np.ndarray, in_tree: np.ndarray, as
 
 
 def pair_buckets(values: np.ndarray, bucket: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, radius: int,
-                 most: int, chunk: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs (item, lower item) within the radius: the `most` lowest of every item, and whether there were more."""
+                 most: int, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs (item, lower item) within the radius: the `most` lowest of every query, and whether there were more.
+
+    A pair that both its items find counts for the later one only.
+    """
     later, lower, more = [np.empty(0, np.int64)], [np.empty(0, np.int64)], False
     for q, i in found_pairs(values, bucket, in_tree, asks, radius, chunk):
-        pairs = np.unique(np.stack([np.maximum(q, i), np.minimum(q, i)], axis=1)[q != i], axis=0)
-        first = np.searchsorted(pairs[:, 0], pairs[:, 0], "left")
-        near = np.arange(len(pairs)) - first < most
+        once = (i < q) | ~(in_tree[q] & asks[i])
+        order = np.lexsort((i[once], q[once]))
+        q, i = q[once][order], i[once][order]
+        near = np.arange(len(q)) - np.searchsorted(q, q, "left") < most
         more |= not near.all()
-        later.append(pairs[near, 0])
-        lower.append(pairs[near, 1])
+        later.append(np.maximum(q, i)[near])
+        lower.append(np.minimum(q, i)[near])
     return np.concatenate(later), np.concatenate(lower), more
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words kept by a task, in each of two generations; a full one takes the older's place.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 #: Words encoded in one call.
 AT_ONCE = 2000
 #: Letters with one code point each that are their own composed form and whose lower case is one letter.

@@ -1,6 +1,7 @@
 """SimHash groups against brute force: all pairs of a small fixture."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import xxhash
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from asphalta.llm import simhash
 from asphalta.llm.components import components
-from asphalta.llm.simhash import agreeing_blocks, drop_near_copies, link_buckets, near_links, simhash_groups
+from asphalta.llm.simhash import agreeing_blocks, drop_near_copies, link_buckets, near_links, pair_buckets, simhash_groups
 
 
 def plain_fingerprint(text, size=4):
@@ -171,3 +172,37 @@ def test_many_candidates_take_more_rounds(spark):
     docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
     kept = {r.doc_id for r in drop_near_copies(docs, most=1).collect()}
     assert kept == {min(ids[t], ids[t + 12]) for t in range(12)}
+
+
+def test_pairs_do_not_depend_on_the_queries_at_once():
+    rng = np.random.default_rng(3)
+    values = np.repeat(rng.integers(0, 1 << 63, (20, 4)).astype(np.uint64), 30, axis=0)
+    bucket, on = np.repeat([0, 1, 2], 200), np.ones(600, bool)
+    found = []
+    for chunk in (40, 1000, 1 << 20):
+        later, lower, more = pair_buckets(values, bucket, on, on, 55, 3, chunk)
+        assert more and np.bincount(later).max() <= 3
+        found.append(sorted(zip(later.tolist(), lower.tolist())))
+    assert found[0] == found[1] == found[2]
+    later, lower, more = pair_buckets(values, bucket, on, on, 55, 600, 40)
+    same = (values[:, None] == values[None]).all(axis=2) & (bucket[:, None] == bucket[None])
+    assert not more and set(zip(later.tolist(), lower.tolist())) == {
+        (i, j) for i in range(600) for j in range(i) if same[i, j]}
+
+
+def test_pairs_between_two_shards():
+    values = np.zeros((12, 4), np.uint64)
+    in_tree = np.arange(12) % 2 == 0
+    later, lower, more = pair_buckets(values, np.zeros(12, np.int64), in_tree, ~in_tree, 55, 12, 8)
+    assert not more and set(zip(later.tolist(), lower.tolist())) == {
+        (max(i, j), min(i, j)) for i in range(0, 12, 2) for j in range(1, 12, 2)}
+
+
+def test_memory_of_a_search_in_a_large_bucket():
+    values = np.random.default_rng(4).integers(0, 1 << 63, (4096, 4)).astype(np.uint64)
+    on = np.ones(4096, bool)
+    tracemalloc.start()
+    pair_buckets(values, np.zeros(4096, np.int64), on, on, 55, 2)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 50e6
