@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from asphalta import session
 from asphalta.ml import explain, metrics, models, prep
 from asphalta.operators.ordered import Balance, value_bounds
 
@@ -224,3 +225,15 @@ def test_a_measure_that_is_nowhere_known_does_not_stop_a_model(spark):
     assert table.where(" OR ".join(f"{f} IS NULL" for f in features)).count() == 0
     forest = models.importances(models.fit_forest(table, features, trees=2, depth=2), features, spark)
     assert forest.where("feature = 'meteo_temp_moy'").head()["importance"] == 0.0
+
+
+def test_small_tables_are_dealt_over_the_cores(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    one = spark.range(100).select(F.col("id").cast("double").alias("a"), (F.col("id") % 2).alias("grave")).coalesce(1)
+    assert session.spread(one).rdd.getNumPartitions() == 2
+    assert sorted(session.spread(one).collect()) == sorted(one.collect())
+    assert session.spread(one.where("a < 60")).rdd.getNumPartitions() == 1
+    assert session.spread(one.repartition(5)).rdd.getNumPartitions() == 5
+    base, n = explain.numbered_base(one, ["a"], "grave", 1)
+    assert n == 100 and base.rdd.getNumPartitions() >= 2
+    assert sorted(r.id for r in base.collect()) == list(range(100))
