@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from .common import query, saved, small_batches, table
+from .common import query, saved, table, text_batches
 from .tokens import default_tokenizer, encoder
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, how many), ...), number of sequences
@@ -155,7 +155,7 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        for batch in small_batches(batches):
+        for batch in text_batches(batches, 1):
             texts = [ids + end for ids in encode(batch.column(1).to_pylist())]
             pieces = [(row, at, ids[at:at + step]) for row, ids in enumerate(texts) for at in range(0, len(ids), step)]
             rows, starts, ids = zip(*pieces) if pieces else ((), (), ())

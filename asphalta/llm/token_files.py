@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import fresh_path
-from .common import make_folder, query, row_key, saved, small_batches, table
+from .common import make_folder, query, row_key, saved, small_batches, table, text_batches
 from .tokens import default_tokenizer, encoder
 
 MAGIC = b"DAC1"
@@ -159,7 +159,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
                 [pa.array([part]), pa.array([number]), pa.array([name]), pa.array([len(texts)]), pa.array([len(ids)])],
                 names=["part", "file", "name", "documents", "ids"])
 
-        for batch in small_batches(batches):
+        for batch in text_batches(batches, 2):
             names.append(batch.column(0))
             coded = [ids + end for ids in encode(batch.column(2).to_pylist())]
             texts += coded

@@ -4,11 +4,11 @@ The tokenizer drops white space and never joins across it, so a text's ids are t
 of its white-space separated chunks in order. Arrow splits a batch of texts and tells
 the different chunks apart, so that only those reach Python. Chunks of Latin letters
 only, or with one mark after them, are reduced to the word in lower case. A task keeps
-the ids of words it has seen. New ones of letters are encoded many to a call; each is
-one word to the tokenizer, so its ids reach to the next that ends a word. All other
-chunks are encoded one by one. Texts that hold a special token's string or one of the
-four control characters that Arrow, but not the tokenizer, takes for white space go to
-the library whole.
+the ids of words it has seen. New ones of ASCII letters go to the tokenizer's model
+alone. Others of letters are encoded many to a call; each is one word to the tokenizer,
+so its ids reach to the next that ends a word. All other chunks are encoded one by one.
+Texts that hold a special token's string or one of the four control characters that
+Arrow, but not the tokenizer, takes for white space go to the library whole.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words kept by a task, in each of two generations; a full one takes the older's place.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 100_000
 #: Words encoded in one call.
 AT_ONCE = 2000
 #: Letters with one code point each that are their own composed form and whose lower case is one letter.
@@ -75,6 +75,9 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.marks = pa.array([*self._library(list(MARKS)), b""], pa.large_binary())
+        # Whether the model alone gives the ids of ASCII words, tried on those of the vocabulary.
+        tried = [t[:-4] for t in vocabulary if re.fullmatch("[a-z]+</w>", t)][:AT_ONCE]
+        self.direct = self._model(tried) == self._library(tried)
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -82,6 +85,11 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _model(self, words: list[str]) -> list[bytes]:
+        """Ids by the model alone, which is spared normalising and cutting."""
+        cut = self.tokenizer.model.tokenize
+        return [array("I", [token.id for token in cut(word)]).tobytes() for word in words]
+
     def _plain_words(self, words: list[str]) -> list[bytes]:
         """Ids of words of Latin letters in lower case."""
         out = []
@@ -100,12 +108,15 @@ class WordEncoder:
         """Ids of new words, which are added to those kept."""
         if len(self.words) > WORDS_KEPT:
             self.older, self.words = self.words, {}
-        learnt, plain, others = {}, [], []
+        learnt, simple, plain, others = {}, [], [], []
         for word in new:
             if (known := self.older.get(word)) is not None:
                 learnt[word] = known
+            elif not PLAIN.fullmatch(word):
+                others.append(word)
             else:
-                (plain if PLAIN.fullmatch(word) else others).append(word)
+                (simple if self.direct and word.isascii() else plain).append(word)
+        learnt.update(zip(simple, self._model(simple)))
         learnt.update(zip(plain, self._plain_words(plain)))
         learnt.update(zip(others, self._library(others)))
         self.words.update(learnt)
@@ -115,7 +126,7 @@ class WordEncoder:
         """Ids of different chunks: those of the word in lower case and of the mark, or of the chunk as it is."""
         plain = pc.match_substring_regex(chunks, f"^{PLAIN.pattern}[{MARKS}]?$")
         words = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(chunks, MARKS)), chunks).dictionary_encode()
-        names = words.dictionary.to_pylist()
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist
         ids = list(map(self.words.get, names))
         if None in ids:
             learnt = self._learn([w for w, i in zip(names, ids) if i is None])

@@ -5,12 +5,14 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from asphalta.llm import packing, tokens
+from asphalta.llm.common import text_batches
 from asphalta.llm.packing import cut_documents, dominating_set, pack, pack_sizes, sequences
 from asphalta.llm.tokens import WordEncoder, default_tokenizer
 
@@ -127,6 +129,22 @@ def test_words_kept_in_two_generations(monkeypatch):
         assert len(encoder.words) < 60
 
 
+def test_ascii_words_go_to_the_model_alone(monkeypatch):
+    """Normalising and cutting took most of the time of a new word."""
+    encoder, plain, rng = WordEncoder(default_tokenizer()), Tokenizer.from_file(default_tokenizer()), random.Random(5)
+    monkeypatch.setattr(encoder, "_plain_words", lambda words: [] if not words else pytest.fail(f"asked the library for {words[:3]}"))
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyzQZ", k=rng.randrange(1, 15))) for _ in range(40)) for _ in range(20)]
+    assert encoder.encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_batches_of_text_are_bounded():
+    texts = ["a" * n for n in [5, 0, 30, 1, 1, 1, 1, 9, 200, 2]] + [None, "é" * 10]
+    batch = pa.record_batch({"id": list(range(len(texts))), "text": texts})
+    parts = [b.column(1).to_pylist() for b in text_batches(iter([batch, batch.slice(3, 4)]), 1, rows=3, size=20)]
+    assert [t for p in parts for t in p] == texts + texts[3:7]
+    assert all(len(p) <= 3 and (len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 20) for p in parts)
+
+
 def test_pieces_and_places(spark):
     rng = random.Random(1)
     words = ["alpha", "beta", "gamma,", "Delta's", "12", "é"]
