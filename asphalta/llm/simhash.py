@@ -379,17 +379,22 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int, wo
     return docs.select(id_col, row_key(id_col, text_col), text_col).mapInArrow(run, schema)
 
 
-def shingle_sets(docs: DataFrame, text_col: str, size: int) -> DataFrame:
-    """(node, shingles): the shingle hashes of every row's text, and the hash of the set."""
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, rows: Bloom) -> DataFrame:
+    """(node, shingles) of the rows whose key may be among those: the shingle hashes of the text, and the hash of the set.
+
+    The filter is asked by the task that hashes, as one that is a column would need a
+    second Python worker beside it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            hashes = [np.unique(shingle_hashes(t, size)) for t in batch.column(0).to_pylist()]
+        for batch in small_batches(batches, 1024):
+            texts = batch.column(1).filter(pa.array(rows.has(batch.column(0).to_numpy()))).to_pylist()
+            hashes = [np.unique(shingle_hashes(t, size)) for t in texts]
             yield batch_of({
                 "node": ([set_hash(h) for h in hashes], pa.int64()),
                 "shingles": ([h.view(np.int64) for h in hashes], pa.list_(pa.int64()))})
 
-    return docs.select(text_col).mapInArrow(run, "node bigint, shingles array<bigint>")
+    return docs.select(row_key(id_col, text_col), text_col).mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
 def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int,
@@ -400,8 +405,7 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: s
     """
     asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     texts = Bloom(nodes.join(asked, "node").select(F.col("first.row").alias("row")), "row")
-    sets, _ = saved(shingle_sets(
-        docs.where(texts.may_hold(row_key(id_col, text_col))), text_col, size).dropDuplicates(["node"]), "shingle-sets")
+    sets, _ = saved(shingle_sets(docs, id_col, text_col, size, texts).dropDuplicates(["node"]), "shingle-sets")
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))

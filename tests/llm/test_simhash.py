@@ -8,8 +8,10 @@ import xxhash
 from pyspark.sql import functions as F
 
 from asphalta.llm import simhash
+from asphalta.llm.bloom import Bloom
+from asphalta.llm.common import row_key
 from asphalta.llm.components import components
-from asphalta.llm.simhash import agreeing_blocks, drop_near_copies, link_buckets, near_links, pair_buckets, simhash_groups
+from asphalta.llm.simhash import agreeing_blocks, drop_near_copies, link_buckets, near_links, pair_buckets, shingle_sets, simhash_groups
 
 
 def plain_fingerprint(text, size=4):
@@ -139,6 +141,20 @@ def test_near_copies_go_and_others_stay(spark):
     assert drop_near_copies(docs.where("doc_id < 0")).collect() == []
 
 
+def test_sets_of_chosen_rows_take_one_python_worker(spark):
+    texts = ["one two three four five", "six seven eight nine", "ten eleven twelve", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    keys = docs.where("id in (0, 3)").select(row_key("id", "text").alias("row"))
+    sets = shingle_sets(docs, "id", "text", 2, Bloom(keys, "row"))
+    got = {r.node: r.shingles for r in sets.collect()}
+    for text in (texts[0], None):
+        hashes = np.unique(simhash.shingle_hashes(text, 2))
+        assert got[simhash.set_hash(hashes)] == hashes.view(np.int64).tolist()
+    assert simhash.set_hash(np.unique(simhash.shingle_hashes(texts[1], 2))) not in got
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 1
+
+
 def test_near_copies_are_verified_exactly(spark):
     """Texts with a passage appended and with scattered edits, from far below the limit to above."""
     rng = random.Random(21)
