@@ -237,3 +237,35 @@ def test_small_tables_are_dealt_over_the_cores(spark, monkeypatch):
     base, n = explain.numbered_base(one, ["a"], "grave", 1)
     assert n == 100 and base.rdd.getNumPartitions() >= 2
     assert sorted(r.id for r in base.collect()) == list(range(100))
+
+
+def test_boosted_trees_equal_sparks_where_nothing_is_sampled(spark):
+    from pyspark.ml.classification import GBTClassifier
+
+    draw = random.Random(11)
+    rows = [(i, *(float(draw.randrange(n)) for n in (9, 5, 2, 30)), draw.random()) for i in range(1500)]
+    rows = [(*r[:5], int(r[5] < 0.1 + 0.07 * (r[1] > 4) * r[2] + 0.2 * r[3] * (r[4] > 11))) for r in rows]
+    df, names = spark.createDataFrame(rows, "id int, a double, b double, c double, d double, grave int"), list("abcd")
+    for weighted in (False, True):
+        ours = models.fit_boosted(df, names, weighted=weighted, trees=7, depth=3, rate=0.2, rows=1.0, columns=1.0)
+        data = prep.with_class_weights(models.assembled(df, names))
+        plain = GBTClassifier(labelCol="grave", maxIter=7, stepSize=0.2, maxDepth=3, **{"weightCol": "poids"} if weighted else {}).fit(data)
+        got, want = ({r["id"]: r["y_probs"] for r in models.scored(m, data).collect()} for m in (ours, plain))
+        assert got == pytest.approx(want, abs=1e-7)
+        assert ours.featureImportances.toArray() == pytest.approx(plain.featureImportances.toArray(), abs=1e-5)
+        assert ours.treeWeights == plain.treeWeights
+    sampled = models.fit_boosted(df, names, trees=20)
+    assert len(sampled.trees) == 20 and max(t.depth for t in sampled.trees) == 4
+    with pytest.raises(Exception):
+        models.fit_boosted(df.limit(0), names, trees=1)
+
+
+def test_a_fit_starts_no_job_for_each_tree(spark, fitted):
+    df, _ = fitted
+    started = []
+    for trees in (2, 12):
+        spark.sparkContext.setJobGroup(f"fit-{trees}", "")
+        models.fit_boosted(df, ["a", "b"], trees=trees)
+        started.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit-{trees}")))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert started[0] == started[1] > 0
