@@ -269,3 +269,33 @@ def test_a_fit_starts_no_job_for_each_tree(spark, fitted):
         started.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit-{trees}")))
     spark.sparkContext._jsc.clearJobGroup()
     assert started[0] == started[1] > 0
+
+
+def test_a_tree_of_the_forest_equals_sparks_without_samples(spark):
+    import numpy as np
+    from pyspark.ml.classification import RandomForestClassifier
+
+    draw = random.Random(12)
+    rows = [tuple(float(draw.randrange(n)) for n in (9, 5, 2, 30)) for _ in range(1500)]
+    df = spark.createDataFrame([(i, *r, int(draw.random() < 0.1 + 0.07 * (r[0] > 4) * r[1] + 0.2 * r[2] * (r[3] > 11))) for i, r in enumerate(rows)],
+                               "id int, a double, b double, c double, d double, grave int")
+    plain = RandomForestClassifier(labelCol="grave", numTrees=1, maxDepth=5, bootstrap=False).fit(models.assembled(df, list("abcd")))
+    ours = models.fit_forest(df, list("abcd"), trees=1, depth=5, bootstrap=False)
+    assert ours.featureImportances.toArray() == pytest.approx(plain.featureImportances.toArray(), abs=1e-6)
+    want = [r["y_probs"] for r in models.scored(plain, models.assembled(df, list("abcd"))).orderBy("id").collect()]
+    assert ours.probability(np.array(rows)) == pytest.approx(want, abs=1e-9)
+    many = models.fit_forest(df, list("abcd"), trees=6, depth=3)
+    weights = [t.sums[0, 1] for t in many.trees]  # rows drawn with replacement: 1500 each on average, not alike
+    assert len(set(weights)) > 1 and all(abs(w - 1500) < 200 for w in weights)
+
+
+def test_a_forest_keeps_no_count_of_every_tree_for_a_row(spark, fitted):
+    df, _ = fitted
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    started = []
+    for trees in (2, 9):
+        spark.sparkContext.setJobGroup(f"forest-{trees}", "")
+        models.fit_forest(df, ["a", "b"], trees=trees, depth=6)
+        started.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"forest-{trees}")))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert started[0] == started[1] and spark.sparkContext._jsc.getPersistentRDDs().size() == before
