@@ -299,3 +299,31 @@ def test_a_forest_keeps_no_count_of_every_tree_for_a_row(spark, fitted):
         started.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"forest-{trees}")))
     spark.sparkContext._jsc.clearJobGroup()
     assert started[0] == started[1] and spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_scores_are_looked_up_by_bin(spark, fitted, monkeypatch):
+    """No row is scored anew for a repeat, and the scores are the model's; many rows take the other way."""
+    import numpy as np
+
+    from asphalta.ml import blocks, shapley
+
+    df, model = fitted
+    parsed = [(2.0 * w, shapley.leaves_of(t.toDebugString.split("\n"))) for w, t in zip(model.treeWeights, model.trees)]
+    boxes, tree = shapley.boxes_of(parsed), np.repeat(np.arange(len(parsed)), [len(v) for _, v in parsed])
+    ends = [np.concatenate([b[boxes.feature == j] for b in (boxes.low, boxes.high)]) for j in (0, 1)]
+    edges = [np.unique(e[np.isfinite(e)]) for e in ends]
+    x = np.array([[r["a"], r["b"]] for r in df.limit(50).collect()])
+    bins = blocks.binned(x, edges).T
+    for j in (0, 1):
+        table = explain.score_table(boxes, tree, edges, bins, j)
+        for b, at in enumerate([*edges[j], 9.0]):
+            moved = x.copy()
+            moved[:, j] = at
+            assert table[:, b] / explain.SCORE_UNIT == pytest.approx(boxes.score(moved), abs=1e-9)
+    assert explain.area(np.array([1.0, 1.0, 2.0, 0.0]), np.array([True, False, True, False])) == 0.875
+    monkeypatch.setattr(explain, "score_arrays", None)
+    one = {r["feature"]: r["importance_mean"] for r in explain.permutation_importance(model, df, ["a", "b"], "grave", repeats=8).collect()}
+    monkeypatch.undo()
+    monkeypatch.setattr(explain, "RANKED_ROWS", 10)
+    other = {r["feature"]: r["importance_mean"] for r in explain.permutation_importance(model, df, ["a", "b"], "grave", repeats=8).collect()}
+    assert one == pytest.approx(other, abs=0.03)
